@@ -35,7 +35,9 @@ def forbidden_tokens(df: DataFrame, column: str, words: list[str]) -> DataFrame:
 
 
 def word_pattern(words: list[str]) -> str:
-    return r"(?i)\b(?:" + "|".join(words) + r")\b"
+    """Any of the words between characters of no word, in every script."""
+    edge = r"[^\p{L}\p{N}_]"
+    return rf"(?i)(?:^|{edge})(?:{'|'.join(words)})(?:$|{edge})"
 
 
 def missing_values(df: DataFrame, columns: list[str]) -> DataFrame:
