@@ -90,9 +90,12 @@ def merge_latest(
     update_columns: list[str] | None = None,
     null_safe_keys: bool = False,
     nulls: str = "last",
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Dedupe the source to its newest row per key, then merge."""
+    """Dedupe the source to its newest row per key, then merge those of its ``columns`` wanted."""
     batch = latest_per_key(source, keys, updated, ties, nulls)
+    if columns:
+        batch = batch.select(*columns)
     return merge_state(
         target, batch, keys, update_columns, null_safe_keys, batch_keys=source.select(*keys).distinct()
     )
