@@ -30,6 +30,9 @@ STAR_SCHEMAS = {
     ),
 }
 
+# What the parser hands out for an empty field; a quoted empty field stays ''.
+NO_FIELD = "\u0000"
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Strict read: the header must name the schema's columns and a malformed row fails the job.
@@ -40,6 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
+        .option("nullValue", NO_FIELD)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -50,4 +54,4 @@ def read_star(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("emptyValue", '""').csv(path)
+    df.write.option("header", True).csv(path)
