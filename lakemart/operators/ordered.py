@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 5_000_000
 HOT_SHARE = 1000
-SKETCH_ITEMS = 16384
+SKETCH_ITEMS = 4096
+SKETCH_GROUPS = 64
 
 GROUP, SLICE = "_group", "_slice"
 
@@ -55,11 +56,26 @@ class OrderedRows:
 
 
 def hot_groups(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) -> tuple[dict[int, int], int]:
-    """Key hash -> number of slices, for hot keys only, and the slice size in rows."""
-    found = df.select(F.xxhash64(*keys).alias(GROUP)).agg(
-        F.expr(f"approx_top_k({GROUP}, {HOT_SHARE}, {SKETCH_ITEMS})").alias("top"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
+    """Key hash -> number of slices, for hot keys only, and the slice size in rows.
+
+    Each task reduces its rows to one sketch of bounded size. The sketches are
+    merged in groups first, so no single task takes in one from every task.
+    """
+    merged = (
+        df.select(F.xxhash64(*keys).alias(GROUP), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_part"))
+        .groupBy("_part")
+        .agg(F.expr(f"approx_top_k_accumulate({GROUP}, {SKETCH_ITEMS})").alias("_sketch"), F.count(F.lit(1)).alias("_n"))
+    )
+    found = (
+        merged.groupBy(F.lit(0).alias("_all"))
+        .agg(
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {SKETCH_ITEMS}), {HOT_SHARE})").alias("top"),
+            F.sum("_n").alias("n"),
+        )
+        .first()
+    )
+    if found is None:  # no rows
+        return {}, hot_rows
     size = max(hot_rows, ceil(found["n"] / HOT_SHARE))
     return {t["item"]: ceil(t["count"] / size) for t in found["top"] if t["count"] > size}, size
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def forbidden_tokens(df: DataFrame, column: str, words: list[str]) -> DataFrame:
 def word_pattern(words: list[str]) -> str:
     """Any of the words between characters of no word, in every script."""
     edge = r"[^\p{L}\p{N}_]"
-    return rf"(?i)(?:^|{edge})(?:{'|'.join(words)})(?:$|{edge})"
+    return rf"(?i)(?:^|{edge})(?:{'|'.join(map(re.escape, words))})(?:$|{edge})"
 
 
 def missing_values(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -48,8 +48,8 @@ def scd2_seed(
     return _open_version(newest, [key, *tracked, *passthrough], updated, end)
 
 
-def scd2_close(
-    target: DataFrame,
+def close_open(
+    open_rows: DataFrame,
     source: DataFrame,
     key: str,
     updated: str,
@@ -57,28 +57,37 @@ def scd2_close(
     ties: tuple[str, ...] = (),
     nulls: str = "last",
 ) -> DataFrame:
-    """Open versions that differ from the newest source row end at its update time.
-
-    Only the open slice is joined. With a table partitioned by ``is_active`` the
-    closed slice is read once and passed on.
-    """
+    """Open versions; those that differ from the newest source row end at its update time."""
     newest = latest_per_key(source, key, updated, ties, nulls).select(
         key, *tracked, F.col(updated).alias("_ends")
     )
-    is_open = F.coalesce(F.col("is_active"), F.lit(False))
     hit = (F.col(f"t.`{key}`") == F.col(f"s.`{key}`")) & any_changed(side_pairs(tracked, "t", "s"))
-    joined = (
-        target.where("is_active")
-        .alias("t")
-        .join(newest.withColumn("_hit", F.lit(True)).alias("s"), hit, "left")
-    )
+    joined = open_rows.alias("t").join(newest.withColumn("_hit", F.lit(True)).alias("s"), hit, "left")
     ended = F.coalesce(F.col("s._hit"), F.lit(False))
     replaced = {
         "end_dt": F.when(ended, F.col("s._ends")).otherwise(F.col("t.end_dt")),
         "is_active": ~ended,
     }
-    still = joined.select(*[replaced.get(c, F.col(f"t.`{c}`")).alias(c) for c in target.columns])
-    return still.unionByName(target.where(~is_open))
+    return joined.select(*[replaced.get(c, F.col(f"t.`{c}`")).alias(c) for c in open_rows.columns])
+
+
+def scd2_close(
+    target: DataFrame,
+    source: DataFrame,
+    key: str,
+    updated: str,
+    tracked: list[str],
+    ties: tuple[str, ...] = (),
+    nulls: str = "last",
+) -> DataFrame:
+    """The table after closing; closed versions are passed on without a join."""
+    open_rows, closed_rows = _split_open(target)
+    return close_open(open_rows, source, key, updated, tracked, ties, nulls).unionByName(closed_rows)
+
+
+def _split_open(target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    is_open = F.coalesce(F.col("is_active"), F.lit(False))
+    return target.where("is_active"), target.where(~is_open)
 
 
 def scd2_new_versions(
@@ -113,6 +122,32 @@ def scd2_new_versions(
     return _open_version(rows, [key, *tracked, *passthrough], updated, end)
 
 
+def scd2_delta(
+    open_rows: DataFrame,
+    versions: DataFrame,
+    source: DataFrame,
+    key: str,
+    updated: str,
+    tracked: list[str],
+    passthrough: tuple[str, ...] = (),
+    end: str = OPEN_END,
+    match_scope: str = "any",
+    ties: tuple[str, ...] = (),
+    nulls: str = "last",
+) -> DataFrame:
+    """What a load makes of the open slice: rows still open, rows closed now, new rows.
+
+    Versions closed before are not part of it. ``versions`` are all stored
+    versions; only ``match_scope="any"`` reads the closed ones, and of these
+    just the key and the tracked columns.
+    """
+    closed = close_open(open_rows, source, key, updated, tracked, ties, nulls)
+    added = scd2_new_versions(
+        versions, source, key, updated, tracked, passthrough, end, match_scope, ties, nulls
+    )
+    return closed.unionByName(added)
+
+
 def scd2_incremental(
     target: DataFrame,
     source: DataFrame,
@@ -126,11 +161,11 @@ def scd2_incremental(
     nulls: str = "last",
 ) -> DataFrame:
     """Close and load in one new state, so no reader sees a key between the two."""
-    closed = scd2_close(target, source, key, updated, tracked, ties, nulls)
-    added = scd2_new_versions(
-        target, source, key, updated, tracked, passthrough, end, match_scope, ties, nulls
+    open_rows, closed_rows = _split_open(target)
+    delta = scd2_delta(
+        open_rows, target, source, key, updated, tracked, passthrough, end, match_scope, ties, nulls
     )
-    return closed.unionByName(added)
+    return delta.unionByName(closed_rows)
 
 
 def _changes(

@@ -17,36 +17,42 @@ def _moment(value: dt.datetime | dt.date | str) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def snapshot_check(
-    target: DataFrame | None,
-    batch: DataFrame,
-    key: str,
-    check_columns: list[str],
-    run_time: dt.datetime,
-    open_end: str = OPEN_END,
+def snapshot_open(
+    batch: DataFrame, key: str, run_time: dt.datetime, open_end: str = OPEN_END
 ) -> DataFrame:
-    """The new state of a snapshot table. The batch holds one row per key.
-
-    Keys missing from the batch stay open. Columns outside ``check_columns``
-    are stored with a version but never open one.
-    """
-    now, until = _moment(run_time), _moment(open_end)
+    """The batch as open versions of one run."""
+    now = _moment(run_time)
     stamp = F.md5(F.concat_ws("|", F.col(key).cast("string"), now.cast("string")))
-    versions = batch.select(
+    return batch.select(
         "*",
         now.alias("valid_from"),
-        until.alias("valid_to"),
+        _moment(open_end).alias("valid_to"),
         now.alias("updated_at"),
         stamp.alias("version_id"),
     )
-    if target is None:
-        return versions
 
-    is_open = F.col("valid_to") == until
-    current, past = target.where(is_open), target.where(~is_open)
-    # one open version and one batch row per key: a single outer join sees both sides
+
+def is_open(open_end: str = OPEN_END) -> Column:
+    return F.col("valid_to") == _moment(open_end)
+
+
+def snapshot_delta(
+    open_rows: DataFrame,
+    batch: DataFrame,
+    key: str,
+    check_columns: list[str],
+    run_time: dt.datetime,
+    open_end: str = OPEN_END,
+) -> DataFrame:
+    """What a run makes of the open versions: still open, ended now, and new ones.
+
+    There is one open version and one batch row per key, so a single outer join
+    sees both sides.
+    """
+    now = _moment(run_time)
+    versions = snapshot_open(batch, key, run_time, open_end)
     joined = (
-        current.withColumn("_t", F.lit(True))
+        open_rows.withColumn("_t", F.lit(True))
         .alias("t")
         .join(
             versions.withColumn("_s", F.lit(True)).alias("s"),
@@ -57,7 +63,7 @@ def snapshot_check(
     )
     replaced = F.col("s._s").isNotNull() & F.col("_differs")
     valid_to = F.when(replaced, now).otherwise(F.col("t.valid_to"))
-    names = target.columns
+    names = open_rows.columns
     stays = F.struct(*[(valid_to if c == "valid_to" else F.col(f"t.`{c}`")).alias(c) for c in names])
     comes = F.struct(*[F.col(f"s.`{c}`").alias(c) for c in names])
     rows = F.array_compact(
@@ -66,4 +72,23 @@ def snapshot_check(
             F.when(F.col("s._s").isNotNull() & (F.col("t._t").isNull() | F.col("_differs")), comes),
         )
     )
-    return joined.select(F.inline(rows)).unionByName(past)
+    return joined.select(F.inline(rows))
+
+
+def snapshot_check(
+    target: DataFrame | None,
+    batch: DataFrame,
+    key: str,
+    check_columns: list[str],
+    run_time: dt.datetime,
+    open_end: str = OPEN_END,
+) -> DataFrame:
+    """The new state of a snapshot table. The batch holds one row per key.
+
+    Keys missing from the batch stay open. Columns outside ``check_columns``
+    are stored with a version but never open one.
+    """
+    if target is None:
+        return snapshot_open(batch, key, run_time, open_end)
+    current, past = target.where(is_open(open_end)), target.where(~is_open(open_end))
+    return snapshot_delta(current, batch, key, check_columns, run_time, open_end).unionByName(past)

@@ -57,7 +57,8 @@ def allowed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODES, "name string, code string")
+    pairs = [F.struct(F.lit(name).alias("name"), F.lit(code).alias("code")) for name, code in CODES]
+    return spark.range(1).select(F.inline(F.array(*pairs)))
 
 
 def _event_names(spark: SparkSession, folder: str) -> DataFrame:

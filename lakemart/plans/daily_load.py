@@ -10,12 +10,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemart.operators.incremental import incremental_rows
+from lakemart.operators.incremental import EMPTY_TARGET_MARK, newer_than
 from lakemart.operators.report import run_report
 from lakemart.operators.runlog import log_rows, rows_of_run
-from lakemart.plans.models import CONSUMPTION, TRANSFORMS, Transform, Versioned
+from lakemart.plans.models import CONSUMPTION, TRANSFORMS, Snapshot, Transform, Versioned
 from lakemart.sources.layers import database
-from lakemart.sources.storage import append, create_database, publish, read_current
+from lakemart.sources.storage import (
+    append,
+    create_database,
+    exists,
+    newest_partition,
+    publish,
+    publish_history,
+    read_current,
+    read_open,
+)
 
 RESULT_SCHEMA = (
     "run_id string, node string, name string, database string, schema string, "
@@ -84,11 +93,13 @@ class DailyLoad:
         landed = self.landing(name)
         if model.load_time is None:
             return publish(model.clean(landed), table)
-        target = None if self.full_refresh else read_current(self.spark, table)
-        rows = model.clean(
-            incremental_rows(landed, target, model.load_time, model.load_column, model.granularity)
-        )
-        return publish(rows, table) if target is None else append(rows, table)
+        if self.full_refresh or not exists(self.spark, table):
+            # rows of one day are brought together, so that a day's folder holds few files
+            rows = model.clean(landed)
+            return publish(rows.hint("rebalance", model.load_column), table, (model.load_column,))
+        mark = newest_partition(self.spark, table, model.load_column) or EMPTY_TARGET_MARK
+        rows = model.clean(landed.where(newer_than(model.load_time, mark)))
+        return append(rows, table, (model.load_column,))
 
     def consume(self, name: str, clock: dt.datetime) -> int:
         """Build the next state of one consumption table; rows written.
@@ -101,10 +112,14 @@ class DailyLoad:
         if source is None:
             raise RuntimeError(f"{model.source} has not been loaded")
         target = None if self.full_refresh else read_current(self.spark, table)
-        if self.loaded_since and target is not None and hasattr(model, "keys") and "load_dt" in source.columns:
+        if isinstance(model, (Versioned, Snapshot)):
+            if target is None:
+                return publish_history(model.first(source, clock), table, model.is_open, restart=True)
+            delta = model.delta(read_open(self.spark, table), target, source, clock)
+            return publish_history(delta, table, model.is_open)
+        if self.loaded_since and target is not None and "load_dt" in source.columns:
             source = source.where(source.load_dt >= self.loaded_since)
-        slices = ("is_active",) if isinstance(model, Versioned) else ()
-        return publish(model.build(target, source, clock), table, slices)
+        return publish(model.build(target, source), table)
 
     def _result(self, layer: str, name: str, status: str, seconds: float, rows: int, message: str | None) -> tuple:
         schema = "postgres" if layer == "transform" else "analytics"

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lakemart.functions.clean import as_date, blank_if_null, first_present, zero_if_null
 from lakemart.operators.dedupe import latest_per_key
 from lakemart.operators.merge import merge_distinct, merge_latest
-from lakemart.operators.scd2 import scd2_incremental, scd2_seed
-from lakemart.operators.snapshot import snapshot_check
+from lakemart.operators.scd2 import scd2_delta, scd2_seed
+from lakemart.operators.snapshot import is_open, snapshot_delta, snapshot_open
 
 # ---- column helpers: each takes names separated by blanks ----
 
@@ -38,12 +38,15 @@ def _dated(**names: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class Transform:
-    """Cleans one landing table. Without ``load_time`` the table is rebuilt in full."""
+    """Cleans one landing table and adds the days not loaded yet.
+
+    The table is partitioned by ``load_column``, so its newest day is read from
+    the catalog. Without ``load_time`` the table is rebuilt in full.
+    """
 
     clean: Callable[[DataFrame], DataFrame]
     load_time: str | None = None
     load_column: str = "load_dt"
-    granularity: str = "day"
 
 
 # Names and order of the columns of every table.
@@ -155,8 +158,12 @@ class Versioned:
     updated: str = "updated_dt"
     match_scope: str = "any"
 
-    def build(self, target: DataFrame | None, source: DataFrame, run_time) -> DataFrame:
-        settings = dict(
+    @property
+    def is_open(self) -> Column:
+        return F.col("is_active")
+
+    def _settings(self, source: DataFrame) -> dict:
+        return dict(
             source=source,
             key=self.key,
             updated=self.updated,
@@ -164,9 +171,12 @@ class Versioned:
             passthrough=self.passthrough,
             ties=_ties(source, self.updated, [*self.tracked, *self.passthrough]),
         )
-        if target is None:
-            return scd2_seed(**settings)
-        return scd2_incremental(target, match_scope=self.match_scope, **settings)
+
+    def first(self, source: DataFrame, run_time) -> DataFrame:
+        return scd2_seed(**self._settings(source))
+
+    def delta(self, open_rows: DataFrame, versions: DataFrame, source: DataFrame, run_time) -> DataFrame:
+        return scd2_delta(open_rows, versions, match_scope=self.match_scope, **self._settings(source))
 
 
 @dataclass(frozen=True)
@@ -180,7 +190,7 @@ class Merged:
     updated: str = "updated_dt"
     null_safe_keys: bool = False
 
-    def build(self, target: DataFrame | None, source: DataFrame, run_time) -> DataFrame:
+    def build(self, target: DataFrame | None, source: DataFrame) -> DataFrame:
         keys, names = list(self.keys), list(self.columns) or source.columns
         ties = _ties(source, self.updated, [c for c in names if c not in keys])
         if target is None:
@@ -204,7 +214,7 @@ class Bridged:
     source: str
     keys: tuple[str, ...]
 
-    def build(self, target: DataFrame | None, source: DataFrame, run_time) -> DataFrame:
+    def build(self, target: DataFrame | None, source: DataFrame) -> DataFrame:
         if target is None:
             return source.distinct()
         return merge_distinct(target, source, list(self.keys))
@@ -219,8 +229,15 @@ class Snapshot:
     check_columns: tuple[str, ...]
     prepare: Callable[[DataFrame], DataFrame] = as_landed
 
-    def build(self, target: DataFrame | None, source: DataFrame, run_time) -> DataFrame:
-        return snapshot_check(target, self.prepare(source), self.key, list(self.check_columns), run_time)
+    @property
+    def is_open(self) -> Column:
+        return is_open()
+
+    def first(self, source: DataFrame, run_time) -> DataFrame:
+        return snapshot_open(self.prepare(source), self.key, run_time)
+
+    def delta(self, open_rows: DataFrame, versions: DataFrame, source: DataFrame, run_time) -> DataFrame:
+        return snapshot_delta(open_rows, self.prepare(source), self.key, list(self.check_columns), run_time)
 
 
 def current_customers(customers: DataFrame) -> DataFrame:

@@ -5,15 +5,20 @@ is therefore a view over a versioned table: the new state is written in full as
 the next version, then the view is switched, one step in the catalog. Readers
 see the old state or the new one. No file is moved, which matters on object
 stores, and a failed write leaves the name untouched.
+
+A history table keeps its ended versions in a second table that is only added
+to. A run rewrites the open slice and adds what ended, so its cost follows the
+number of keys, not the length of the history.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _VERSION = re.compile(r"__v(\d+)_[0-9a-f]{8}$")
@@ -28,20 +33,38 @@ def exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 
 
+def _view_text(spark: SparkSession, table: str) -> str:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'View Text'").first()
+    if described is None:
+        raise ValueError(f"{table} was not published from here")
+    return described["data_type"]
+
+
 def current_version(spark: SparkSession, table: str) -> str | None:
     """The versioned table behind a published name."""
     if not exists(spark, table):
         return None
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'View Text'").first()
-    if described is None:
-        raise ValueError(f"{table} was not published from here")
-    return re.search(r"FROM\s+(\S+)", described["data_type"]).group(1).replace("`", "")
+    return re.search(r"FROM\s+(\S+)", _view_text(spark, table)).group(1).replace("`", "")
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The published state, or None before the first run."""
-    version = current_version(spark, table)
-    return spark.table(version) if version else None
+    """The published state, or None before the first run.
+
+    The frame keeps to the version it was taken from, also after a switch.
+    """
+    return spark.table(table) if exists(spark, table) else None
+
+
+def read_open(spark: SparkSession, table: str) -> DataFrame:
+    """The open slice of a history table; nothing else is scanned."""
+    return spark.table(current_version(spark, table)).where("_open").drop("_open")
+
+
+def newest_partition(spark: SparkSession, table: str, column: str) -> dt.date | None:
+    """The newest date of a table partitioned by it, from the catalog alone."""
+    listed = spark.sql(f"SHOW PARTITIONS {current_version(spark, table)}")
+    day = F.try_to_date(F.regexp_extract("partition", rf"(?:^|/){column}=(\d{{4}}-\d\d-\d\d)", 1))
+    return listed.agg(F.max(day)).first()[0]
 
 
 def publish(
@@ -54,16 +77,48 @@ def publish(
     ``number`` sets the version's number instead of counting on.
     """
     spark = df.sparkSession
-    if number is None:
-        old = current_version(spark, table)
-        number = int(_VERSION.search(old).group(1)) + 1 if old else 1
-    new = f"{table}__v{number:06d}_{uuid.uuid4().hex[:8]}"
+    number = _next_number(spark, table) if number is None else number
+    new = _version_name(table, number)
     rows = _counted_write(df, lambda w: _partitioned(w, partition_by).mode("errorifexists").saveAsTable(new))
     spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {new}")
     _drop_old_versions(spark, table, number - keep)
     return rows
 
 
+def publish_history(
+    delta: DataFrame, table: str, is_open: Column, restart: bool = False, keep: int = 1
+) -> int:
+    """Publish the next state of a history table, return the rows written.
+
+    ``delta`` holds the new open slice and the versions that ended in this run;
+    versions that ended before are kept as they are, or dropped from the history
+    with ``restart``. What a failed run has left behind is hidden by the view and
+    overwritten by the next run.
+    """
+    spark = delta.sparkSession
+    number = first = _next_number(spark, table)
+    if number > 1 and not restart:
+        first = int(re.search(r"BETWEEN (\d+) AND", _view_text(spark, table)).group(1))
+    new, ended = _version_name(table, number), f"{table}__ended"
+    marked = delta.withColumn("_open", F.coalesce(is_open, F.lit(False)))
+    rows = _counted_write(marked, lambda w: _partitioned(w, ("_open",)).mode("errorifexists").saveAsTable(new))
+    names = ", ".join(f"`{c}`" for c in delta.columns)
+    ended_now = f"SELECT {names} FROM {new} WHERE NOT _open"
+    if exists(spark, ended):
+        spark.sql(f"INSERT OVERWRITE {ended} PARTITION (_version = {number}) {ended_now}")
+    else:
+        spark.sql(
+            f"CREATE TABLE {ended} USING parquet PARTITIONED BY (_version) "
+            f"AS SELECT *, {number} AS _version FROM ({ended_now})"
+        )
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {table} AS SELECT {names} FROM {new} WHERE _open "
+        f"UNION ALL SELECT {names} FROM {ended} WHERE _version BETWEEN {first} AND {number}"
+    )
+    _drop_old_versions(spark, table, number - keep)
+    return rows
+
+
 def append(df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> int:
     """Add rows to a published table, creating it on the first run; rows written."""
     spark = df.sparkSession
@@ -76,6 +131,15 @@ def append(df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> int
     return _counted_write(df, lambda w: _partitioned(w, partition_by).mode("append").saveAsTable(version))
 
 
+def _version_name(table: str, number: int) -> str:
+    return f"{table}__v{number:06d}_{uuid.uuid4().hex[:8]}"
+
+
+def _next_number(spark: SparkSession, table: str) -> int:
+    old = current_version(spark, table)
+    return int(_VERSION.search(old).group(1)) + 1 if old else 1
+
+
 def _partitioned(writer, columns: tuple[str, ...]):
     writer = writer.format("parquet")
     return writer.partitionBy(*columns) if columns else writer

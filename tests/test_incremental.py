@@ -7,7 +7,15 @@ from plans_util import physical_plan
 from pyspark.sql import functions as F
 
 from lakemart.operators.incremental import EMPTY_TARGET_MARK, high_water, incremental_rows, newer_than
-from lakemart.sources.storage import append, publish, read_current, versions
+from lakemart.sources.storage import (
+    append,
+    newest_partition,
+    publish,
+    publish_history,
+    read_current,
+    read_open,
+    versions,
+)
 
 LANDED = "id long, load_time timestamp_ntz"
 
@@ -101,3 +109,36 @@ def test_names_that_share_a_prefix(spark, db, frame):
         publish(frame([(1,)], "a int"), f"{db}.t_more")
     assert sorted(versions(spark, f"{db}.t")) == [1]
     assert sorted(versions(spark, f"{db}.t_more")) == [2, 3]
+
+
+def test_history_table(spark, db, frame, rows):
+    table, schema = f"{db}.h", "k long, v string, is_active boolean"
+    open_now = F.col("is_active")
+    publish_history(frame([(1, "a", True), (2, "a", True)], schema), table, open_now)
+    publish_history(frame([(1, "a", False), (1, "b", True), (2, "a", True)], schema), table, open_now)
+    held = read_current(spark, table)
+    assert rows(read_open(spark, table)) == [(1, "b", True), (2, "a", True)]
+    publish_history(frame([(1, "b", False), (1, "c", True), (2, "a", True)], schema), table, open_now)
+    third = [(1, "a", False), (1, "b", False), (1, "c", True), (2, "a", True)]
+    assert rows(spark.table(table)) == third
+    assert rows(held) == [(1, "a", False), (1, "b", True), (2, "a", True)]
+
+    # a run that fails after it has added ended versions is not seen, and its rows go with the next run
+    spark.sql(f"INSERT OVERWRITE {table}__ended PARTITION (_version = 4) SELECT 9L, 'lost', false")
+    assert rows(spark.table(table)) == third
+    publish_history(frame([(1, "c", True), (2, "a", False)], schema), table, open_now)
+    assert rows(spark.table(table)) == [(1, "a", False), (1, "b", False), (1, "c", True), (2, "a", False)]
+
+    publish_history(frame([(1, "z", True)], schema), table, open_now, restart=True)
+    assert rows(spark.table(table)) == [(1, "z", True)]
+    publish_history(frame([(1, "z", False)], schema), table, open_now)
+    assert rows(spark.table(table)) == [(1, "z", False)]
+
+
+def test_newest_partition(spark, db, frame, day):
+    table = f"{db}.p"
+    schema = "a int, load_dt date"
+    publish(frame([(1, None)], schema), table, ("load_dt",))
+    assert newest_partition(spark, table, "load_dt") is None
+    append(frame([(1, day(3).date()), (2, day(10).date()), (3, day(9).date())], schema), table, ("load_dt",))
+    assert newest_partition(spark, table, "load_dt") == day(10).date()
