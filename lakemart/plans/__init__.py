@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered() -> dict:
     """Every registered query by name."""
-    from lakemart.plans import checks, history, loads, logs
+    from lakemart.plans import checks, history, loads, logs, warehouse
 
-    return {**loads.QUERIES, **history.QUERIES, **logs.QUERIES, **checks.QUERIES}
+    return {**loads.QUERIES, **history.QUERIES, **logs.QUERIES, **checks.QUERIES, **warehouse.QUERIES}

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemart.operators.incremental import EMPTY_TARGET_MARK, newer_than
+from lakemart.operators.incremental import EMPTY_TARGET_MARK, high_water, newer_than
 from lakemart.operators.report import run_report
 from lakemart.operators.runlog import log_rows, rows_of_run
 from lakemart.plans.models import CONSUMPTION, TRANSFORMS, Snapshot, Transform, Versioned
@@ -93,13 +93,16 @@ class DailyLoad:
         landed = self.landing(name)
         if model.load_time is None:
             return publish(model.clean(landed), table)
+        parts = (model.load_column,) if model.by_day else ()
         if self.full_refresh or not exists(self.spark, table):
-            # rows of one day are brought together, so that a day's folder holds few files
             rows = model.clean(landed)
-            return publish(rows.hint("rebalance", model.load_column), table, (model.load_column,))
-        mark = newest_partition(self.spark, table, model.load_column) or EMPTY_TARGET_MARK
-        rows = model.clean(landed.where(newer_than(model.load_time, mark)))
-        return append(rows, table, (model.load_column,))
+            # rows of one day are brought together, so that a day's folder holds few files
+            return publish(rows.hint("rebalance", *parts) if parts else rows, table, parts)
+        if model.by_day:
+            mark = newest_partition(self.spark, table, model.load_column) or EMPTY_TARGET_MARK
+        else:
+            mark = high_water(read_current(self.spark, table), model.load_column)
+        return append(model.clean(landed.where(newer_than(model.load_time, mark))), table, parts)
 
     def consume(self, name: str, clock: dt.datetime) -> int:
         """Build the next state of one consumption table; rows written.

@@ -40,13 +40,15 @@ def _dated(**names: str) -> list[Column]:
 class Transform:
     """Cleans one landing table and adds the days not loaded yet.
 
-    The table is partitioned by ``load_column``, so its newest day is read from
-    the catalog. Without ``load_time`` the table is rebuilt in full.
+    Without ``load_time`` the table is rebuilt in full. ``by_day`` partitions it
+    by ``load_column``, for tables whose days fill files of good size: the newest
+    day is then read from the catalog instead of one column of the table.
     """
 
     clean: Callable[[DataFrame], DataFrame]
     load_time: str | None = None
     load_column: str = "load_dt"
+    by_day: bool = False
 
 
 # Names and order of the columns of every table.

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,48 +10,11 @@ from pyspark.sql import functions as F
 from lakemart.plans.daily_load import DailyLoad
 from lakemart.plans.models import CONSUMPTION, TRANSFORMS, current_customers
 from lakemart.session import work_folder
+from lakemart.sources.landing import LANDING, conform, read_landing
+from lakemart.sources.storage import newest_partition, publish
 
 OPEN = dt.datetime(9999, 12, 31)
 
-# the landing tables, types inferred from use
-SCHEMAS = {
-    "customers": (
-        "ID long, sync_token string, display_name string, company_name string, fully_qualified_name string, "
-        "print_on_check_name string, active boolean, taxable boolean, job boolean, bill_with_parent boolean, "
-        "is_project boolean, balance decimal(18,2), balance_with_jobs decimal(18,2), bill_addr_line1 string, "
-        "bill_addr_city string, bill_addr_state string, bill_addr_postal_code string, bill_addr_country string, "
-        "ship_addr_line1 string, ship_addr_city string, ship_addr_state string, ship_addr_postal_code string, "
-        "ship_addr_country string, primary_phone string, primary_email string, preferred_delivery_method string, "
-        "sales_term_id long, sales_term_name string, currency_code string, default_tax_code_id string, notes string, "
-        "created_at timestamp_ntz, updated_at timestamp_ntz, load_time timestamp_ntz"
-    ),
-    "deals": (
-        "deal_id long, is_archived boolean, created_at timestamp_ntz, updated_at timestamp_ntz, url string, "
-        "dealname string, dealstage string, notes_last_updated timestamp_ntz, notes_last_contacted timestamp_ntz, "
-        "dealtype string, deal_source string, amount decimal(18,2), description string, num_associated_contacts long, "
-        "closedate timestamp_ntz, deal_location string, mdc_quote_id long, pipeline string, hs_acv decimal(18,2), "
-        "hs_Arr decimal(18,2), load_time timestamp_ntz"
-    ),
-    "parsed_quotes": (
-        "quote_id long, is_archived boolean, created_at timestamp_ntz, updated_at timestamp_ntz, url string, "
-        "hs_status string, hs_payment_status string, hs_payment_date timestamp_ntz, hs_expiration_date timestamp_ntz, "
-        "hs_render_status string, hs_tcv decimal(18,2), hs_title string, hs_quote_amount decimal(18,2), "
-        "load_time timestamp_ntz"
-    ),
-    "qb_invoices": (
-        "id long, sync_token string, doc_number string, txn_date date, due_date date, total_amt decimal(18,2), "
-        "balance decimal(18,2), customer_id long, customer_name string, department_id string, bill_addr_city string, "
-        "bill_addr_state string, bill_addr_postal_code string, ship_addr_city string, bill_email string, "
-        "print_status string, email_status string, total_tax decimal(18,2), allow_online_payment boolean, "
-        "delivery_type string, created_at timestamp_ntz, updated_at timestamp_ntz, load_time timestamp_ntz"
-    ),
-    "invoice_relation": (
-        "ID long, INVOICE_ID long, EXTERNAL_ID string, CREATED_AT timestamp_ntz, UPDATED_AT timestamp_ntz, "
-        "DELETED_AT timestamp_ntz, TRANSFORM_TS timestamp_ntz"
-    ),
-    "assoc_quotes_companies": "quote_id long, company_id long, label string",
-    "assoc_quotes_deals": "quote_id long, deal_id long, label string",
-}
 COLUMNS = {"customers": 34, "deals": 21, "parsed_quotes": 14, "qb_invoices": 23, "invoice_relation": 7}
 
 
@@ -58,15 +22,15 @@ class Landing:
     """Landing tables that rows are added to."""
 
     def __init__(self, spark):
-        self.spark, self.rows = spark, {name: [] for name in SCHEMAS}
+        self.spark, self.rows = spark, {name: [] for name in LANDING}
 
     def add(self, table, **values):
         self.rows[table].append({k.lower(): v for k, v in values.items()})
 
     def __call__(self, table):
-        names = [part.split()[0] for part in SCHEMAS[table].replace("(18,2)", "").split(", ")]
+        names = [part.split()[0] for part in LANDING[table].replace("(18,2)", "").split(", ")]
         data = [tuple(row.get(n.lower()) for n in names) for row in self.rows[table]]
-        return self.spark.createDataFrame(data, SCHEMAS[table])
+        return self.spark.createDataFrame(data, LANDING[table])
 
 
 @pytest.fixture
@@ -206,3 +170,24 @@ def test_merge_of_new_loads_only(spark, landing, loader, rows, day):
     run = loader(loaded_since=day(2).date())
     run.run(day(2, 7), only)
     assert rows(spark.table(run.table("consumption", "dim_invoices")), "id") == [(5,), (6,)]
+
+
+def test_landing_tables_are_read_as_declared(spark, db, frame, rows):
+    publish(frame([(5, "x", 1)], "quote_id int, LABEL string, deal_id long"), f"{db}.assoc_quotes_deals")
+    assert rows(read_landing(spark, db, "assoc_quotes_deals")) == [(5, 1, "x")]
+    assert conform(frame([(1,)], "Quote_Id int"), "assoc_quotes_deals").dtypes == [
+        ("quote_id", "bigint"), ("deal_id", "bigint"), ("label", "string"),
+    ]
+
+
+def test_table_by_day(spark, landing, loader, rows, day, monkeypatch):
+    monkeypatch.setitem(TRANSFORMS, "deals", replace(TRANSFORMS["deals"], by_day=True))
+    fill(landing, day)
+    loader().run(day(1, 7), {"deals"})
+    landing.add("deals", deal_id=3, load_time=day(1, 23))
+    landing.add("deals", deal_id=4, load_time=day(3, 1))
+    run = loader()
+    run.run(day(3, 7), {"deals"})
+    table = run.table("transform", "deals")
+    assert rows(spark.table(table), "deal_id") == [(1,), (2,), (4,)]
+    assert newest_partition(spark, table, "load_dt") == day(3).date()
