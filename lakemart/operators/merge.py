@@ -73,14 +73,41 @@ def merge_state(
     )
     fresh = None
     if insert_new:
-        # the key columns alone: the wide target rows are not moved for this check
         fresh_batch, fresh_loose = (batch, None) if null_safe_keys else _split_null_keys(batch, keys)
-        on_back = same(side_pairs(keys, "s", "t"))
-        fresh = fresh_batch.alias("s").join(matchable.select(*keys).alias("t"), on_back, "left_anti")
-        fresh = _union(fresh, fresh_loose)
+        fresh = _union(_unknown(matchable, fresh_batch, keys, same), fresh_loose)
     return _union(merged, loose, fresh)
 
 
+def _unknown(target: DataFrame, batch: DataFrame, keys: list[str], same) -> DataFrame:
+    """Batch rows whose key the target lacks.
+
+    The target's keys are first reduced to those of the batch, with the batch on
+    the side that may be broadcast; only that remainder meets the batch again.
+    """
+    met = target.select(*keys).alias("t").join(
+        batch.select(*keys).alias("s"), same(side_pairs(keys, "t", "s")), "left_semi"
+    )
+    return batch.alias("s").join(met.alias("t"), same(side_pairs(keys, "s", "t")), "left_anti")
+
+
+def merge_newer(
+    target: DataFrame, batch: DataFrame, keys: list[str], updated: str, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Merge in which a batch row replaces an older row only; both sides hold one row per key."""
+
+    def place(side: str):
+        # a NULL time is older than any other, as in the descending order of latest_per_key
+        return F.struct(*[F.col(f"{side}.`{c}`") for c in (updated, *ties)])
+
+    wins = F.col("s._hit").isNotNull() & (place("s") > place("t"))
+    kept = (
+        target.alias("t")
+        .join(batch.withColumn("_hit", F.lit(True)).alias("s"), all_same(side_pairs(keys, "t", "s")), "left")
+        .select(*[F.when(wins, F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) for c in target.columns])
+    )
+    return kept.unionByName(_unknown(target, batch, keys, all_same))
+
+
 def merge_latest(
     target: DataFrame,
     source: DataFrame,

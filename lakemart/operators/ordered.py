@@ -80,6 +80,27 @@ def hot_groups(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) -
     return {t["item"]: ceil(t["count"] / size) for t in found["top"] if t["count"] > size}, size
 
 
+def with_group_size(df: DataFrame, keys: str | list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the number of rows of the row's key; NULL keys form one group.
+
+    Other keys are counted by a window, in one shuffle. Rows of hot keys are not
+    shuffled at all: their counts, one row per hot key, are broadcast.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    size = F.count(F.lit(1))
+    hot, _ = hot_groups(df, tuple(keys), hot_rows)
+    if not hot:
+        return df.withColumn(name, size.over(Window.partitionBy(*keys)))
+    is_hot = F.xxhash64(*keys).isin(list(hot))
+    busy = df.where(is_hot)
+    counts = busy.groupBy(*keys).agg(size.alias(name))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
+    counted = busy.alias("r").join(F.broadcast(counts).alias("c"), same).select("r.*", f"c.`{name}`")
+    return df.where(~is_hot).withColumn(name, size.over(Window.partitionBy(*keys))).unionByName(counted)
+
+
 def ordered_rows(
     df: DataFrame,
     keys: str | list[str],

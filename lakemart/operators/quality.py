@@ -7,23 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.functions.compare import all_same, side_pairs
+from lakemart.operators.ordered import HOT_ROWS, with_group_size
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], place: Column, place_name: str = "place") -> DataFrame:
+def duplicate_keys(
+    df: DataFrame, keys: list[str], place: Column, place_name: str = "place", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Every place of every key that occurs more than once: keys, times seen, place.
 
-    One row per place instead of one list per key, so a key may repeat without
-    limit. Counting is partial before the shuffle; the counts are one row per
-    repeated key, and in the join back a hot key is split by the skew join.
+    One row per place instead of one list per key, so a key may repeat without limit.
     """
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     listed = df.select(*keys, place.alias(place_name))
-    return (
-        listed.alias("p")
-        .join(repeated.alias("d"), all_same(side_pairs(keys, "p", "d")))
-        .select(*[F.col(f"p.`{k}`") for k in keys], "d.n", f"p.`{place_name}`")
-    )
+    return with_group_size(listed, keys, "n", hot_rows).where("n > 1").select(*keys, "n", place_name)
 
 
 def pattern_violations(df: DataFrame, column: str, pattern: str) -> DataFrame:

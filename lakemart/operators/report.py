@@ -57,7 +57,7 @@ def _parts(rows: DataFrame, entry: Column, part_rows: int, hot_rows: int) -> Dat
     ).where("run_id IS NOT NULL")
     placed = with_position(ordered_rows(listed, "run_id", "start_time", ("job_id",), hot_rows), "_position").result()
     return (
-        placed.withColumn("part", F.floor((F.col("_position") - 1) / F.lit(part_rows)).cast("int"))
+        placed.withColumn("part", F.expr(f"(_position - 1) div {part_rows}").cast("int"))
         .groupBy("run_id", "part")
         .agg(F.expr("listagg(entry, '') WITHIN GROUP (ORDER BY _position)").alias("entries"))
     )

@@ -110,12 +110,17 @@ def scd2_new_versions(
     ``active``: the newest source row per key, unless the open version equals it.
     """
     versions = target.select(key, *tracked, "is_active")
-    known = (F.col(f"s.`{key}`") == F.col(f"t.`{key}`")) & all_same(side_pairs(tracked, "s", "t"))
+    same_key = F.col(f"s.`{key}`") == F.col(f"t.`{key}`")
     if match_scope == "any":
+        # the whole content is a join key, so rows of a busy key spread over tasks
+        known = same_key & all_same(side_pairs(tracked, "s", "t"))
         unseen = source.alias("s").join(versions.drop("is_active").alias("t"), known, "left_anti")
         rows = latest_per_key(unseen, key, updated, ties, nulls)
     elif match_scope == "active":
         newest = latest_per_key(source, key, updated, ties, nulls)
+        # both sides have few rows per key: joined on the key alone, as they are already partitioned
+        differs = [~left.eqNullSafe(right) for left, right in side_pairs(tracked, "s", "t")]
+        known = same_key & ~F.array_contains(F.array(*differs), True)
         rows = newest.alias("s").join(versions.where("is_active").alias("t"), known, "left_anti")
     else:
         raise ValueError("match_scope must be 'any' or 'active'")

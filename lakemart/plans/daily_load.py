@@ -63,8 +63,8 @@ class DailyLoad:
             name = database(self.environment, layer, self.suffix)
             create_database(self.spark, name, f"{self.location}/{name}" if self.location else None)
 
-    def run(self, clock: dt.datetime, only: set[str] | None = None) -> DataFrame:
-        """Load all tables (or those named), log every node, return the run's report."""
+    def run(self, clock: dt.datetime, only: set[str] | None = None) -> dict[str, str]:
+        """Load all tables (or those named), log every node, return each table's status."""
         self.create_databases()
         results, failed = [], set()
         for name, model in {**TRANSFORMS, **CONSUMPTION}.items():
@@ -85,6 +85,10 @@ class DailyLoad:
             results.append(self._result(layer, name, status, time.monotonic() - begun, rows, message))
         finished = self.spark.createDataFrame(results, RESULT_SCHEMA)
         append(log_rows(finished, clock, self.user), self.log_table)
+        return {row[2]: row[5] for row in results}
+
+    def report(self) -> DataFrame:
+        """The report of this run, read from the log."""
         return run_report(rows_of_run(read_current(self.spark, self.log_table), self.run_id))
 
     def load(self, name: str) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lakemart.operators.dedupe import latest_per_key
-from lakemart.operators.merge import merge_state
+from lakemart.operators.merge import merge_newer, merge_state
 from lakemart.sources.storage import publish, versions
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
@@ -24,8 +24,8 @@ def keep_newest(keys: list[str], updated: str, ties: tuple[str, ...] = ()) -> Me
     """The newer row wins, so the order of arrival has no effect."""
 
     def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch if state is None else state.unionByName(batch)
-        return latest_per_key(rows, keys, updated, ties)
+        newest = latest_per_key(batch, keys, updated, ties)
+        return newest if state is None else merge_newer(state, newest, keys, updated, ties)
 
     return merge
 

@@ -5,7 +5,7 @@ from plans_util import count_node, physical_plan
 from pyspark.sql import functions as F
 
 from lakemart.operators.dedupe import distinct_rows, latest_per_key
-from lakemart.operators.merge import append_all, merge_distinct, merge_latest, merge_state, unique_batch
+from lakemart.operators.merge import append_all, merge_distinct, merge_latest, merge_newer, merge_state, unique_batch
 
 KV = "k long, q long, v string"
 
@@ -108,7 +108,7 @@ def test_small_batch_leaves_the_target_unshuffled(spark):
     target = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     batch = target.where("o_orderkey = 1")
     for updates in (None, ["o_totalprice"]):
-        merged = merge_state(target, batch, ["o_orderkey"], updates, insert_new=updates is None)
+        merged = merge_state(target, batch, ["o_orderkey"], updates)
         assert count_node(merged, "Exchange hashpartitioning") == 0
         assert "BroadcastHashJoin" in physical_plan(merged)
 
@@ -123,3 +123,11 @@ def test_large_merge_shuffles_the_target_once(spark):
         assert count_node(merged, "Exchange hashpartitioning") == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_only_newer_rows_replace(frame, rows, day):
+    schema = "k long, u timestamp_ntz, i long, v string"
+    target = frame([(1, day(2), 1, "t"), (2, day(2), 1, "t"), (3, None, 1, "t"), (None, day(1), 1, "t"), (4, day(2), 1, "t"), (6, day(1), 1, "t")], schema)
+    batch = frame([(1, day(3), 1, "s"), (2, day(1), 9, "s"), (3, day(1), 0, "s"), (None, day(2), 1, "s"), (4, day(2), 2, "s"), (5, None, 1, "s"), (6, None, 9, "s")], schema)
+    merged = merge_newer(target, batch, ["k"], "u", ("i",))
+    assert rows(merged, "k", "v") == [(1, "s"), (2, "t"), (3, "s"), (4, "s"), (5, "s"), (6, "t"), (None, "s")]

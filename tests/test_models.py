@@ -96,7 +96,8 @@ def test_newest_customer_wins(landing, rows, day):
 def test_two_days(spark, landing, loader, rows, day):
     fill(landing, day)
     first = loader()
-    report = first.run(day(1, 7)).collect()
+    assert set(first.run(day(1, 7)).values()) == {"success"}
+    report = first.report().collect()
     assert [(r["report"], r["subject"]) for r in report] == [("SUCCESS", "Run succeeded (15 models)")]
     table = lambda name: spark.table(first.table("consumption", name))
     assert rows(table("dim_deals"), "deal_id", "dealstage", "end_dt", "is_active") == [
@@ -141,13 +142,15 @@ def test_failed_table_skips_what_is_built_on_it(spark, landing, loader, day):
     only = {"assoc_quotes_deals", "dim_assoc_quotes_deals", "parsed_quotes", "dim_quotes"}
     loader().run(day(1, 7), only)
     run = loader(run_id="again")
-    report = run.run(day(2, 7), only).collect()
+    assert run.run(day(2, 7), only)["dim_assoc_quotes_deals"] == "error"
+    report = run.report().collect()
     assert [(r["report"], r["subject"]) for r in report] == [("FAILURE", "Run failed (1 of 4 models)")]
     assert "more than one batch row for key" in report[0]["body"]
 
     broken = loader(run_id="broken")
     broken.landing = lambda name: landing(name).select(F.raise_error(F.lit("<no source>")).alias("quote_id"))
-    report = broken.run(day(3, 7), {"parsed_quotes", "dim_quotes"}).collect()
+    broken.run(day(3, 7), {"parsed_quotes", "dim_quotes"})
+    report = broken.report().collect()
     status = {r["sp_name"]: r["status"] for r in spark.table(broken.log_table).where("job_id LIKE 'broken::%'").collect()}
     assert status == {"parsed_quotes": "FAILED", "dim_quotes": "SKIPPED"}
     assert report[0]["subject"] == "Run failed (1 of 2 models)"

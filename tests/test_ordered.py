@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lakemart.operators.ordered import (
     hot_groups,
     ordered_rows,
+    with_group_size,
     with_next,
     with_position,
     with_previous,
@@ -70,3 +72,12 @@ def test_hot_groups_are_few(skewed):
     assert size == 150 and sorted(groups.values()) == [2, 2]
     assert hot_groups(df, ("k", "j"), 1000) == ({}, 1000)
     assert hot_groups(df.limit(0), ("k", "j"))[0] == {}
+
+
+@pytest.mark.parametrize("hot_rows", [5_000_000, 150])
+def test_group_size(skewed, hot_rows):
+    data, df = skewed
+    sizes = Counter((r[0], r[1]) for r in data)
+    got = with_group_size(df, ["k", "j"], "n", hot_rows).collect()
+    assert len(got) == len(data)
+    assert all(r["n"] == sizes[(r["k"], r["j"])] for r in got)

@@ -139,6 +139,24 @@ def test_rebuild_is_one_shuffle(spark):
     assert count_node(plan, "Sort") == 1
 
 
+def test_active_scope_joins_on_the_key_alone(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = {"key": "user_id", "updated": "ts", "tracked": ["event_type"], "ties": ("event_id",)}
+    target = frame_of(scd2_seed(events, **plan))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        added = scd2_new_versions(target, events, match_scope="active", **plan)
+        # the source by key, the open slice by key, no further shuffle for the anti join
+        assert count_node(added, "Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def frame_of(df):
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def test_streak_shares_ties(frame, rows, day):
     df = frame([(1, "A", day(1), 0), (1, "B", day(2), 0), (1, "C", day(2), 1), (1, "C", day(3), 0)], SCHEMA)
     got = rows(change_streak(df, "k", "u", ["v"], ("p",)), "v", "streak")
