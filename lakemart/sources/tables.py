@@ -25,6 +25,11 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def store_view(spark: SparkSession, name: str, query: str) -> None:
+    """Keep a query over other layers in the catalog; names come from ``layers.database``."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table; parquet answers from the footers, no column is read."""
     counted = [
