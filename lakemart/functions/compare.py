@@ -23,6 +23,15 @@ def all_equal(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(and_, [left == right for left, right in pairs])
 
 
+def same_beside_key(pairs: list[tuple[Column, Column]]) -> Column:
+    """``all_same`` in a form that stays out of the join keys.
+
+    For joins whose sides already lie partitioned by the other keys: as a join
+    key, the pairs would force both sides into another shuffle.
+    """
+    return ~F.array_contains(F.array(*[~left.eqNullSafe(right) for left, right in pairs]), True)
+
+
 def side_pairs(columns: list[str], left: str, right: str) -> list[tuple[Column, Column]]:
     """``left.c`` beside ``right.c`` for aliased join sides."""
     return [(F.col(f"{left}.`{c}`"), F.col(f"{right}.`{c}`")) for c in columns]

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakemart.functions.compare import all_same, same_beside_key, side_pairs
+
 HOT_ROWS = 5_000_000
 HOT_SHARE = 1000
 SKETCH_ITEMS = 4096
@@ -94,10 +96,7 @@ def with_group_size(df: DataFrame, keys: str | list[str], name: str, hot_rows: i
     is_hot = F.xxhash64(*keys).isin(list(hot))
     busy = df.where(is_hot)
     counts = busy.groupBy(*keys).agg(size.alias(name))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
-    counted = busy.alias("r").join(F.broadcast(counts).alias("c"), same).select("r.*", f"c.`{name}`")
+    counted = busy.alias("r").join(F.broadcast(counts).alias("c"), all_same(side_pairs(keys, "r", "c"))).select("r.*", f"c.`{name}`")
     return df.where(~is_hot).withColumn(name, size.over(Window.partitionBy(*keys))).unionByName(counted)
 
 
@@ -169,8 +168,7 @@ def _slice_summary(rows: OrderedRows, summary: Column, carry) -> DataFrame:
 
 def _join_carry(rows: OrderedRows, df: DataFrame, carry: DataFrame) -> DataFrame:
     same = (F.col(f"r.{GROUP}") == F.col(f"c.{GROUP}")) & (F.col(f"r.{SLICE}") == F.col(f"c.{SLICE}"))
-    for k in rows.keys:
-        same = same & F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
+    same = same & same_beside_key(side_pairs(list(rows.keys), "r", "c"))
     return df.alias("r").join(carry.alias("c"), same, "left").select("r.*", "c._carry")
 
 

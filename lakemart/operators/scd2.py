@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.functions.compare import all_same, any_changed, side_pairs
+from lakemart.functions.compare import all_same, any_changed, same_beside_key, side_pairs
 from lakemart.operators.dedupe import latest_per_key
 from lakemart.operators.ordered import (
     HOT_ROWS,
@@ -119,8 +119,7 @@ def scd2_new_versions(
     elif match_scope == "active":
         newest = latest_per_key(source, key, updated, ties, nulls)
         # both sides have few rows per key: joined on the key alone, as they are already partitioned
-        differs = [~left.eqNullSafe(right) for left, right in side_pairs(tracked, "s", "t")]
-        known = same_key & ~F.array_contains(F.array(*differs), True)
+        known = same_key & same_beside_key(side_pairs(tracked, "s", "t"))
         rows = newest.alias("s").join(versions.where("is_active").alias("t"), known, "left_anti")
     else:
         raise ValueError("match_scope must be 'any' or 'active'")

@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -54,7 +55,5 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lakemart/{name}-{uuid.uuid4().hex}"
 
 
-
-
 def cores_from_environment(default: int) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
