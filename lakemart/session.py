@@ -19,6 +19,26 @@ SETTINGS = {
 }
 
 
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Settings for a job on many executors, to be given to spark-submit.
+
+    Shuffles start with many small partitions and are joined up to the advisory
+    size at run time, so one setting serves a daily load and a full rebuild.
+    Broadcasts are decided on measured sizes only.
+    """
+    return {
+        **SETTINGS,
+        "spark.sql.shuffle.partitions": str(4 * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.speculation": "false",
+    }
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster the session comes from spark-submit."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("lakemart")
