@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.functions.compare import all_same, any_changed, same_beside_key, side_pairs
@@ -142,9 +142,11 @@ def scd2_delta(
     """What a load makes of the open slice: rows still open, rows closed now, new rows.
 
     Versions closed before are not part of it. ``versions`` are all stored
-    versions; only ``match_scope="any"`` reads the closed ones, and of these
-    just the key and the tracked columns.
+    versions; only ``match_scope="any"`` reads them, and of these just the key
+    and the tracked columns.
     """
+    if match_scope == "active":
+        return _turn_over(open_rows, source, key, updated, tracked, passthrough, end, ties, nulls)
     closed = close_open(open_rows, source, key, updated, tracked, ties, nulls)
     added = scd2_new_versions(
         versions, source, key, updated, tracked, passthrough, end, match_scope, ties, nulls
@@ -152,6 +154,46 @@ def scd2_delta(
     return closed.unionByName(added)
 
 
+def _turn_over(
+    open_rows: DataFrame,
+    source: DataFrame,
+    key: str,
+    updated: str,
+    tracked: list[str],
+    passthrough: tuple[str, ...],
+    end: str,
+    ties: tuple[str, ...],
+    nulls: str,
+) -> DataFrame:
+    """Close and load of the open slice in one join, reading the source once.
+
+    The open versions of a key, as a rule one, are packed into one row, so each
+    side of the join has one row per key.
+    """
+    newest = latest_per_key(source, key, updated, ties, nulls)
+    loaded = _open_version(newest, [key, *tracked, *passthrough], updated, end).withColumn("_hit", F.lit(True))
+    names = open_rows.columns
+    packed = open_rows.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("_open"))
+    joined = packed.alias("t").join(loaded.alias("s"), F.col(f"t.`{key}`") == F.col(f"s.`{key}`"), "full_outer")
+
+    there = F.col("s._hit").isNotNull()
+    row = F.struct(*[F.col(f"s.`{c}`").alias(c) for c in names])
+    none = F.filter(F.array(row), lambda r: F.lit(False))
+    stored = F.coalesce(F.col("t._open"), none)
+
+    def pairs(version: Column) -> list[tuple[Column, Column]]:
+        return [(version[c], F.col(f"s.`{c}`")) for c in tracked]
+
+    def after(version: Column) -> Column:
+        ended = {"end_dt": F.col("s.start_dt"), "is_active": F.lit(False)}
+        closed = F.struct(*[ended.get(c, version[c]).alias(c) for c in names])
+        return F.when(there & any_changed(pairs(version)), closed).otherwise(version)
+
+    known = F.exists(stored, lambda version: all_same(pairs(version)))
+    added = F.when(there & ~known, F.array(row)).otherwise(none)
+    return joined.select(F.inline(F.concat(F.transform(stored, after), added)))
+
+
 def scd2_incremental(
     target: DataFrame,
     source: DataFrame,

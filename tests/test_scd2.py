@@ -157,6 +157,26 @@ def frame_of(df):
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def test_several_open_versions_of_a_key(frame, rows, day):
+    """As a table looks that was loaded with "any" before."""
+    schema = "k long, v string, start_dt timestamp_ntz, end_dt timestamp_ntz, is_active boolean"
+    target = frame(
+        [
+            (1, "A", day(1), OPEN, True), (1, "B", day(2), OPEN, True), (1, "Z", day(1), day(2), False),
+            (2, "A", day(1), OPEN, True), (2, "B", day(2), OPEN, True),
+            (3, None, day(1), OPEN, True), (None, "N", day(1), OPEN, True), (4, "gone", day(1), OPEN, True),
+        ],
+        schema,
+    )
+    source = frame([(1, "B", day(5), 0), (2, "C", day(5), 0), (3, None, day(5), 0), (None, "N", day(5), 0)], SCHEMA)
+    assert rows(scd2_incremental(target, source, match_scope="active", **PLAN)) == [
+        (1, "A", day(1), day(5), False), (1, "B", day(2), OPEN, True), (1, "Z", day(1), day(2), False),
+        (2, "A", day(1), day(5), False), (2, "B", day(2), day(5), False), (2, "C", day(5), OPEN, True),
+        (3, None, day(1), OPEN, True), (4, "gone", day(1), OPEN, True),
+        (None, "N", day(1), OPEN, True), (None, "N", day(5), OPEN, True),
+    ]
+
+
 def test_streak_shares_ties(frame, rows, day):
     df = frame([(1, "A", day(1), 0), (1, "B", day(2), 0), (1, "C", day(2), 1), (1, "C", day(3), 0)], SCHEMA)
     got = rows(change_streak(df, "k", "u", ["v"], ("p",)), "v", "streak")
