@@ -63,10 +63,14 @@ def hot_groups(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) -
     Each task reduces its rows to one sketch of bounded size. The sketches are
     merged in groups first, so no single task takes in one from every task.
     """
+    some = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
     merged = (
-        df.select(F.xxhash64(*keys).alias(GROUP), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_part"))
+        df.select(F.xxhash64(*keys).alias(GROUP), some.alias("_part"))
         .groupBy("_part")
-        .agg(F.expr(f"approx_top_k_accumulate({GROUP}, {SKETCH_ITEMS})").alias("_sketch"), F.count(F.lit(1)).alias("_n"))
+        .agg(
+            F.expr(f"approx_top_k_accumulate({GROUP}, {SKETCH_ITEMS})").alias("_sketch"),
+            F.count(F.lit(1)).alias("_n"),
+        )
     )
     found = (
         merged.groupBy(F.lit(0).alias("_all"))
@@ -106,13 +110,20 @@ def ordered_rows(
     time: str,
     ties: tuple[str, ...] = (),
     hot_rows: int = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> OrderedRows:
+    """The frame ready for the windows below, hot keys cut into slices.
+
+    Hot keys are looked for in ``probe``, a cheaper frame with the keys and the
+    time, where one is given.
+    """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     rows = OrderedRows(df, keys, time, tuple(ties))
-    slices, size = hot_groups(df, keys, hot_rows)
+    probe = df if probe is None else probe
+    slices, _ = hot_groups(probe, keys, hot_rows)
     if not slices:
         return rows
-    cuts = _cut_points(df, rows, slices)
+    cuts = _cut_points(probe, rows, slices)
     cut = (
         df.withColumn(GROUP, F.xxhash64(*keys))
         .join(F.broadcast(cuts), GROUP, "left")

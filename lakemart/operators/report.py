@@ -50,19 +50,6 @@ def _failure_entry() -> Column:
     )
 
 
-def _parts(rows: DataFrame, entry: Column, part_rows: int, hot_rows: int) -> DataFrame:
-    """Entries of each run in order of start, then job, joined into parts."""
-    listed = rows.select(
-        run_of("job_id").alias("run_id"), "job_id", "start_time", entry.alias("entry")
-    ).where("run_id IS NOT NULL")
-    placed = with_position(ordered_rows(listed, "run_id", "start_time", ("job_id",), hot_rows), "_position").result()
-    return (
-        placed.withColumn("part", F.expr(f"(_position - 1) div {part_rows}").cast("int"))
-        .groupBy("run_id", "part")
-        .agg(F.expr("listagg(entry, '') WITHIN GROUP (ORDER BY _position)").alias("entries"))
-    )
-
-
 def _labelled(label: str, value: Column) -> Column:
     return F.concat(F.lit(f"<p>{label}: "), value, F.lit("</p>"))
 
@@ -71,10 +58,12 @@ def _started() -> Column:
     return F.coalesce(F.date_format("started", "yyyy-MM-dd HH:mm:ss"), F.lit(NO_VALUE))
 
 
-def success_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """run_id, part, subject, body: one table row per node. A run without rows has no report."""
-    subject = F.concat(F.lit("Run succeeded ("), F.col("total").cast("string"), F.lit(" models)"))
-    body = F.concat(
+def _success_subject() -> Column:
+    return F.concat(F.lit("Run succeeded ("), F.col("total").cast("string"), F.lit(" models)"))
+
+
+def _success_body() -> Column:
+    return F.concat(
         F.lit("<h2>Run succeeded</h2>"),
         _labelled("Run ID", F.col("run_id")),
         _labelled("Started", _started()),
@@ -85,38 +74,84 @@ def success_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = H
         F.col("entries"),
         F.lit("</table>"),
     )
-    return _report(log, log, _success_entry(), run_summary(log), subject, body, part_rows, hot_rows)
 
 
-def failure_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """run_id, part, subject, body: one block per failed node. No failure, no report."""
-    share = F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" models"))
-    subject = F.concat(F.lit("Run failed ("), share, F.lit(")"))
-    body = F.concat(
+def _failed_share() -> Column:
+    return F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" models"))
+
+
+def _failure_subject() -> Column:
+    return F.concat(F.lit("Run failed ("), _failed_share(), F.lit(")"))
+
+
+def _failure_body() -> Column:
+    return F.concat(
         F.lit("<h2>Run failed</h2>"),
         _labelled("Run ID", F.col("run_id")),
         _labelled("Started", _started()),
-        _labelled("Failed", share),
+        _labelled("Failed", _failed_share()),
         F.col("entries"),
     )
-    failed = log.where("status = 'FAILED'")
-    runs = run_summary(log).where("failed > 0")
-    return _report(log, failed, _failure_entry(), runs, subject, body, part_rows, hot_rows)
-
-
-def _report(
-    log: DataFrame, rows: DataFrame, entry: Column, runs: DataFrame,
-    subject: Column, body: Column, part_rows: int, hot_rows: int,
-) -> DataFrame:
-    parts = _parts(rows, entry, part_rows, hot_rows)
-    return parts.join(runs, "run_id").select(
-        "run_id", "part", subject.alias("subject"), body.alias("body")
+
+
+def _parts(log: DataFrame, listed: DataFrame, part_rows: int, hot_rows: int) -> DataFrame:
+    """Entries of each run in order of start, then job, joined into parts.
+
+    ``listed`` holds run_id, job_id, start_time, entry of the rows shown; runs
+    with very many rows are looked for in the log itself.
+    """
+    rows = ordered_rows(listed, "run_id", "start_time", ("job_id",), hot_rows, probe=log.select("run_id", "start_time"))
+    return (
+        with_position(rows, "_position")
+        .result()
+        .withColumn("part", F.expr(f"(_position - 1) div {part_rows}").cast("int"))
+        .groupBy("run_id", "part")
+        .agg(F.expr("listagg(entry, '') WITHIN GROUP (ORDER BY _position)").alias("entries"))
     )
 
 
+def _rows_of_runs(log: DataFrame) -> DataFrame:
+    return log.withColumn("run_id", run_of("job_id")).where("run_id IS NOT NULL")
+
+
+def _texts(parts: DataFrame, runs: DataFrame, subject: Column, body: Column, *others: Column) -> DataFrame:
+    return parts.join(runs, "run_id").select("run_id", "part", subject.alias("subject"), body.alias("body"), *others)
+
+
+_LISTED = ("run_id", "job_id", "start_time")
+
+
+def success_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """run_id, part, subject, body: one table row per node. A run without rows has no report."""
+    rows = _rows_of_runs(log)
+    listed = rows.select(*_LISTED, _success_entry().alias("entry"))
+    parts = _parts(rows, listed, part_rows, hot_rows)
+    return _texts(parts, run_summary(log), _success_subject(), _success_body())
+
+
+def failure_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """run_id, part, subject, body: one block per failed node. No failure, no report."""
+    rows = _rows_of_runs(log).where("status = 'FAILED'")
+    listed = rows.select(*_LISTED, _failure_entry().alias("entry"))
+    parts = _parts(rows, listed, part_rows, hot_rows)
+    return _texts(parts, run_summary(log), _failure_subject(), _failure_body())
+
+
 def run_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One report per run: the failure report where a node failed, else the success report."""
-    failures = failure_report(log, part_rows, hot_rows).withColumn("report", F.lit("FAILURE"))
-    good_runs = run_summary(log).where("failed = 0").select("run_id")
-    successes = success_report(log, part_rows, hot_rows).join(good_runs, "run_id", "left_semi")
-    return failures.unionByName(successes.withColumn("report", F.lit("SUCCESS")))
+    """One report per run: the failure report where a node failed, else the success report.
+
+    The log is joined with its runs on the column the listing is partitioned by,
+    so choosing the kind and listing the entries share one shuffle.
+    """
+    bad = F.col("failed") > 0
+    runs = run_summary(log)
+    rows = _rows_of_runs(log)
+    shown = rows.join(runs.select("run_id", "failed"), "run_id").where((F.col("failed") == 0) | (F.col("status") == "FAILED"))
+    listed = shown.select(*_LISTED, F.when(bad, _failure_entry()).otherwise(_success_entry()).alias("entry"))
+    return _texts(
+        _parts(rows, listed, part_rows, hot_rows),
+        runs,
+        F.when(bad, _failure_subject()).otherwise(_success_subject()),
+        F.when(bad, _failure_body()).otherwise(_success_body()),
+        F.when(bad, "FAILURE").otherwise("SUCCESS").alias("report"),
+    )

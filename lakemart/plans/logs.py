@@ -107,7 +107,7 @@ def report_failure(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def one_report(spark: SparkSession, folder: str) -> DataFrame:
-    return run_report(run_log(spark, folder)).select("run_id", "report", "part", "subject")
+    return run_report(run_log(spark, folder))
 
 
 def json_params(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,11 +211,9 @@ SELECT run_id, CASE WHEN failed > 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS report,
     "run_report_failure": Query(report_failure, f"WITH {_LOG}, {_SUMMARY} {_FAILURE}"),
     "run_report_one_per_run": Query(
         one_report,
-        f"""WITH {_LOG}, {_SUMMARY}
-SELECT run_id, CASE WHEN failed > 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS report, 0 AS part,
-  CASE WHEN failed > 0 THEN 'Run failed (' || failed || ' of ' || total || ' models)'
-       ELSE 'Run succeeded (' || total || ' models)' END AS subject
-FROM runs""",
+        f"""WITH {_LOG}, {_SUMMARY}, success AS ({_SUCCESS}), failure AS ({_FAILURE})
+SELECT f.*, 'FAILURE' AS report FROM failure f
+UNION ALL SELECT s.*, 'SUCCESS' FROM success s WHERE run_id NOT IN (SELECT run_id FROM failure)""",
     ),
     "json_params": Query(
         json_params,

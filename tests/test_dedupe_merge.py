@@ -127,7 +127,15 @@ def test_large_merge_shuffles_the_target_once(spark):
 
 def test_only_newer_rows_replace(frame, rows, day):
     schema = "k long, u timestamp_ntz, i long, v string"
-    target = frame([(1, day(2), 1, "t"), (2, day(2), 1, "t"), (3, None, 1, "t"), (None, day(1), 1, "t"), (4, day(2), 1, "t"), (6, day(1), 1, "t")], schema)
-    batch = frame([(1, day(3), 1, "s"), (2, day(1), 9, "s"), (3, day(1), 0, "s"), (None, day(2), 1, "s"), (4, day(2), 2, "s"), (5, None, 1, "s"), (6, None, 9, "s")], schema)
+    target = frame(
+        [(1, day(2), 1, "t"), (2, day(2), 1, "t"), (3, None, 1, "t"), (4, day(2), 1, "t"), (6, day(1), 1, "t")]
+        + [(None, day(1), 1, "t")],
+        schema,
+    )
+    batch = frame(
+        [(1, day(3), 1, "s"), (2, day(1), 9, "s"), (3, day(1), 0, "s"), (4, day(2), 2, "s"), (5, None, 1, "s")]
+        + [(6, None, 9, "s"), (None, day(2), 1, "s")],
+        schema,
+    )
     merged = merge_newer(target, batch, ["k"], "u", ("i",))
     assert rows(merged, "k", "v") == [(1, "s"), (2, "t"), (3, "s"), (4, "s"), (5, "s"), (6, "t"), (None, "s")]

@@ -32,7 +32,7 @@ def skewed(spark):
     return data, spark.createDataFrame(data, SCHEMA).repartition(5)
 
 
-def reference(data):
+def brute_force(data):
     out = {}
     for key in {(r[0], r[1]) for r in data}:
         mine = sorted(
@@ -56,7 +56,20 @@ def test_against_brute_force(skewed, hot_rows):
     assert rows.sliced == (hot_rows < 1000)
     rows = with_position(with_running_total(with_next(with_previous(rows, ["v"])), F.col("v"), "total"), "n")
     got = {r["i"]: (r["_prev"]["v"] if r["_prev"] else None, r["_next"], r["total"], r["n"]) for r in rows.result().collect()}
-    assert got == reference(data)
+    assert got == brute_force(data)
+
+
+def test_slices_by_date(skewed):
+    data, df = skewed
+    by_date = [(*r[:2], r[2].date() if r[2] else None, *r[3:]) for r in data]
+    rows = ordered_rows(df.withColumn("u", F.to_date("u")), ["k", "j"], "u", ("i",), 60)
+    assert rows.sliced
+    got = with_position(with_next(with_previous(rows, ["v"])), "n").result().collect()
+    expected = brute_force([(*r[:2], dt.datetime.combine(r[2], dt.time()) if r[2] else None, *r[3:]) for r in by_date])
+    for r in got:
+        previous, following, _, n = expected[r["i"]]
+        assert (r["_prev"]["v"] if r["_prev"] else None, r["n"]) == (previous, n)
+        assert r["_next"] == (following.date() if following else None)
 
 
 def test_no_slice_holds_a_hot_key(skewed):

@@ -76,6 +76,11 @@ def test_one_report_per_run(log):
     assert sorted((r["run_id"], r["report"], r["part"]) for r in reports) == [
         ("bad", "FAILURE", 0), ("good", "SUCCESS", 0), ("idle", "SUCCESS", 0),
     ]
+    assert {r["run_id"]: r["body"] for r in reports} == {
+        r["run_id"]: r["body"]
+        for r in [*failure_report(log).collect(), *success_report(log).collect()]
+        if (r["run_id"] == "bad") == r["subject"].startswith("Run failed")
+    }
     assert run_report(rows_of_run(log, "none")).count() == 0
 
 
@@ -111,6 +116,8 @@ def test_parts_make_the_whole_report(frame, hot_rows):
     whole = failure_report(log).collect()
     assert len(whole) == 1
     parts = sorted(failure_report(log, part_rows=8, hot_rows=hot_rows).collect(), key=lambda r: r["part"])
+    chosen = sorted(run_report(log, part_rows=8, hot_rows=hot_rows).collect(), key=lambda r: r["part"])
+    assert [r["body"] for r in chosen] == [r["body"] for r in parts]
     assert [r["part"] for r in parts] == list(range(7))
     head = whole[0]["body"].index("<div>")
     assert "".join(r["body"][head:] for r in parts) == whole[0]["body"][head:]
