@@ -32,13 +32,15 @@ def merge_state(
     null_safe_keys: bool = False,
     insert_new: bool = True,
     batch_keys: DataFrame | None = None,
+    not_older: str | None = None,
 ) -> DataFrame:
     """Matched rows take the batch's values, new rows come in, all others stay.
 
     ``update_columns`` limits what a matched row takes over. Unless
     ``null_safe_keys``, a key with a NULL part matches nothing and its rows come
     in again with every batch. The batch must hold one row per key (see
-    ``unique_batch`` and ``merge_latest``).
+    ``unique_batch`` and ``merge_latest``). ``not_older`` names a time column: a
+    batch row that is older there than the stored row changes nothing.
 
     The target is never on the broadcast side: Spark broadcasts the batch when
     it measures it to be small, and then the target is not shuffled at all;
@@ -51,20 +53,25 @@ def merge_state(
     matchable, loose = (target, None) if null_safe_keys else _split_null_keys(target, keys)
 
     if update_columns is None:
-        if not insert_new:
+        if not_older or not insert_new:
             update_columns = [c for c in target.columns if c not in keys]
         else:
             incoming = batch.select(*keys) if batch_keys is None else batch_keys
             kept = matchable.alias("t").join(incoming.alias("s"), on, "left_anti")
             return _union(kept, loose, batch)
 
-    patch = batch.select(*keys, *update_columns).withColumn("_hit", F.lit(True))
+    taken = dict.fromkeys([*keys, *update_columns, *([not_older] if not_older else [])])
+    patch = batch.select(*taken).withColumn("_hit", F.lit(True))
+    hit = F.col("s._hit")
+    if not_older:
+        stored, given = F.col(f"t.`{not_older}`"), F.col(f"s.`{not_older}`")
+        hit = hit & (stored.isNull() | (given >= stored))
     merged = (
         matchable.alias("t")
         .join(patch.alias("s"), on, "left")
         .select(
             *[
-                F.when(F.col("s._hit"), F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c)
+                F.when(hit, F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c)
                 if c in update_columns
                 else F.col(f"t.`{c}`")
                 for c in target.columns
@@ -118,13 +125,15 @@ def merge_latest(
     null_safe_keys: bool = False,
     nulls: str = "last",
     columns: list[str] | None = None,
+    not_older: str | None = None,
 ) -> DataFrame:
     """Dedupe the source to its newest row per key, then merge those of its ``columns`` wanted."""
     batch = latest_per_key(source, keys, updated, ties, nulls)
     if columns:
         batch = batch.select(*columns)
+    known = source.select(*keys).distinct()
     return merge_state(
-        target, batch, keys, update_columns, null_safe_keys, batch_keys=source.select(*keys).distinct()
+        target, batch, keys, update_columns, null_safe_keys, batch_keys=known, not_older=not_older
     )
 
 

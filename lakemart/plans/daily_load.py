@@ -124,9 +124,10 @@ class DailyLoad:
                 return publish_history(model.first(source, clock), table, model.is_open, restart=True)
             delta = model.delta(read_open(self.spark, table), target, source, clock)
             return publish_history(delta, table, model.is_open)
-        if self.loaded_since and target is not None and "load_dt" in source.columns:
+        new_only = bool(self.loaded_since) and target is not None and "load_dt" in source.columns
+        if new_only:
             source = source.where(source.load_dt >= self.loaded_since)
-        return publish(model.build(target, source), table)
+        return publish(model.build(target, source, new_only), table)
 
     def _result(self, layer: str, name: str, status: str, seconds: float, rows: int, message: str | None) -> tuple:
         schema = "postgres" if layer == "transform" else "analytics"

@@ -192,7 +192,8 @@ class Merged:
     updated: str = "updated_dt"
     null_safe_keys: bool = False
 
-    def build(self, target: DataFrame | None, source: DataFrame) -> DataFrame:
+    def build(self, target: DataFrame | None, source: DataFrame, new_only: bool = False) -> DataFrame:
+        """``new_only``: the source holds new loads only, so a late row may be older than the stored one."""
         keys, names = list(self.keys), list(self.columns) or source.columns
         ties = _ties(source, self.updated, [c for c in names if c not in keys])
         if target is None:
@@ -206,6 +207,7 @@ class Merged:
             list(self.update_columns) or None,
             self.null_safe_keys,
             columns=names,
+            not_older=self.updated if new_only else None,
         )
 
 
@@ -216,7 +218,7 @@ class Bridged:
     source: str
     keys: tuple[str, ...]
 
-    def build(self, target: DataFrame | None, source: DataFrame) -> DataFrame:
+    def build(self, target: DataFrame | None, source: DataFrame, new_only: bool = False) -> DataFrame:
         if target is None:
             return source.distinct()
         return merge_distinct(target, source, list(self.keys))

@@ -169,10 +169,22 @@ def test_merge_of_new_loads_only(spark, landing, loader, rows, day):
     fill(landing, day)
     only = {"qb_invoices", "dim_invoices"}
     loader().run(day(1, 7), only)
-    landing.add("qb_invoices", id=6, created_at=day(2), updated_at=day(2), load_time=day(2))
+    landing.add("qb_invoices", id=4, doc_number="new", updated_at=day(2), load_time=day(2))
+    landing.add("qb_invoices", id=5, doc_number="y", updated_at=day(1, 1), load_time=day(2))
+    landing.add("qb_invoices", id=6, doc_number="new", updated_at=day(2), load_time=day(2))
     run = loader(loaded_since=day(2).date())
     run.run(day(2, 7), only)
-    assert rows(spark.table(run.table("consumption", "dim_invoices")), "id") == [(5,), (6,)]
+    # equal days: the later load wins, as over the whole source
+    second = [(4, "new"), (5, "y"), (6, "new")]
+    assert rows(spark.table(run.table("consumption", "dim_invoices")), "id", "doc_number") == second
+    landing.add("qb_invoices", id=6, doc_number="late", updated_at=day(1), load_time=day(3))
+    landing.add("qb_invoices", id=4, doc_number="no time", load_time=day(3))
+    last = loader(loaded_since=day(3).date())
+    last.run(day(3, 7), only)
+    assert rows(spark.table(run.table("consumption", "dim_invoices")), "id", "doc_number") == second
+    whole = loader(loaded_since=None)
+    whole.run(day(4, 7), {"dim_invoices"})
+    assert rows(spark.table(run.table("consumption", "dim_invoices")), "id", "doc_number") == second
 
 
 def test_landing_tables_are_read_as_declared(spark, db, frame, rows):
