@@ -8,8 +8,9 @@ first row, its total) is one small row per slice, joined back.
 Finding hot keys takes one pass over the key columns with a frequent-items
 sketch. The sketch only steers the cutting; results are exact whatever it says.
 
-Bounds: a key is hot when it holds more than 1/1000 of all rows (and more than
-``hot_rows``), so there are fewer than 1000 hot keys and at most 2000 slices.
+Bounds: a key is hot when it holds more than about 1/1000 of all rows (and more
+than ``hot_rows``). The sketch names at most 1000 keys, and as its counts exceed
+the true ones by less than 1/1000 of the rows each, fewer than 3000 slices arise.
 These lists pass through the driver and are broadcast.
 """
 
