@@ -9,6 +9,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from lakemart.plans import registered
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def con():
     return oracle.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_query(spark, con, name):
     sql = contract.oracle_sql().get(name)
     assert sql is not None
