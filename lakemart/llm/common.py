@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from lakemart.session import work_folder
 
-#: Bytes of text that a task takes into numpy at a time.
+#: Bytes of text that a task takes into numpy at a time, and of those hashed at a time.
 BATCH_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -96,6 +97,18 @@ def lower_table() -> np.ndarray:
     return table
 
 
+def _hash_block(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word: a polynomial over random byte values, taken to the word's own start."""
+    base = begin[0]
+    data = data[base : end[-1]]
+    powers, inverse = _power_tables(len(data) + 1)
+    values = np.append(_byte_values()[data] * powers[: len(data)], np.uint64(0))
+    edges = np.empty(2 * len(begin), np.int64)
+    edges[0::2], edges[1::2] = begin - base, end - base
+    sums = np.add.reduceat(values, edges)[0::2]
+    return mix(sums * inverse[begin - base] + (end - begin).astype(np.uint64))
+
+
 class Words:
     """The words of a batch of texts: ``hash``, ``doc``, ``begin`` and ``end`` (bytes in ``data``) of each.
 
@@ -132,17 +145,12 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if not hasattr(self, "_hash"):
-            powers, inverse = _power_tables(len(self.data) + 1)
-            if len(self.begin):
-                values = _byte_values()[self.data] * powers[: len(self.data)]
-                edges = np.empty(2 * len(self.begin), np.int64)
-                edges[0::2], edges[1::2] = self.begin, self.end
-                if edges[-1] == len(values):
-                    values = np.append(values, np.uint64(0))
-                sums = np.add.reduceat(values, edges)[0::2]
-                self._hash = mix(sums * inverse[self.begin] + (self.end - self.begin).astype(np.uint64))
-            else:
-                self._hash = np.zeros(0, np.uint64)
+            self._hash = np.empty(len(self.begin), np.uint64)
+            at = 0
+            while at < len(self.begin):  # a block of bytes at a time, at least one word
+                stop = max(at + 1, int(np.searchsorted(self.end, self.begin[at] + HASH_BYTES, side="right")))
+                self._hash[at:stop] = _hash_block(self.data, self.begin[at:stop], self.end[at:stop])
+                at = stop
         return self._hash
 
     def text(self, d: int, keep: np.ndarray | None = None) -> bytes:

@@ -38,6 +38,12 @@ def quality(spark, folder):
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def repeats(spark, folder):
+    from lakemart.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def archives(spark, folder):
     from lakemart.llm.warc import archive_round_trip
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_pivotal_mix": LlmQuery(mixing),
     "op4_metric_range_join": LlmQuery(vectors),
     "op5_quadratic_quality": LlmQuery(quality),
+    "op6_super_kmers": LlmQuery(repeats),
     "op7_capture_index": LlmQuery(archives),
     "op9_token_lengths": LlmQuery(token_lengths),
     "op10_personal_data": LlmQuery(personal_data),
