@@ -20,6 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def decontamination(spark, folder):
+    from lakemart.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def near_copies(spark, folder):
+    from lakemart.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
 def mixing(spark, folder):
     from lakemart.llm.mixing import mix
 
@@ -44,6 +56,12 @@ def repeats(spark, folder):
     return without_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+def line_matches(spark, folder):
+    from lakemart.llm.lines import line_report
+
+    return line_report(table(spark, folder, "documents"))
+
+
 def archives(spark, folder):
     from lakemart.llm.warc import archive_round_trip
 
@@ -65,11 +83,14 @@ def personal_data(spark, folder):
 
 
 QUERIES = {
+    "op1_pigeonhole_edits": LlmQuery(decontamination),
+    "op2_signature_trees": LlmQuery(near_copies),
     "op3_pivotal_mix": LlmQuery(mixing),
     "op4_metric_range_join": LlmQuery(vectors),
     "op5_quadratic_quality": LlmQuery(quality),
     "op6_super_kmers": LlmQuery(repeats),
     "op7_capture_index": LlmQuery(archives),
+    "op8_line_join": LlmQuery(line_matches),
     "op9_token_lengths": LlmQuery(token_lengths),
     "op10_personal_data": LlmQuery(personal_data),
 }
