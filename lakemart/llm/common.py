@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many tasks as the session shuffles to, also where few bytes ask for much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def text_key(text: Column) -> Column:
     """Tells texts of one id apart where ids repeat; null and empty texts differ."""
     return F.xxhash64(text, F.length(text))

@@ -15,18 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakemart.llm.common import Words, combine, mix, rebatched, runs, stored, text_key
+from lakemart.llm.common import Words, combine, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.sets import (
     BIN_BYTES,
     BUNDLE,
-    ENTRY,
     bundled,
     dealt,
     filtered,
     grouped,
     key_filter,
     passes,
+    prefix_entries,
     prefix_length,
     shared_entries,
     threshold_overlap,
@@ -123,9 +123,7 @@ def _index(docs: DataFrame, common: np.ndarray, bins: int) -> DataFrame:
             length = prefix_length(s.size[one], PERCENT)
             owner = np.repeat(one, length)
             at = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-            out = np.empty(len(owner), ENTRY)
-            out["token"], out["cls"], out["size"], out["place"] = token[s.first[owner] + at], s.cls[owner], s.size[owner], at
-            yield bundled(out, bins)
+            yield bundled(*prefix_entries(token[s.first[owner] + at], owner, at, s.cls, s.size), bins)
 
     return docs.mapInArrow(entries, BUNDLE)
 
@@ -135,7 +133,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
         for run, cls in shared_entries(batches, lambda data: (), PERCENT):
             yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(cls)], ["run", "cls"])
 
-    return bundles.repartition("bin").sortWithinPartitions("bin").mapInArrow(met, "run long, cls long")
+    return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(met, "run long, cls long")
 
 
 def bits_for(size: int) -> int:

@@ -12,20 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import Words, mix, rebatched, runs, stored, text_key
+from lakemart.llm.common import Words, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
     BIN_BYTES,
     BUNDLE,
-    ENTRY,
+    MAPPED,
     bundled,
     dealt,
     filtered,
     grouped,
     key_filter,
     passes,
+    prefix_entries,
     prefix_length,
     shared_entries,
+    small_maps,
     threshold_overlap,
 )
 
@@ -153,9 +155,8 @@ def _index(docs: DataFrame, rarity: Rarity, bins: int) -> DataFrame:
             length = prefix_length(lines.size[one], PERCENT)
             owner = np.repeat(one, length)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-            out = np.empty(len(owner), ENTRY)
-            out["token"], out["cls"], out["size"], out["place"] = lines.token[lines.first[owner] + place], lines.cls[owner], lines.size[owner], place
-            yield bundled(out, bins)
+            maps = small_maps(lines.token, lines.first, lines.size)
+            yield bundled(*prefix_entries(lines.token[lines.first[owner] + place], owner, place, lines.cls, lines.size, maps), bins)
 
     return docs.mapInArrow(entries, BUNDLE)
 
@@ -166,7 +167,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
             kind, cls, ids, rows, numbers = np.frombuffer(data, np.int64).reshape(5, -1)
             yield kind, cls, ids, rows, numbers
 
-        for found in shared_entries(batches, other, PERCENT):
+        for found in shared_entries(batches, other, PERCENT, MAPPED):
             if len(found) == 2:
                 run, cls = found
                 none = pa.nulls(len(run), pa.int64())
@@ -177,7 +178,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
                     [pa.array(kind.astype(np.int32)), pa.nulls(len(cls), pa.int64()), pa.array(cls), pa.array(ids), pa.array(rows), pa.array(numbers.astype(np.int32))], _NAMES
                 )
 
-    return bundles.repartition("bin").sortWithinPartitions("bin").mapInArrow(met, FOUND)
+    return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(met, FOUND)
 
 
 def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filter: np.ndarray) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakemart.llm.common import Words, combine, group_edges, rebatched, stored, text_key
+from lakemart.llm.common import Words, combine, group_edges, rebatched, spread, stored, text_key
 
 WINDOW = 20
 MINIMISER = 3
@@ -255,7 +255,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sizes = _bucket_sizes(docs, buckets, window)
     hot = int(HOT_TIMES * max(3 * size / buckets, BUCKET_BYTES))
     split = {r["bin"]: -(-r["bytes"] // max(1, hot // 2)) for r in sizes.where(F.col("bytes") > hot).collect()}
-    packed = _pack(docs, buckets, split, window).repartition("bin", "part").sortWithinPartitions("bin", "part")
+    packed = spread(_pack(docs, buckets, split, window), "bin", "part").sortWithinPartitions("bin", "part")
     found = stored(_sort_buckets(packed, split, window, hot), "repeats")
     by_window = Window.partitionBy("high", "low")
     place = F.struct("id", "begin")

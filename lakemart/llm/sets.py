@@ -9,10 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import group_edges, mix
-
-#: An entry of the prefix index: a token and a set that holds it in its prefix.
-ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("place", "<i4")])
+from lakemart.llm.common import group_edges, mix, spread
+
+#: An entry of the prefix index: a token (what its bin leaves of it) and a set that holds it in its prefix.
+ENTRY = np.dtype([("cls", "<i8"), ("token", "<u4"), ("size", "<u4"), ("place", "<u2")])
+#: The same with a bitmap of the set's tokens, for sets of some dozen tokens.
+MAPPED = np.dtype([*ENTRY.descr, ("map", "<u8", (2,))])
+MAP_BITS = 128
+#: Sets of one token that are held against each other by bitmap at once; larger runs are cut and compared later.
+MOST_PAIRED = 20_000
+PAIRS = 1 << 21
 BUNDLE = "bin int, data binary"
 #: Bytes of entries that a bin should hold and at most holds in memory.
 BIN_BYTES = 8 << 20
@@ -31,9 +37,19 @@ def prefix_length(size, percent: int = 75):
     return size - -(-percent * size // 100) + 1
 
 
-def bundled(entries: np.ndarray, bins: int) -> pa.RecordBatch:
+def prefix_entries(tokens: np.ndarray, owner: np.ndarray, place: np.ndarray, cls: np.ndarray, size: np.ndarray, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Entries and the hashes of their tokens; ``owner`` says which set each token and place is of."""
+    out = np.empty(len(tokens), ENTRY if maps is None else MAPPED)
+    out["token"], out["cls"], out["size"] = tokens >> np.uint64(32), cls[owner], size[owner]
+    out["place"] = np.minimum(place, 65_535)
+    if maps is not None:
+        out["map"] = maps[owner]
+    return out, tokens
+
+
+def bundled(entries: np.ndarray, tokens: np.ndarray, bins: int) -> pa.RecordBatch:
     """Entries by bin of their token, one row for each bin met."""
-    number = (entries["token"] % np.uint64(bins)).astype(np.int32)
+    number = (tokens % np.uint64(bins)).astype(np.int32)
     order = np.argsort(number, kind="stable")
     entries, number = entries[order], number[order]
     edges = group_edges(number)
@@ -41,7 +57,18 @@ def bundled(entries: np.ndarray, bins: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
 
 
-def shared_entries(batches, other, percent: int = 75) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def small_maps(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A bitmap of MAP_BITS for each set of consecutive tokens."""
+    place = (mix(tokens + np.uint64(1)) % np.uint64(MAP_BITS)).astype(np.int64)
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    out = np.zeros((len(first), MAP_BITS // 64), np.uint64)
+    owner = np.repeat(np.arange(len(first)), size)
+    index = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(owner)) if len(first) else owner
+    np.bitwise_or.at(out, (owner, place[index] >> 6), bit[index])
+    return out
+
+
+def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From bundles sorted by bin: (run, cls) of all sets that share a prefix token with a set of fitting size.
 
     Tokens with the same sets give one run (named by a hash of the sets). A bin beyond what
@@ -53,7 +80,7 @@ def shared_entries(batches, other, percent: int = 75) -> Iterator[tuple[np.ndarr
         nonlocal held, size
         if held:
             entries = np.concatenate(held)
-            found = _shared(entries, percent) if whole else (entries["token"].view(np.int64), entries["cls"])
+            found = _shared(entries, percent) if whole else (_token_names(current, entries["token"]), entries["cls"])
             if len(found[0]):
                 yield found
         held, size = [], 0
@@ -70,11 +97,15 @@ def shared_entries(batches, other, percent: int = 75) -> Iterator[tuple[np.ndarr
             elif size >= MOST_BYTES:
                 whole = False
                 yield from close(whole)
-            held.append(np.frombuffer(data, ENTRY))
+            held.append(np.frombuffer(data, kind))
             size += len(data)
     yield from close(whole)
 
 
+def _token_names(number: int, tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens.astype(np.uint64) + (np.uint64(number) << np.uint64(32))).view(np.int64)
+
+
 def _shared(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((entries["size"], entries["token"]))
     e = entries[order]
@@ -93,7 +124,10 @@ def _shared(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (e["token"][1:] != e["token"][:-1]) | (100 * size[:-1] < percent * size[1:])
     run = np.cumsum(new) - 1
     fit = _positional(run, size, size - e["place"], percent)
-    e, run = e[fit], run[fit]
+    e, run, size = e[fit], run[fit], size[fit]
+    if "map" in e.dtype.names and len(e):
+        fit = _mapped(run, size, size - e["place"], np.ascontiguousarray(e["map"]), percent)
+        e, run = e[fit], run[fit]
     if not len(e):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     cls = e["cls"]
@@ -128,6 +162,35 @@ def _positional(run: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: in
     return able
 
 
+def _mapped(run: np.ndarray, size: np.ndarray, rest: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
+    """Entries that by size, place and bitmap can be similar to some other entry of their run."""
+    n = len(run)
+    edges = group_edges(run)
+    long = np.diff(edges) > MOST_PAIRED
+    able = np.repeat(long, np.diff(edges))
+    name = run.astype(np.int64) << 32  # sorted by run and size: the last partner of a fitting size
+    last = np.searchsorted(name + size, name + 100 * size // percent, side="right")
+    count = np.where(able, 0, last - np.arange(n) - 1)
+    bits = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+    extra = size - bits
+    ends = np.cumsum(count)
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        c = count[start:stop]
+        x = np.repeat(np.arange(start, stop), c)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+        need = threshold_overlap(size[x], size[y], percent)
+        fit = np.minimum(rest[x], rest[y]) >= need
+        x, y, need = x[fit], y[fit], need[fit]
+        common = np.bitwise_count(maps[x] & maps[y]).sum(axis=1).astype(np.int64)
+        fit = common + np.minimum(extra[x], extra[y]) >= need
+        able[x[fit]] = True
+        able[y[fit]] = True
+        start = stop
+    return able
+
+
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
     """A bit set of fixed size (2 MiB) that holds every key; others pass by chance, so joins still decide."""
     key = F.col(column)
@@ -171,4 +234,4 @@ def dealt(groups: DataFrame, key: str, member: str, most: int) -> DataFrame:
 
 def grouped(groups: DataFrame, key: str) -> DataFrame:
     """Rows of a group next to each other in one task."""
-    return groups.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b")
+    return spread(groups, key, "a", "b").sortWithinPartitions(key, "a", "b")

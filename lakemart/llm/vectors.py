@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import stored
+from lakemart.llm.common import spread, stored
 from lakemart.llm.components import components
 
 #: Vectors a cell should hold, the most pivots, and the bytes of vectors on one side of a task.
@@ -229,7 +229,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
     cells = _cells_for(classes, reach)
     _with_radii(classes, cells)
     counts = _cell_counts(classes, cells)
-    tasks = _deal(classes, cells, counts).groupBy("length", "cell", "i", "j")
+    tasks = spread(_deal(classes, cells, counts), "length", "cell", "i", "j").groupBy("length", "cell", "i", "j")
     found = tasks.applyInArrow(_join_task(threshold), "cls long, links long, root long")
 
     def cores(batches):
