@@ -38,6 +38,8 @@ LEAST_WORDS = 5
 COMMON_WORDS = 1 << 16
 #: Lines that share a word and are compared in one task.
 GROUP_LINES = 2_000
+#: Groups in which every two lines are compared as they are.
+SMALL_GROUP = 32
 PACK_BYTES = 8 << 20
 
 FOUND = "kind int, run long, cls long, id long, row long, line int"
@@ -207,15 +209,24 @@ def later_matches(sizes: np.ndarray, tokens: list[np.ndarray], places: list, per
     """
     n = len(sizes)
     gone = np.zeros(n, bool)
+    members = [set(t.tolist()) for t in tokens]
+    if n <= SMALL_GROUP:
+        for i in range(1, n):
+            size = len(members[i])
+            gone[i] = any(
+                places[j] < places[i]
+                and 100 * min(size, len(members[j])) >= percent * max(size, len(members[j]))
+                and len(members[i] & members[j]) >= threshold_overlap(size, len(members[j]), percent)
+                for j in range(i)
+            )
+        return gone
     owner = np.repeat(np.arange(n), sizes)
-    flat = np.concatenate(tokens) if n else np.zeros(0, np.uint64)
-    names, word = np.unique(flat, return_inverse=True)
+    names, word = np.unique(np.concatenate(tokens), return_inverse=True)
     order = np.argsort(word, kind="stable")
     holders = owner[order]
     edges = np.searchsorted(word[order], np.arange(len(names) + 1))
     ends = np.cumsum(sizes)
     leaders: list[int] = []
-    members = [set(t.tolist()) for t in tokens]
     first_at = {}
     for i in range(n):
         first_at.setdefault(places[i], i)

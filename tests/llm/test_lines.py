@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lakemart.llm import lines, sets
@@ -68,6 +69,22 @@ def test_equals_brute_force(docs, seed):
     check(docs, corpus(90, seed) + ODD)
 
 
+@pytest.mark.parametrize("n", [20, 90])
+def test_small_and_large_groups_agree(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 60, 30).astype(np.uint64)
+    tokens = []
+    for _ in range(n):
+        x = base.copy()
+        x[rng.integers(0, 30, rng.integers(0, 9))] = rng.integers(0, 1 << 60)
+        tokens.append(np.unique(x))
+    sizes, places = np.array([len(t) for t in tokens]), [(k // 2, 0) for k in range(n)]
+    monkeypatch.setattr(lines, "SMALL_GROUP", 0)
+    large = lines.later_matches(sizes, tokens, places)
+    monkeypatch.setattr(lines, "SMALL_GROUP", 1000)
+    assert (lines.later_matches(sizes, tokens, places) == large).all() and 0 < large.sum() < n
+
+
 def test_large_groups_are_cut_and_large_bins_passed_on(docs, monkeypatch):
     monkeypatch.setattr(lines, "GROUP_LINES", 4)
     monkeypatch.setattr(lines, "PACK_BYTES", 2000)
