@@ -148,25 +148,36 @@ def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, rows_filter: np.ndarray, cls_filter: np.ndarray) -> DataFrame:
-    """``cls``, ``size``, ``tokens``, ``bitmap`` of the classes that met others."""
+def _maps(docs: DataFrame, rows_filter: np.ndarray, cls_filter: np.ndarray) -> DataFrame:
+    """``cls``, ``size``, ``bitmap`` of the classes that met others."""
+
+    def maps(batches):
+        for s, one in _picked(batches, rows_filter, cls_filter):
+            maps = [bitmap(s.tokens(d), bits_for(int(s.size[d]))).tobytes() for d in one]
+            yield pa.RecordBatch.from_arrays([pa.array(s.cls[one]), pa.array(s.size[one].astype(np.int32)), pa.array(maps, pa.binary())], ["cls", "size", "bitmap"])
+
+    found = docs.mapInArrow(maps, "cls long, size int, bitmap binary")
+    return found.groupBy("cls").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
+
+
+def _tokens(docs: DataFrame, rows_filter: np.ndarray, cls_filter: np.ndarray) -> DataFrame:
+    """``cls``, ``tokens`` of the classes that are in a block."""
 
     def sets(batches):
-        for batch in rebatched(batches, limit=PACK_BYTES):
-            batch = batch.filter(pa.array(passes(rows_filter, np.asarray(batch.column(2)))))
-            if not batch.num_rows:
-                continue
+        for s, one in _picked(batches, rows_filter, cls_filter):
+            yield pa.RecordBatch.from_arrays([pa.array(s.cls[one]), pa.array([s.tokens(d).tobytes() for d in one], pa.binary())], ["cls", "tokens"])
+
+    return docs.mapInArrow(sets, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+
+
+def _picked(batches, rows_filter: np.ndarray, cls_filter: np.ndarray):
+    """Shingles of the texts that pass both filters, one text of a class in a batch."""
+    for batch in rebatched(batches, limit=PACK_BYTES):
+        batch = batch.filter(pa.array(passes(rows_filter, np.asarray(batch.column(2)))))
+        if batch.num_rows:
             s = Shingles(batch.column(1))
             _, one = np.unique(s.cls, return_index=True)
-            one = one[(s.size[one] > 0) & passes(cls_filter, s.cls[one])]
-            tokens = [s.tokens(d) for d in one]
-            maps = [bitmap(t, bits_for(len(t))).tobytes() for t in tokens]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.cls[one]), pa.array(s.size[one].astype(np.int32)), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(maps, pa.binary())], ["cls", "size", "tokens", "bitmap"]
-            )
-
-    found = docs.mapInArrow(sets, "cls long, size int, tokens binary, bitmap binary")
-    return found.groupBy("cls").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("bitmap").alias("bitmap"))
+            yield s, one[(s.size[one] > 0) & passes(cls_filter, s.cls[one])]
 
 
 class Tree:
@@ -294,7 +305,7 @@ def _edges(found: list[tuple[np.ndarray, Union]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _candidates(members: DataFrame) -> DataFrame:
+def _candidates(met: DataFrame, maps: DataFrame) -> DataFrame:
     """Edges of a forest over the documents of each run that their bitmaps let be similar."""
 
     def walk(batches):
@@ -307,10 +318,10 @@ def _candidates(members: DataFrame) -> DataFrame:
                 found.append((cls[a:b], union))
             yield _edges(found)
 
-    return grouped(dealt(members, "run", "cls", GROUP_ROWS), "run").mapInArrow(walk, "a long, b long")
+    return grouped(dealt(met, "run", "cls", GROUP_ROWS).join(maps, "cls"), "run").mapInArrow(walk, "a long, b long")
 
 
-def _links(blocks: DataFrame) -> DataFrame:
+def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges of a forest over the documents of each block that are similar, by their shingles."""
 
     def walk(batches):
@@ -334,7 +345,7 @@ def _links(blocks: DataFrame) -> DataFrame:
                 found.append((cls[a:b], union))
             yield _edges(found)
 
-    return grouped(dealt(blocks, "block", "cls", BLOCK_ROWS), "block").mapInArrow(walk, "a long, b long")
+    return grouped(dealt(blocks, "block", "cls", BLOCK_ROWS).join(sets, "cls"), "block").mapInArrow(walk, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -355,10 +366,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     full = classes.where("size > 0")
     places = full.groupBy("cls").agg(F.min("row").alias("row"))
     wanted = stored(places.join(met.select("cls").distinct(), "cls"), "wanted")
-    sets = stored(_sets(rows, key_filter(wanted, "row"), key_filter(wanted, "cls")), "sets")
-    members = met.join(sets.select("cls", "size", "bitmap"), "cls")
-    blocks = components(_candidates(members)).select(F.col("node").alias("cls"), F.col("root").alias("block"))
-    links = components(_links(blocks.join(sets, "cls")))
+    maps = stored(_maps(rows, key_filter(wanted, "row"), key_filter(wanted, "cls")), "maps")
+    blocks = components(_candidates(met, maps)).select(F.col("node").alias("cls"), F.col("root").alias("block"))
+    inside = stored(blocks.join(wanted, "cls"), "blocks")
+    tokens = _tokens(rows, key_filter(inside, "row"), key_filter(inside, "cls"))
+    links = components(_links(blocks, maps.join(tokens, "cls")))
     labels = full.groupBy("cls").agg(F.min("id").alias("least"))
     labels = labels.join(links.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = labels.groupBy("root").agg(F.min("least").alias("component"))

@@ -290,8 +290,8 @@ def later_lines(docs: DataFrame) -> DataFrame:
     met = members.select("cls").distinct()
     wanted = stored(earliest.join(met, "cls"), "wanted")
     sets = _words_of(docs, rarity, key_filter(wanted, "row"), key_filter(wanted, "cls"))
-    groups = members.join(wanted.select("cls", "id", "line"), "cls").join(sets, "cls")
-    matched = stored(_resolve(grouped(dealt(groups, "run", "cls", GROUP_LINES), "run")).distinct(), "matched")
+    groups = dealt(members, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
+    matched = stored(_resolve(grouped(groups, "run")).distinct(), "matched")
     judged = places.join(earliest.select("cls", F.struct("id", "line").alias("first")), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
     later = judged.where(F.col("hit") | (F.struct("id", "line") > F.col("first"))).select("id", "row", "line")
     repeats = found.where(F.col("kind") == REPEAT).select("id", "row", "line")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +54,22 @@ def bundled(entries: np.ndarray, tokens: np.ndarray, bins: int) -> pa.RecordBatc
     order = np.argsort(number, kind="stable")
     entries, number = entries[order], number[order]
     edges = group_edges(number)
-    data = [entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    packer = zstandard.ZstdCompressor(level=1)
+    data = [packer.compress(b"".join(np.ascontiguousarray(e[c]).tobytes() for c in e.dtype.names)) for e in (entries[a:b] for a, b in zip(edges[:-1], edges[1:]))]
     return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
 
 
+def unbundled(data: bytes, kind: np.dtype) -> np.ndarray:
+    """The entries of a bundle, which holds them column by column."""
+    n = len(data) // kind.itemsize
+    out, at = np.empty(n, kind), 0
+    for name in kind.names:
+        field = kind[name]
+        out[name] = np.frombuffer(data, field.base, n * int(np.prod(field.shape)), at).reshape(n, *field.shape)
+        at += n * field.itemsize
+    return out
+
+
 def small_maps(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A bitmap of MAP_BITS for each set of consecutive tokens."""
     place = (mix(tokens + np.uint64(1)) % np.uint64(MAP_BITS)).astype(np.int64)
@@ -75,6 +88,7 @@ def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) ->
     memory takes is passed on by token, unfiltered. Rows of negative bins go to ``other``.
     """
     held, size, current = [], 0, None
+    unpacker = zstandard.ZstdDecompressor()
 
     def close(whole: bool):
         nonlocal held, size
@@ -97,7 +111,8 @@ def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) ->
             elif size >= MOST_BYTES:
                 whole = False
                 yield from close(whole)
-            held.append(np.frombuffer(data, kind))
+            data = unpacker.decompress(data)
+            held.append(unbundled(data, kind))
             size += len(data)
     yield from close(whole)
 
