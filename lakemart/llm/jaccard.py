@@ -38,11 +38,11 @@ PACK_BYTES = 8 << 20
 #: Shingles that occur in this share of a batch's documents are listed; the most frequent ones come last in the order.
 COMMON_SHARE = 1 / 256
 COMMON_SHINGLES = 1 << 16
-#: Bits of a document's bitmap: a power of two above its size, within these bounds.
-LEAST_BITS, MOST_BITS = 256, 4096
+#: Bits of a document's bitmap: a power of two, at least twice its size, within these bounds.
+LEAST_BITS, MOST_BITS = 512, 1 << 15
 #: Documents of a run or block that are compared in one task; documents below a leaf; children of a node.
 GROUP_ROWS = 4_000
-BLOCK_ROWS = 1_000
+BLOCK_ROWS = 4_000
 LEAF, FAN = 8, 8
 
 
@@ -137,7 +137,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
 
 
 def bits_for(size: int) -> int:
-    return int(min(MOST_BITS, max(LEAST_BITS, 1 << int(size - 1).bit_length())))
+    return int(min(MOST_BITS, max(LEAST_BITS, 2 << int(size - 1).bit_length())))
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.llm.common import Words, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.components import components
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
     BIN_BYTES,
@@ -36,10 +37,12 @@ PERCENT = 75
 LEAST_WORDS = 5
 #: Words whose counts are sent to tasks; all others are rarer and ordered by hash.
 COMMON_WORDS = 1 << 16
-#: Lines that share a word and are compared in one task.
-GROUP_LINES = 2_000
+#: Lines of a block that are compared in one task.
+GROUP_LINES = 8_000
 #: Groups in which every two lines are compared as they are.
 SMALL_GROUP = 32
+#: Leaders that a line is held against before all earlier lines are looked up.
+MOST_LEADERS = 64
 PACK_BYTES = 8 << 20
 
 FOUND = "kind int, run long, cls long, id long, row long, line int"
@@ -192,8 +195,10 @@ def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filt
             if not batch.num_rows:
                 continue
             lines = Lines(batch.column(1), rarity)
-            _, one = np.unique(lines.cls, return_index=True)
-            one = one[passes(cls_filter, lines.cls[one])]
+            rows = np.asarray(batch.column(2))[lines.doc]
+            one = np.arange(len(lines.cls))
+            one = one[passes(cls_filter, lines.cls[one] ^ rows[one])]
+            one = one[np.unique(lines.cls[one], return_index=True)[1]]
             tokens = [lines.tokens(k).tobytes() for k in one]
             yield pa.RecordBatch.from_arrays([pa.array(lines.cls[one]), pa.array(tokens, pa.binary())], ["cls", "tokens"])
 
@@ -236,7 +241,7 @@ def later_matches(sizes: np.ndarray, tokens: list[np.ndarray], places: list, per
             leaders.append(i)
             continue
         size = int(sizes[i])
-        for j in leaders:
+        for j in leaders[:MOST_LEADERS]:
             other = int(sizes[j])
             if j < before and 100 * min(size, other) >= percent * max(size, other) and len(members[i] & members[j]) >= threshold_overlap(size, other, percent):
                 gone[i] = True
@@ -287,10 +292,12 @@ def later_lines(docs: DataFrame) -> DataFrame:
     places = found.where(F.col("kind") == CLASS).select("cls", "id", "row", "line")
     earliest = places.groupBy("cls").agg(F.min(F.struct("id", "line", "row")).alias("at")).select("cls", "at.id", "at.line", "at.row")
     earliest = stored(earliest, "places")
-    met = members.select("cls").distinct()
+    met = members.select("cls").union(members.select("run")).distinct()
     wanted = stored(earliest.join(met, "cls"), "wanted")
-    sets = _words_of(docs, rarity, key_filter(wanted, "row"), key_filter(wanted, "cls"))
-    groups = dealt(members, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
+    both = wanted.select(F.col("cls").bitwiseXOR(F.col("row")).alias("both"))
+    sets = _words_of(docs, rarity, key_filter(wanted, "row"), key_filter(both, "both"))
+    blocks = components(members.select(F.col("run").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("run"))
+    groups = dealt(blocks, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
     matched = stored(_resolve(grouped(groups, "run")).distinct(), "matched")
     judged = places.join(earliest.select("cls", F.struct("id", "line").alias("first")), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
     later = judged.where(F.col("hit") | (F.struct("id", "line") > F.col("first"))).select("id", "row", "line")

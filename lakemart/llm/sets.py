@@ -15,8 +15,8 @@ from lakemart.llm.common import group_edges, mix, spread
 #: An entry of the prefix index: a token (what its bin leaves of it) and a set that holds it in its prefix.
 ENTRY = np.dtype([("cls", "<i8"), ("token", "<u4"), ("size", "<u4"), ("place", "<u2")])
 #: The same with a bitmap of the set's tokens, for sets of some dozen tokens.
-MAPPED = np.dtype([*ENTRY.descr, ("map", "<u8", (2,))])
-MAP_BITS = 128
+MAPPED = np.dtype([*ENTRY.descr, ("map", "<u4", (3,))])
+MAP_BITS = 96
 #: Sets of one token that are held against each other by bitmap at once; larger runs are cut and compared later.
 MOST_PAIRED = 20_000
 PAIRS = 1 << 21
@@ -73,19 +73,21 @@ def unbundled(data: bytes, kind: np.dtype) -> np.ndarray:
 def small_maps(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A bitmap of MAP_BITS for each set of consecutive tokens."""
     place = (mix(tokens + np.uint64(1)) % np.uint64(MAP_BITS)).astype(np.int64)
-    bit = np.uint64(1) << (place & 63).astype(np.uint64)
-    out = np.zeros((len(first), MAP_BITS // 64), np.uint64)
+    bit = np.uint32(1) << (place & 31).astype(np.uint32)
+    out = np.zeros((len(first), MAP_BITS // 32), np.uint32)
     owner = np.repeat(np.arange(len(first)), size)
     index = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(owner)) if len(first) else owner
-    np.bitwise_or.at(out, (owner, place[index] >> 6), bit[index])
+    np.bitwise_or.at(out, (owner, place[index] >> 5), bit[index])
     return out
 
 
 def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From bundles sorted by bin: (run, cls) of all sets that share a prefix token with a set of fitting size.
 
-    Tokens with the same sets give one run (named by a hash of the sets). A bin beyond what
-    memory takes is passed on by token, unfiltered. Rows of negative bins go to ``other``.
+    Tokens with the same sets give one run (named by a hash of the sets). Entries with
+    bitmaps are held against each other at once and give edges of a forest, (other cls, cls),
+    over the pairs that can be similar. A bin beyond what memory takes is passed on by token,
+    unfiltered. Rows of negative bins go to ``other``.
     """
     held, size, current = [], 0, None
     unpacker = zstandard.ZstdDecompressor()
@@ -140,11 +142,12 @@ def _shared(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     run = np.cumsum(new) - 1
     fit = _positional(run, size, size - e["place"], percent)
     e, run, size = e[fit], run[fit], size[fit]
-    if "map" in e.dtype.names and len(e):
-        fit = _mapped(run, size, size - e["place"], np.ascontiguousarray(e["map"]), percent)
-        e, run = e[fit], run[fit]
     if not len(e):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if "map" in e.dtype.names:
+        x, y = _mapped(run, size, size - e["place"], np.ascontiguousarray(e["map"]), percent)
+        pairs = np.unique(np.stack([e["cls"][x], e["cls"][y]]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+        return pairs[0], pairs[1]
     cls = e["cls"]
     order = np.lexsort((cls, run))
     run, cls = run[order], cls[order]
@@ -177,17 +180,21 @@ def _positional(run: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: in
     return able
 
 
-def _mapped(run: np.ndarray, size: np.ndarray, rest: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
-    """Entries that by size, place and bitmap can be similar to some other entry of their run."""
+def _mapped(run: np.ndarray, size: np.ndarray, rest: np.ndarray, maps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest over the entries that by size, place and bitmap can be similar.
+
+    Entries of a run beyond MOST_PAIRED are joined to its first one unseen.
+    """
     n = len(run)
     edges = group_edges(run)
-    long = np.diff(edges) > MOST_PAIRED
-    able = np.repeat(long, np.diff(edges))
+    long = np.repeat(np.diff(edges) > MOST_PAIRED, np.diff(edges))
+    head = np.repeat(edges[:-1], np.diff(edges))
+    found = [(head[long], np.flatnonzero(long))]
     name = run.astype(np.int64) << 32  # sorted by run and size: the last partner of a fitting size
     last = np.searchsorted(name + size, name + 100 * size // percent, side="right")
-    count = np.where(able, 0, last - np.arange(n) - 1)
-    bits = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-    extra = size - bits
+    count = np.where(long, 0, last - np.arange(n) - 1)
+    extra = size - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+    label = np.arange(n)
     ends = np.cumsum(count)
     start = 0
     while start < n:
@@ -200,10 +207,18 @@ def _mapped(run: np.ndarray, size: np.ndarray, rest: np.ndarray, maps: np.ndarra
         x, y, need = x[fit], y[fit], need[fit]
         common = np.bitwise_count(maps[x] & maps[y]).sum(axis=1).astype(np.int64)
         fit = common + np.minimum(extra[x], extra[y]) >= need
-        able[x[fit]] = True
-        able[y[fit]] = True
+        x, y = x[fit], y[fit]
+        while True:  # the least entry that each is joined to
+            least = np.minimum(label[x], label[y])
+            if (least == label[x]).all() and (least == label[y]).all():
+                break
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+        met = np.unique(np.concatenate((x, y)))
+        met = met[label[met] != met]
+        found.append((label[met], met))
         start = stop
-    return able
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:

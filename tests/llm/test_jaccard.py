@@ -100,7 +100,7 @@ def test_pruned_pairs_are_not_similar():
             if 100 * common >= 75 * (len(a) + len(found[j]) - common):
                 assert (i, j) in pairs
     assert len(pairs) < 150 * 149 / 4
-    assert [bits_for(n) for n in (1, 256, 257, 4096, 90_000)] == [256, 256, 512, 4096, 4096]
+    assert [bits_for(n) for n in (1, 256, 257, 4096, 90_000)] == [512, 512, 1024, 8192, 1 << 15]
 
 
 def test_one_per_group(docs):
