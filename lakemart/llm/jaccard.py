@@ -305,7 +305,7 @@ def _edges(found: list[tuple[np.ndarray, Union]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _candidates(met: DataFrame, maps: DataFrame) -> DataFrame:
+def possible_edges(met: DataFrame, maps: DataFrame) -> DataFrame:
     """Edges of a forest over the documents of each run that their bitmaps let be similar."""
 
     def walk(batches):
@@ -318,7 +318,7 @@ def _candidates(met: DataFrame, maps: DataFrame) -> DataFrame:
                 found.append((cls[a:b], union))
             yield _edges(found)
 
-    return grouped(dealt(met, "run", "cls", GROUP_ROWS).join(maps, "cls"), "run").mapInArrow(walk, "a long, b long")
+    return grouped(dealt(met, "run", "cls", GROUP_ROWS).join(maps.select("cls", "size", "bitmap"), "cls"), "run").mapInArrow(walk, "a long, b long")
 
 
 def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     places = full.groupBy("cls").agg(F.min("row").alias("row"))
     wanted = stored(places.join(met.select("cls").distinct(), "cls"), "wanted")
     maps = stored(_maps(rows, key_filter(wanted, "row"), key_filter(wanted, "cls")), "maps")
-    blocks = components(_candidates(met, maps)).select(F.col("node").alias("cls"), F.col("root").alias("block"))
+    blocks = components(possible_edges(met, maps)).select(F.col("node").alias("cls"), F.col("root").alias("block"))
     inside = stored(blocks.join(wanted, "cls"), "blocks")
     tokens = _tokens(rows, key_filter(inside, "row"), key_filter(inside, "cls"))
     links = components(_links(blocks, maps.join(tokens, "cls")))

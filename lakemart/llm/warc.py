@@ -34,6 +34,8 @@ NO_ID = -(1 << 63) - 1
 def file_system(uri: str):
     from pyarrow import fs
 
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
 
 
