@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -54,20 +53,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and executors share one disk, may go
-    without that setting and gets a temporary folder instead.
-    """
+    """The folder every executor sees: ``spark.checkpoint.dir``, or else one below the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lakemart-"))
-    return context.getCheckpointDir()
+    return f"{warehouse.rstrip('/')}/work"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -1,30 +1,16 @@
 from __future__ import annotations
 
 import pytest
-from pyspark import SparkContext
 
 from lakemart.session import SETTINGS, cluster_settings, shared_folder, work_folder
 
 
-class Unset:
-    """A session without spark.checkpoint.dir."""
+class Conf(dict):
+    """A session that has these settings only."""
 
-    def __init__(self, context):
-        self.sparkContext, self.conf = context, self
-
-    def get(self, name, default=None):
-        return default
-
-
-class Context:
-    def __init__(self, master):
-        self.master, self.folder = master, None
-
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+    @property
+    def conf(self):
+        return self
 
 
 def test_the_setting_is_used(spark):
@@ -35,16 +21,14 @@ def test_the_setting_is_used(spark):
     assert work_folder(spark, "a").startswith(configured) and work_folder(spark, "a") != work_folder(spark, "a")
 
 
-def test_a_local_session_may_go_without(spark):
-    session = Unset(Context("local[2]"))
-    assert shared_folder(session) == shared_folder(session)
-    real = Unset(spark.sparkContext)
-    assert shared_folder(real) == SparkContext.getOrCreate().getCheckpointDir()
+def test_the_warehouse_serves_without_the_setting(spark):
+    assert shared_folder(Conf({"spark.sql.warehouse.dir": "hdfs://x/warehouse/"})) == "hdfs://x/warehouse/work"
+    assert shared_folder(spark).startswith(spark.conf.get("spark.sql.warehouse.dir")) or spark.conf.get("spark.checkpoint.dir", None)
 
 
-def test_a_cluster_must_name_the_folder():
+def test_some_folder_must_be_named():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(Unset(Context("spark://host:7077")))
+        shared_folder(Conf())
 
 
 def test_cluster_settings_keep_the_base():
