@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from lakemart.functions.clean import as_column, blank_if_null
 
 # How a job id is put together, the quoting marker taken out of
-# messages, and the length kept of an error text.
+# messages.
 JOB_SEPARATOR = "::"
 QUOTE_MARKER = "$$"
-MESSAGE_LIMIT = 1500
 
 
 def job_id(run: str | Column, node: str | Column) -> Column:
@@ -51,7 +50,7 @@ def escape_html(c: str | Column) -> Column:
     return escaped
 
 
-def clip(c: str | Column, length: int = MESSAGE_LIMIT) -> Column:
+def clip(c: str | Column, length: int) -> Column:
     return F.left(as_column(c), F.lit(length))
 
 

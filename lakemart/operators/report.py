@@ -1,8 +1,8 @@
-"""Report texts of a run. Nothing is mailed: the rows are the result.
+"""Reports of a run as ordered lines. Nothing is mailed: the rows are the result.
 
-A report lists every node of its run. A run may hold any number of log rows, so
-the list is cut into parts of ``part_rows`` entries; parts in order make the
-whole report, and a run of usual size has exactly one part.
+Line 0 is the subject, heading lines come from the run's summary, and every node
+listed has a line of its own. The shape is the same for a run of any size, no
+text grows with a run, and nothing is cut off.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from lakemart.functions.text import clip, escape_html, run_of, two_decimals
 from lakemart.operators.ordered import HOT_ROWS, ordered_rows, with_position
 from lakemart.operators.runlog import run_summary
 
-PART_ROWS = 1000
-
 # What stands in for a missing field.
 NO_NAME = "?"
 NO_MESSAGE = "No error message recorded."
@@ -42,8 +40,10 @@ def _success_entry() -> Column:
     return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
 
 
-def _failure_entry() -> Column:
-    message = clip(escape_html(F.coalesce("message", F.lit(NO_MESSAGE))))
+def _failure_entry(message_length: int | None = None) -> Column:
+    message = escape_html(F.coalesce("message", F.lit(NO_MESSAGE)))
+    if message_length is not None:
+        message = clip(message, message_length)
     return F.concat(
         F.lit("<div><b>"), F.coalesce("sp_name", F.lit(NO_NAME)), F.lit("</b> "), _target(), F.lit(" "),
         _seconds("duration_seconds"), F.lit("s<pre>"), message, F.lit("</pre></div>"),
@@ -58,12 +58,9 @@ def _started() -> Column:
     return F.coalesce(F.date_format("started", "yyyy-MM-dd HH:mm:ss"), F.lit(NO_VALUE))
 
 
-def _success_subject() -> Column:
-    return F.concat(F.lit("Run succeeded ("), F.col("total").cast("string"), F.lit(" models)"))
-
-
-def _success_body() -> Column:
-    return F.concat(
+def _success_heading() -> list[Column]:
+    return [
+        F.concat(F.lit("Run succeeded ("), F.col("total").cast("string"), F.lit(" models)")),
         F.lit("<h2>Run succeeded</h2>"),
         _labelled("Run ID", F.col("run_id")),
         _labelled("Started", _started()),
@@ -71,87 +68,88 @@ def _success_body() -> Column:
         _labelled("Total rows", F.col("rows_processed").cast("string")),
         _labelled("Total seconds", two_decimals("duration_seconds").cast("string")),
         F.lit("<table><tr><th>Model</th><th>Target</th><th>Status</th><th>Rows</th><th>Seconds</th></tr>"),
-        F.col("entries"),
-        F.lit("</table>"),
-    )
-
-
-def _failed_share() -> Column:
-    return F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" models"))
-
-
-def _failure_subject() -> Column:
-    return F.concat(F.lit("Run failed ("), _failed_share(), F.lit(")"))
+    ]
 
 
-def _failure_body() -> Column:
-    return F.concat(
+def _failure_heading() -> list[Column]:
+    share = F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" models"))
+    return [
+        F.concat(F.lit("Run failed ("), share, F.lit(")")),
         F.lit("<h2>Run failed</h2>"),
         _labelled("Run ID", F.col("run_id")),
         _labelled("Started", _started()),
-        _labelled("Failed", _failed_share()),
-        F.col("entries"),
-    )
+        _labelled("Failed", share),
+    ]
 
 
-def _parts(log: DataFrame, listed: DataFrame, part_rows: int, hot_rows: int) -> DataFrame:
-    """Entries of each run in order of start, then job, joined into parts.
+def _numbered(lines: list[Column], *last: tuple[Column, Column]) -> Column:
+    """An array of (line, text): ``lines`` from 0, then lines whose number is given."""
+    pairs = [*((F.lit(n), text) for n, text in enumerate(lines)), *last]
+    return F.array(*[F.struct(n.cast("long").alias("line"), text.alias("text")) for n, text in pairs])
 
-    ``listed`` holds run_id, job_id, start_time, entry of the rows shown; runs
-    with very many rows are looked for in the log itself.
-    """
-    rows = ordered_rows(listed, "run_id", "start_time", ("job_id",), hot_rows, probe=log.select("run_id", "start_time"))
-    return (
-        with_position(rows, "_position")
-        .result()
-        .withColumn("part", F.expr(f"(_position - 1) div {part_rows}").cast("int"))
-        .groupBy("run_id", "part")
-        .agg(F.expr("listagg(entry, '') WITHIN GROUP (ORDER BY _position)").alias("entries"))
-    )
+
+def _success_frame() -> Column:
+    heading = _success_heading()
+    return _numbered(heading, (F.col("total") + len(heading), F.lit("</table>")))
+
+
+def _failure_frame() -> Column:
+    return _numbered(_failure_heading())
 
 
 def _rows_of_runs(log: DataFrame) -> DataFrame:
     return log.withColumn("run_id", run_of("job_id")).where("run_id IS NOT NULL")
 
 
-def _texts(parts: DataFrame, runs: DataFrame, subject: Column, body: Column, *others: Column) -> DataFrame:
-    return parts.join(runs, "run_id").select("run_id", "part", subject.alias("subject"), body.alias("body"), *others)
+def _nodes(log: DataFrame, listed: DataFrame, hot_rows: int) -> DataFrame:
+    """``listed`` (run_id, job_id, start_time, skipped, text, others) as lines after the ``skipped`` heading lines.
+
+    Nodes stand in order of start, then job; runs with very many rows are looked
+    for in the log itself.
+    """
+    rows = ordered_rows(listed, "run_id", "start_time", ("job_id",), hot_rows, probe=log.select("run_id", "start_time"))
+    numbered = with_position(rows, "_position").result()
+    return numbered.withColumn("line", F.col("_position") - 1 + F.col("skipped")).drop(
+        "_position", "job_id", "start_time", "skipped"
+    )
 
 
-_LISTED = ("run_id", "job_id", "start_time")
+def _listed(rows: DataFrame, skipped: Column, text: Column, *others: Column) -> DataFrame:
+    return rows.select("run_id", "job_id", "start_time", skipped.alias("skipped"), text.alias("text"), *others)
 
 
-def success_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """run_id, part, subject, body: one table row per node. A run without rows has no report."""
+def success_report(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """run_id, line, text: one line per node. A run without rows has no report."""
     rows = _rows_of_runs(log)
-    listed = rows.select(*_LISTED, _success_entry().alias("entry"))
-    parts = _parts(rows, listed, part_rows, hot_rows)
-    return _texts(parts, run_summary(log), _success_subject(), _success_body())
+    nodes = _nodes(rows, _listed(rows, F.lit(len(_success_heading())), _success_entry()), hot_rows)
+    frame = run_summary(log).select("run_id", F.inline(_success_frame()))
+    return frame.unionByName(nodes)
 
 
-def failure_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """run_id, part, subject, body: one block per failed node. No failure, no report."""
+def failure_report(log: DataFrame, message_length: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """run_id, line, text: one line per failed node. No failure, no report.
+
+    Messages are whole unless a ``message_length`` is given; it counts the
+    characters after escaping.
+    """
     rows = _rows_of_runs(log).where("status = 'FAILED'")
-    listed = rows.select(*_LISTED, _failure_entry().alias("entry"))
-    parts = _parts(rows, listed, part_rows, hot_rows)
-    return _texts(parts, run_summary(log), _failure_subject(), _failure_body())
+    nodes = _nodes(rows, _listed(rows, F.lit(len(_failure_heading())), _failure_entry(message_length)), hot_rows)
+    frame = run_summary(log).where("failed > 0").select("run_id", F.inline(_failure_frame()))
+    return frame.unionByName(nodes)
 
 
-def run_report(log: DataFrame, part_rows: int = PART_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def run_report(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One report per run: the failure report where a node failed, else the success report.
 
-    The log is joined with its runs on the column the listing is partitioned by,
-    so choosing the kind and listing the entries share one shuffle.
+    run_id, line, text and the kind of ``report``.
     """
     bad = F.col("failed") > 0
+    kind = F.when(bad, "FAILURE").otherwise("SUCCESS").alias("report")
     runs = run_summary(log)
     rows = _rows_of_runs(log)
     shown = rows.join(runs.select("run_id", "failed"), "run_id").where((F.col("failed") == 0) | (F.col("status") == "FAILED"))
-    listed = shown.select(*_LISTED, F.when(bad, _failure_entry()).otherwise(_success_entry()).alias("entry"))
-    return _texts(
-        _parts(rows, listed, part_rows, hot_rows),
-        runs,
-        F.when(bad, _failure_subject()).otherwise(_success_subject()),
-        F.when(bad, _failure_body()).otherwise(_success_body()),
-        F.when(bad, "FAILURE").otherwise("SUCCESS").alias("report"),
-    )
+    skipped = F.when(bad, len(_failure_heading())).otherwise(len(_success_heading()))
+    entry = F.when(bad, _failure_entry()).otherwise(_success_entry())
+    nodes = _nodes(rows, _listed(shown, skipped, entry, kind), hot_rows)
+    frame = runs.select("run_id", kind, F.inline(F.when(bad, _failure_frame()).otherwise(_success_frame())))
+    return frame.unionByName(nodes)

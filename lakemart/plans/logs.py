@@ -18,11 +18,12 @@ from lakemart.operators.runlog import (
 from lakemart.plans.inputs import CLOCK, Query
 from lakemart.sources.tables import read_parquet
 
-# How event types stand for node results, and an error text that
-# needs escaping and is longer than a report keeps.
+# How event types stand for node results, an error text that needs
+# escaping, and the length kept of it by the one report that is cut.
 NODE_STATUS = {"error": "error", "click": "success", "view": "pass", "signup": "skipped", "purchase": "warn"}
 ERROR_TEXT = "Syntax error: a < b && c > d near $$x$$ in <model> "
 ERROR_REPEATS = 60
+MESSAGE_LENGTH = 1500
 
 
 def node_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +104,13 @@ def report_success(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_failure(spark: SparkSession, folder: str) -> DataFrame:
-    return failure_report(run_log(spark, folder))
+    return failure_report(run_log(spark, folder), message_length=MESSAGE_LENGTH)
+
+
+def report_single_run(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as nodes of one run, with whole messages."""
+    log = run_log(spark, folder)
+    return run_report(log.withColumn("job_id", F.concat(F.lit("all"), F.lit(JOB_SEPARATOR), "job_id")))
 
 
 def one_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,28 +161,62 @@ _SUMMARY = """runs AS (
     min(start_time) AS started
   FROM log GROUP BY run_id)"""
 
-_HEAD = """'<p>Run ID: ' || run_id || '</p><p>Started: ' || strftime(started, '%Y-%m-%d %H:%M:%S') || '</p>'"""
 _TARGET = "coalesce(sp_database, '') || '.' || coalesce(sp_schema, '')"
 _SECONDS = "CAST(CAST(duration_seconds AS DECIMAL(18,2)) AS VARCHAR)"
 
-_SUCCESS = f"""SELECT run_id, 0 AS part, 'Run succeeded (' || total || ' models)' AS subject,
-  '<h2>Run succeeded</h2>' || {_HEAD} || '<p>Models: ' || total || '</p><p>Total rows: ' || rows_processed
-  || '</p><p>Total seconds: ' || {_SECONDS}
-  || '</p><table><tr><th>Model</th><th>Target</th><th>Status</th><th>Rows</th><th>Seconds</th></tr>'
-  || entries || '</table>' AS body
-FROM runs JOIN (
-  SELECT run_id, string_agg('<tr><td>' || coalesce(sp_name, '?') || '</td><td>' || {_TARGET} || '</td><td>'
-    || coalesce(status, '') || '</td><td>' || rows_processed || '</td><td>' || {_SECONDS} || '</td></tr>',
-    '' ORDER BY start_time, job_id) AS entries
-  FROM log GROUP BY run_id) d USING (run_id)"""
-
-_FAILURE = f"""SELECT run_id, 0 AS part, 'Run failed (' || failed || ' of ' || total || ' models)' AS subject,
-  '<h2>Run failed</h2>' || {_HEAD} || '<p>Failed: ' || failed || ' of ' || total || ' models</p>' || entries AS body
-FROM runs JOIN (
-  SELECT run_id, string_agg('<div><b>' || coalesce(sp_name, '?') || '</b> ' || {_TARGET} || ' ' || {_SECONDS}
-    || 's<pre>' || left(replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 1500)
-    || '</pre></div>', '' ORDER BY start_time, job_id) AS entries
-  FROM log WHERE status = 'FAILED' GROUP BY run_id) d USING (run_id)"""
+_ENTITIES = "replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_RUN = "'<p>Run ID: ' || run_id || '</p>'"
+_STARTED = "'<p>Started: ' || strftime(started, '%Y-%m-%d %H:%M:%S') || '</p>'"
+
+
+def _place(heading: int) -> str:
+    """The line of a node below so many heading lines."""
+    return f"row_number() OVER (PARTITION BY run_id ORDER BY start_time, job_id) + {heading - 1} AS line"
+
+
+def _frame_sql(lines: list[str], where: str = "TRUE") -> str:
+    texts = [f"SELECT run_id, CAST({n} AS BIGINT) AS line, {text} AS text FROM runs WHERE {where}" for n, text in enumerate(lines)]
+    return "\nUNION ALL ".join(texts)
+
+
+_SUCCESS_LINES = [
+    "'Run succeeded (' || total || ' models)'",
+    "'<h2>Run succeeded</h2>'",
+    _RUN,
+    _STARTED,
+    "'<p>Models: ' || total || '</p>'",
+    "'<p>Total rows: ' || rows_processed || '</p>'",
+    f"'<p>Total seconds: ' || {_SECONDS} || '</p>'",
+    "'<table><tr><th>Model</th><th>Target</th><th>Status</th><th>Rows</th><th>Seconds</th></tr>'",
+]
+_SUCCESS = f"""{_frame_sql(_SUCCESS_LINES)}
+UNION ALL SELECT run_id, total + {len(_SUCCESS_LINES)}, '</table>' FROM runs
+UNION ALL SELECT run_id, {_place(len(_SUCCESS_LINES))}, '<tr><td>' || coalesce(sp_name, '?') || '</td><td>' || {_TARGET}
+  || '</td><td>' || coalesce(status, '') || '</td><td>' || rows_processed || '</td><td>' || {_SECONDS} || '</td></tr>'
+FROM log"""
+
+_FAILURE_LINES = [
+    "'Run failed (' || failed || ' of ' || total || ' models)'",
+    "'<h2>Run failed</h2>'",
+    _RUN,
+    _STARTED,
+    "'<p>Failed: ' || failed || ' of ' || total || ' models</p>'",
+]
+
+
+def _failure_sql(message: str) -> str:
+    return f"""{_frame_sql(_FAILURE_LINES, "failed > 0")}
+UNION ALL SELECT run_id, {_place(len(_FAILURE_LINES))}, '<div><b>' || coalesce(sp_name, '?') || '</b> ' || {_TARGET}
+  || ' ' || {_SECONDS} || 's<pre>' || {message} || '</pre></div>'
+FROM log WHERE status = 'FAILED'"""
+
+
+_ONE_PER_RUN = f"""{_SUMMARY}, success AS ({_SUCCESS}), failure AS ({_failure_sql(_ENTITIES)})
+SELECT f.*, 'FAILURE' AS report FROM failure f
+UNION ALL SELECT s.*, 'SUCCESS' FROM success s WHERE run_id NOT IN (SELECT run_id FROM failure)"""
+_SINGLE = _LOG.replace("concat('r', user_id, '::n', event_id)", "concat('all::r', user_id, '::n', event_id)").replace(
+    "concat('r', user_id) AS run_id", "'all' AS run_id"
+)
 
 QUERIES = {
     "run_log_rows": Query(
@@ -208,13 +249,11 @@ FROM events""",
 SELECT run_id, CASE WHEN failed > 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS report, total, failed FROM runs""",
     ),
     "run_report_success": Query(report_success, f"WITH {_LOG}, {_SUMMARY} {_SUCCESS}"),
-    "run_report_failure": Query(report_failure, f"WITH {_LOG}, {_SUMMARY} {_FAILURE}"),
-    "run_report_one_per_run": Query(
-        one_report,
-        f"""WITH {_LOG}, {_SUMMARY}, success AS ({_SUCCESS}), failure AS ({_FAILURE})
-SELECT f.*, 'FAILURE' AS report FROM failure f
-UNION ALL SELECT s.*, 'SUCCESS' FROM success s WHERE run_id NOT IN (SELECT run_id FROM failure)""",
+    "run_report_failure": Query(
+        report_failure, f"WITH {_LOG}, {_SUMMARY} {_failure_sql(f'left({_ENTITIES}, {MESSAGE_LENGTH})')}"
     ),
+    "run_report_one_per_run": Query(one_report, f"WITH {_LOG}, {_ONE_PER_RUN}"),
+    "run_report_single_run": Query(report_single_run, f"WITH {_SINGLE}, {_ONE_PER_RUN}"),
     "json_params": Query(
         json_params,
         """SELECT event_id,

@@ -46,7 +46,8 @@ def test_job_log(spark, db, rows):
     got = log.select("sp_name", "status", "rows_processed", F.to_json("input_params"))
     assert rows(got) == [("OTHER", "FAILED", 0, "{}"), ("SP", "SUCCESS", 7, '{"a":1}')]
     report = run_report(rows_of_run(log, "r1")).collect()
-    assert [r["subject"] for r in report] == ["Run failed (1 of 2 models)"] and "x &lt; y" in report[0]["body"]
+    assert [r["text"] for r in report if r["line"] == 0] == ["Run failed (1 of 2 models)"]
+    assert any("x &lt; y" in r["text"] for r in report)
     with pytest.raises(RuntimeError):
         JobLog(spark, table, "A.B.C").end("SUCCESS")
 

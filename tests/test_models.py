@@ -98,7 +98,7 @@ def test_two_days(spark, landing, loader, rows, day):
     first = loader()
     assert set(first.run(day(1, 7)).values()) == {"success"}
     report = first.report().collect()
-    assert [(r["report"], r["subject"]) for r in report] == [("SUCCESS", "Run succeeded (15 models)")]
+    assert [(r["report"], r["text"]) for r in report if r["line"] == 0] == [("SUCCESS", "Run succeeded (15 models)")]
     table = lambda name: spark.table(first.table("consumption", name))
     assert rows(table("dim_deals"), "deal_id", "dealstage", "end_dt", "is_active") == [
         (1, "new", OPEN, True), (2, "new", OPEN, True),
@@ -144,8 +144,8 @@ def test_failed_table_skips_what_is_built_on_it(spark, landing, loader, day):
     run = loader(run_id="again")
     assert run.run(day(2, 7), only)["dim_assoc_quotes_deals"] == "error"
     report = run.report().collect()
-    assert [(r["report"], r["subject"]) for r in report] == [("FAILURE", "Run failed (1 of 4 models)")]
-    assert "more than one batch row for key" in report[0]["body"]
+    assert [(r["report"], r["text"]) for r in report if r["line"] == 0] == [("FAILURE", "Run failed (1 of 4 models)")]
+    assert any("more than one batch row for key" in r["text"] for r in report)
 
     broken = loader(run_id="broken")
     broken.landing = lambda name: landing(name).select(F.raise_error(F.lit("<no source>")).alias("quote_id"))
@@ -153,7 +153,7 @@ def test_failed_table_skips_what_is_built_on_it(spark, landing, loader, day):
     report = broken.report().collect()
     status = {r["sp_name"]: r["status"] for r in spark.table(broken.log_table).where("job_id LIKE 'broken::%'").collect()}
     assert status == {"parsed_quotes": "FAILED", "dim_quotes": "SKIPPED"}
-    assert report[0]["subject"] == "Run failed (1 of 2 models)"
+    assert [r["text"] for r in report if r["line"] == 0] == ["Run failed (1 of 2 models)"]
 
 
 def test_full_refresh(spark, landing, loader, rows, day):

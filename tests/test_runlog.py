@@ -73,70 +73,55 @@ def test_one_report_per_run(log):
         "good": "SUCCESS", "bad": "FAILURE", "idle": "SUCCESS",
     }
     reports = run_report(log).collect()
-    assert sorted((r["run_id"], r["report"], r["part"]) for r in reports) == [
-        ("bad", "FAILURE", 0), ("good", "SUCCESS", 0), ("idle", "SUCCESS", 0),
-    ]
-    assert {r["run_id"]: r["body"] for r in reports} == {
-        r["run_id"]: r["body"]
-        for r in [*failure_report(log).collect(), *success_report(log).collect()]
-        if (r["run_id"] == "bad") == r["subject"].startswith("Run failed")
+    assert {(r["run_id"], r["report"]) for r in reports} == {
+        ("bad", "FAILURE"), ("good", "SUCCESS"), ("idle", "SUCCESS"),
     }
+    assert texts(reports, "bad") == texts(failure_report(log).collect(), "bad")
+    assert texts(reports, "good") == texts(success_report(log).collect(), "good")
     assert run_report(rows_of_run(log, "none")).count() == 0
 
 
+def texts(lines, run):
+    """The texts of a report in order; line numbers must run from 0 without a gap."""
+    mine = sorted((r["line"], r["text"]) for r in lines if r["run_id"] == run)
+    assert [n for n, _ in mine] == list(range(len(mine)))
+    return [text for _, text in mine]
+
+
 def test_success_text(log):
-    row = success_report(rows_of_run(log, "good")).first()
-    assert row["subject"] == "Run succeeded (2 models)"
+    lines = texts(success_report(log).collect(), "good")
+    assert lines[0] == "Run succeeded (2 models)"
+    assert "<p>Total rows: 10</p>" in lines and "<p>Total seconds: 1.26</p>" in lines
     # the longest node started first
-    assert row["body"].endswith(
-        "<tr><td>a</td><td>db.s</td><td>SUCCESS</td><td>10</td><td>1.26</td></tr>"
-        "<tr><td>?</td><td>db.</td><td>SKIPPED</td><td>0</td><td>0.00</td></tr></table>"
-    )
-    assert "Total rows: 10<" in row["body"] and "Total seconds: 1.26<" in row["body"]
+    assert lines[-3:] == [
+        "<tr><td>a</td><td>db.s</td><td>SUCCESS</td><td>10</td><td>1.26</td></tr>",
+        "<tr><td>?</td><td>db.</td><td>SKIPPED</td><td>0</td><td>0.00</td></tr>",
+        "</table>",
+    ]
 
 
-def test_failure_text(log):
-    row = failure_report(log).first()
-    assert row["subject"] == "Run failed (2 of 3 models)"
-    escaped = ("&lt;&amp;&gt;" * 700)[:1500]
-    assert row["body"].endswith(
-        "<div><b>c</b> . 91.00s<pre></pre></div>" f"<div><b>a</b> db.s 90.40s<pre>{escaped}</pre></div>"
-    )
+@pytest.mark.parametrize("length", [None, 1500])
+def test_failure_text(log, length):
+    report = failure_report(log, message_length=length).collect()
+    assert {r["run_id"] for r in report} == {"bad"}
+    lines = texts(report, "bad")
+    assert lines[0] == "Run failed (2 of 3 models)"
+    escaped = ("&lt;&amp;&gt;" * 700)[:length]
+    assert lines[-2:] == ["<div><b>c</b> . 91.00s<pre></pre></div>", f"<div><b>a</b> db.s 90.40s<pre>{escaped}</pre></div>"]
 
 
 def test_missing_message(log):
     broken = log.where("job_id = 'bad::a'").withColumn("message", F.lit(None).cast("string"))
-    assert "No error message recorded." in failure_report(broken).first()["body"]
+    assert "No error message recorded." in texts(failure_report(broken).collect(), "bad")[-1]
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 10])
-def test_parts_make_the_whole_report(frame, hot_rows):
-    results = [("r", f"n{i:03d}", f"n{i:03d}", "db", "s", "error", float(i % 20), 0, "x") for i in range(50)]
+@pytest.mark.parametrize("hot_rows", [5_000_000, 100])
+def test_a_large_run_is_one_report(frame, hot_rows):
+    results = [("r", f"n{i:04d}", f"n{i:04d}", "db", "s", "error", float(i % 20), 0, "x") for i in range(2500)]
     log = log_rows(frame(results, RESULTS), CLOCK, "me")
-    whole = failure_report(log).collect()
-    assert len(whole) == 1
-    parts = sorted(failure_report(log, part_rows=8, hot_rows=hot_rows).collect(), key=lambda r: r["part"])
-    chosen = sorted(run_report(log, part_rows=8, hot_rows=hot_rows).collect(), key=lambda r: r["part"])
-    assert [r["body"] for r in chosen] == [r["body"] for r in parts]
-    assert [r["part"] for r in parts] == list(range(7))
-    head = whole[0]["body"].index("<div>")
-    assert "".join(r["body"][head:] for r in parts) == whole[0]["body"][head:]
-
-
-def test_start_and_end(frame, rows):
-    jobs = frame(
-        [("r", "a", "DEV_RAW.UTILS.SP", '{"k": 1}'), ("r", "b", "SP", "{broken"), ("r", "c", "A.B", None)],
-        "run_id string, node string, qualified_name string, input_params string",
-    )
-    log = log_start(jobs, CLOCK, "me")
-    endings = frame(
-        [("r::a", CLOCK, 1.5, "SUCCESS", 7, "done"), ("unknown", CLOCK, 1.5, "SUCCESS", 7, "done")],
-        "job_id string, end_time timestamp_ntz, duration_seconds double, status string, rows_processed long, message string",
-    )
-    ended = log_end(log, endings).withColumn("params", F.to_json("input_params"))
-    got = rows(ended, "job_id", "sp_database", "sp_schema", "sp_name", "status", "rows_processed", "params")
-    assert got == [
-        ("r::a", "DEV_RAW", "UTILS", "SP", "SUCCESS", 7, '{"k":1}'),
-        ("r::b", "SP", "", "SP", "RUNNING", None, None),
-        ("r::c", "A", "B", "B", "RUNNING", None, "{}"),
-    ]
+    lines = texts(failure_report(log, hot_rows=hot_rows).collect(), "r")
+    assert lines == texts(run_report(log, hot_rows=hot_rows).collect(), "r")
+    assert len(lines) == 2505 and lines[0] == "Run failed (2500 of 2500 models)"
+    # the longest first, then by job
+    expected = sorted(results, key=lambda r: (-r[6], r[1]))
+    assert [line[8:13] for line in lines[5:]] == [r[2] for r in expected]
