@@ -130,6 +130,5 @@ class DailyLoad:
         return publish(model.build(target, source, new_only), table)
 
     def _result(self, layer: str, name: str, status: str, seconds: float, rows: int, message: str | None) -> tuple:
-        schema = "postgres" if layer == "transform" else "analytics"
-        base = f"{self.environment}_{layer}"
-        return (self.run_id, f"model.{name}", name, base, schema, status, round(seconds, 3), rows, message)
+        place, _, _ = self.table(layer, name).rpartition(".")
+        return (self.run_id, f"model.{name}", name, place, None, status, round(seconds, 3), rows, message)
