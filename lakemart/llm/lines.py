@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lakemart.llm.common import Words, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.components import components
-from lakemart.llm.jaccard import bitmap, bits_for, possible_edges
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
     BIN_BYTES,
@@ -201,13 +200,9 @@ def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filt
             one = one[passes(cls_filter, lines.cls[one] ^ rows[one])]
             one = one[np.unique(lines.cls[one], return_index=True)[1]]
             tokens = [lines.tokens(k) for k in one]
-            maps = [bitmap(t, bits_for(len(t))).tobytes() for t in tokens]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.cls[one]), pa.array(lines.size[one].astype(np.int32)), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(maps, pa.binary())], ["cls", "size", "tokens", "bitmap"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(lines.cls[one]), pa.array([t.tobytes() for t in tokens], pa.binary())], ["cls", "tokens"])
 
-    found = docs.mapInArrow(sets, "cls long, size int, tokens binary, bitmap binary")
-    return found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("size", "tokens", "bitmap")))
+    return docs.mapInArrow(sets, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 def later_matches(sizes: np.ndarray, tokens: list[np.ndarray], places: list, percent: int = PERCENT) -> np.ndarray:
@@ -301,9 +296,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     both = wanted.select(F.col("cls").bitwiseXOR(F.col("row")).alias("both"))
     sets = stored(_words_of(docs, rarity, key_filter(wanted, "row"), key_filter(both, "both")), "sets")
     blocks = components(members.select(F.col("run").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("run"))
-    # wider bitmaps part what the small ones have joined
-    blocks = components(possible_edges(blocks, sets)).select(F.col("node").alias("cls"), F.col("root").alias("run"))
-    groups = dealt(blocks, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets.select("cls", "tokens"), "cls"), "cls")
+    groups = dealt(blocks, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
     matched = stored(_resolve(grouped(groups, "run")).distinct(), "matched")
     judged = places.join(earliest.select("cls", F.struct("id", "line").alias("first")), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
     later = judged.where(F.col("hit") | (F.struct("id", "line") > F.col("first"))).select("id", "row", "line")

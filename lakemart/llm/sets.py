@@ -14,9 +14,9 @@ from lakemart.llm.common import group_edges, mix, spread
 
 #: An entry of the prefix index: a token (what its bin leaves of it) and a set that holds it in its prefix.
 ENTRY = np.dtype([("cls", "<i8"), ("token", "<u4"), ("size", "<u4"), ("place", "<u2")])
-#: The same with a bitmap of the set's tokens, for sets of some dozen tokens.
-MAPPED = np.dtype([*ENTRY.descr, ("map", "<u4", (3,))])
-MAP_BITS = 96
+#: The same with a bitmap of the rarer half of the set's tokens, for sets of up to some hundred tokens.
+MAP_BITS = 256
+MAPPED = np.dtype([*ENTRY.descr, ("map", "<u8", (MAP_BITS // 64,))])
 #: Sets of one token that are held against each other by bitmap at once; larger runs are cut and compared later.
 MOST_PAIRED = 20_000
 PAIRS = 1 << 21
@@ -70,14 +70,28 @@ def unbundled(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def mapped_length(size):
+    """How many first tokens of a set its small bitmap holds."""
+    return (size + 1) // 2
+
+
+def mapped_overlap(a, b, need):
+    """The least overlap of the mapped tokens of sets of sizes a and b that share ``need`` tokens.
+
+    The mapped tokens of one of the two end first in the order of all tokens. Those of them
+    that the other set holds at all are mapped there too, and at most ``size - need`` are not held.
+    """
+    return np.minimum(mapped_length(a) - a, mapped_length(b) - b) + need
+
+
 def small_maps(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A bitmap of MAP_BITS for each set of consecutive tokens."""
-    place = (mix(tokens + np.uint64(1)) % np.uint64(MAP_BITS)).astype(np.int64)
-    bit = np.uint32(1) << (place & 31).astype(np.uint32)
-    out = np.zeros((len(first), MAP_BITS // 32), np.uint32)
-    owner = np.repeat(np.arange(len(first)), size)
-    index = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(owner)) if len(first) else owner
-    np.bitwise_or.at(out, (owner, place[index] >> 5), bit[index])
+    """A bitmap of MAP_BITS for the first half of each set of consecutive tokens, which are in the order of all tokens."""
+    length = mapped_length(size)
+    owner = np.repeat(np.arange(len(first)), length)
+    index = np.arange(len(owner)) + np.repeat(first - (np.cumsum(length) - length), length)
+    place = (mix(tokens[index] + np.uint64(1)) % np.uint64(MAP_BITS)).astype(np.int64)
+    out = np.zeros((len(first), MAP_BITS // 64), np.uint64)
+    np.bitwise_or.at(out, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
     return out
 
 
@@ -193,7 +207,7 @@ def _mapped(run: np.ndarray, size: np.ndarray, rest: np.ndarray, maps: np.ndarra
     name = run.astype(np.int64) << 32  # sorted by run and size: the last partner of a fitting size
     last = np.searchsorted(name + size, name + 100 * size // percent, side="right")
     count = np.where(long, 0, last - np.arange(n) - 1)
-    extra = size - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+    extra = mapped_length(size) - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
     label = np.arange(n)
     ends = np.cumsum(count)
     start = 0
@@ -206,7 +220,7 @@ def _mapped(run: np.ndarray, size: np.ndarray, rest: np.ndarray, maps: np.ndarra
         fit = np.minimum(rest[x], rest[y]) >= need
         x, y, need = x[fit], y[fit], need[fit]
         common = np.bitwise_count(maps[x] & maps[y]).sum(axis=1).astype(np.int64)
-        fit = common + np.minimum(extra[x], extra[y]) >= need
+        fit = common + np.minimum(extra[x], extra[y]) >= mapped_overlap(size[x], size[y], need)
         x, y = x[fit], y[fit]
         while True:  # the least entry that each is joined to
             least = np.minimum(label[x], label[y])
