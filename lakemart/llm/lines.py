@@ -43,7 +43,7 @@ GROUP_LINES = 8_000
 SMALL_GROUP = 32
 #: Leaders that a line is held against before all earlier lines are looked up.
 MOST_LEADERS = 64
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 
 FOUND = "kind int, run long, cls long, id long, row long, line int"
 _NAMES = [part.split()[0] for part in FOUND.split(", ")]

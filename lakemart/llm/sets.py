@@ -19,7 +19,7 @@ MAP_BITS = 256
 MAPPED = np.dtype([*ENTRY.descr, ("map", "<u8", (MAP_BITS // 64,))])
 #: Sets of one token that are held against each other by bitmap at once; larger runs are cut and compared later.
 MOST_PAIRED = 20_000
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 BUNDLE = "bin int, data binary"
 #: Bytes of entries that a bin should hold and at most holds in memory.
 BIN_BYTES = 8 << 20
