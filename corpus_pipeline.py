@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its error budget go."""
-    return clean_rows(docs, _table(spark, sf_dir, "benchmark"))
+    return clean_rows(docs, _table(spark, sf_dir, "benchmark"), least_words=1)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ many documents are numpy arrays, never one Python object per word.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -102,6 +103,38 @@ def lower_table() -> np.ndarray:
     return table
 
 
+#: Code points of scripts that are written without blanks between words: Thai, Lao, Myanmar, Khmer, Tai, Balinese,
+#: Javanese, ideographs with their radicals and marks, kana, Bopomofo, Yi, Tangut, Khitan, Nushu.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007),
+    (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF),
+    (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFD),
+)
+SIGN, ALONE = 1, 2
+
+
+@lru_cache(maxsize=1)
+def code_point_kinds() -> np.ndarray:
+    """For each code point beyond ASCII: SIGN if it parts words (punctuation, blanks, controls), ALONE if it is a word of its own, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for first, last in UNSPACED:
+        kinds[first : last + 1] = ALONE
+    signs = [c for c in range(0x80, 0x30000) if unicodedata.category(chr(c)) in ("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Zs", "Zl", "Zp", "Cc")]
+    kinds[[*signs, 0x200B, 0xFEFF]] = SIGN
+    return kinds
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, bytes and kind of each code point beyond ASCII in UTF-8 bytes."""
+    at = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[at] >= 0xE0) + (data[at] >= 0xF0).astype(np.int64)
+    code = data[at].astype(np.int32) & (0xFF >> (size + 1)).astype(np.int32)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[np.minimum(at[more] + k, len(data) - 1)] & 0x3F
+    return at, size, code_point_kinds()[np.minimum(code, 0x10FFFF)]
+
+
 def _hash_block(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each word: a polynomial over random byte values, taken to the word's own start."""
     base = begin[0]
@@ -117,10 +150,12 @@ def _hash_block(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 class Words:
     """The words of a batch of texts: ``hash``, ``doc``, ``begin`` and ``end`` (bytes in ``data``) of each.
 
-    ``first[d]:first[d + 1]`` are the words of text ``d``. A null text has no words.
+    ``first[d]:first[d + 1]`` are the words of text ``d``. A null text has no words. With
+    ``scripts``, signs beyond ASCII part words too, and each code point of a script that is
+    written without blanks is a word.
     """
 
-    def __init__(self, texts: pa.Array, separators: bytes = BLANKS, lower: bool = False):
+    def __init__(self, texts: pa.Array, separators: bytes = BLANKS, lower: bool = False, scripts: bool = False):
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
@@ -131,10 +166,18 @@ class Words:
             data = lower_table()[data]
         self.n, self.offsets, self.data = n, offsets, data
         inside = ~byte_set(separators)[data]
+        cut = np.zeros(len(data) + 1, bool)  # a word ends before the byte and one may begin there
+        if scripts and (data >= 0xC0).any():
+            at, size, kind = code_points(data)
+            for k in range(4):
+                inside[np.minimum(at[(kind == SIGN) & (size > k)] + k, len(data) - 1)] = False
+            alone = kind == ALONE
+            cut[at[alone]] = True
+            cut[np.minimum(at[alone] + size[alone], len(data))] = True
         begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
+        begins[1:] &= ~inside[:-1] | cut[1:-1]
         last = inside.copy()
-        last[:-1] &= ~inside[1:]
+        last[:-1] &= ~inside[1:] | cut[1:-1]
         for edge, at in ((begins, offsets[:-1]), (last, offsets[1:] - 1)):  # no word reaches over the edge of a text
             full = at[offsets[1:] > offsets[:-1]]
             edge[full] = inside[full]

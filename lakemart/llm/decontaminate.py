@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakemart.llm.common import SIGNS, Words, combine, group_edges, rebatched, slices
 
-#: Errors allowed for each word of an item, words an item needs, and bytes of items sent to tasks at a time.
+#: Errors allowed for each word of an item, words an item needs where callers name no bound, and bytes of items sent to tasks at a time.
 ERROR_SHARE = 0.2
 LEAST_WORDS = 5
 BLOCK_BYTES = 8 << 20
@@ -25,8 +25,8 @@ PACK_BYTES = 8 << 20
 
 
 def word_hashes(texts: pa.Array) -> Words:
-    """Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case; other signs part them."""
-    return Words(texts, separators=SIGNS, lower=True)
+    """Words are runs of letters, digits and symbols beyond ASCII, A-Z in lower case, and single code points of scripts without blanks; other signs part them."""
+    return Words(texts, separators=SIGNS, lower=True, scripts=True)
 
 
 class Items:
@@ -37,7 +37,7 @@ class Items:
         self.ids, self.words, self.budget = [], [], []
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for d, n in enumerate(w.count.tolist()):
-            if n < least:
+            if n < max(least, 1):
                 continue
             words = w.hash[w.first[d] : w.first[d + 1]]
             budget = math.floor(share * n)
@@ -114,6 +114,11 @@ def batch_matches(words: Words, items: Items) -> Iterator[tuple[int, int, int, i
         d, k = int(doc[a]), int(item[a])
         n, budget = len(items.words[k]), items.budget[k]
         first, last = int(words.first[d]), int(words.first[d + 1])
+        if not budget:  # the one piece is the whole item
+            at = next((s for s in start[a:b].tolist() if np.array_equal(words.hash[s : s + n], items.words[k])), None)
+            if at is not None:
+                yield d, k, 0, at + n - first
+            continue
         best, end = budget + 1, 0
         stop = -1
         begin = None
@@ -135,7 +140,7 @@ def batch_matches(words: Words, items: Items) -> Iterator[tuple[int, int, int, i
             yield d, k, best, end
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_column: str = "item_id", text_column: str = "text") -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_column: str = "item_id", text_column: str = "text", *, least: int = LEAST_WORDS) -> Iterator[Items]:
     """The test items in blocks of about ``block_bytes`` of text, so what a task gets is bounded; equal rows count once."""
     rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -143,15 +148,16 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_column:
     for block in range(blocks):
         table = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").toArrow()
         for part in slices(pa.RecordBatch.from_arrays([table["id"].combine_chunks(), table["text"].combine_chunks()], ["id", "text"]), limit=block_bytes) if table.num_rows else ():
-            yield Items(part.column(0).to_pylist(), part.column(1).to_pylist())
+            yield Items(part.column(0).to_pylist(), part.column(1).to_pylist(), least=least)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """A row per document row and test item found in it: id, ``item_id``, ``distance``, ``end_word``, ``item_words``.
 
     An item is found if some part of the text is within floor(0.2 * words) edits of words.
     The place is where the best match ends, the first of equally good ones. Items of fewer
-    than five words match nothing. Null and empty texts hold nothing; null ids and repeated
+    than ``least_words`` words match nothing; with 1 only items without words do, as in the
+    query and the pipeline. Items of fewer than five words allow no edit. Null and empty texts hold nothing; null ids and repeated
     rows are searched like any other; repeated items count once.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -174,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
         return rows.mapInArrow(search, schema)
 
     out = None
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, least=least_words):
         found = matches(items)
         out = found if out is None else out.union(found)
     if out is None:
@@ -182,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     return out.withColumnRenamed("id", id_column)
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents that hold no test item, all columns kept; texts are judged where they stand."""
     place = docs.columns.index(text_column)
 
@@ -196,6 +202,6 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_column: str = "text")
 
         return keep
 
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, least=least_words):
         docs = docs.mapInArrow(without(items), docs.schema)
     return docs

@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def decontamination(spark, folder):
     from lakemart.llm.decontaminate import contaminated
 
-    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least_words=1)
 
 
 def near_copies(spark, folder):
