@@ -50,6 +50,10 @@ LANDING = {
 }
 
 
+#: Tables that pass through as they come, with or without each declared column.
+BRIDGES = ("assoc_quotes_companies", "assoc_quotes_deals")
+
+
 def landing_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(LANDING[name])
 
@@ -66,5 +70,15 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, database: str, name: str) -> DataFrame:
-    """A landing table of a database, conformed to its declaration."""
-    return conform(spark.table(f"{database}.{name}"), name)
+    """A landing table of a database: its declared columns as ``conform`` has them, then all others as they are.
+
+    A declared column that is missing is an error, save in a bridge table, which passes through as it comes.
+    """
+    landed = lower_case_names(spark.table(f"{database}.{name}"))
+    declared = [f.name.lower() for f in landing_schema(name)]
+    missing = [c for c in declared if c not in landed.columns]
+    if missing and name not in BRIDGES:
+        raise ValueError(f"{database}.{name} lacks declared columns: {', '.join(missing)}")
+    types = {f.name.lower(): f.dataType for f in landing_schema(name)}
+    known = [F.col(c).cast(types[c]).alias(c) for c in declared if c in landed.columns]
+    return landed.select(*known, *[F.col(f"`{c}`") for c in landed.columns if c not in types])
