@@ -17,8 +17,28 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: The countries of each length of account number.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An account number of its country's length, so that it ends before words that follow; of a country not listed, any run of groups."""
+    group = r"(?:\x20?[A-Z0-9]{4})"
+    lengths = [
+        rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}{group}{{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9])"
+        for n, countries in IBAN_COUNTRIES.items()
+    ]
+    listed = " ".join(IBAN_COUNTRIES.values()).replace(" ", "|")
+    other = rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}{group}{{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?+(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*lengths, other])})"
+
+
 ADDED = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 #: The score of a confirmed span, and the words that raise it when near.
