@@ -6,6 +6,7 @@ many documents are numpy arrays, never one Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -239,6 +240,15 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = BATCH_BYTES) ->
 def rebatched(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch, column, limit)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
@@ -263,6 +273,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 200_000)
         kept, held = rest.to_batches(), 0  # a long group is looked at again only after as many new rows
     if kept:
         yield pa.Table.from_batches(kept)
+    kept = []
+    give_back()
 
 
 def _last_group(table: pa.Table, key: list[str]) -> int:

@@ -32,7 +32,7 @@ from lakemart.llm.sets import (
     threshold_overlap,
 )
 
-#: Lines are similar from this Jaccard similarity of their words; lines of fewer different words are left alone.
+#: Lines are similar from this Jaccard similarity of their words. Callers that name no bound leave lines of fewer different words alone.
 PERCENT = 75
 LEAST_WORDS = 5
 #: Words whose counts are sent to tasks; all others are rarer and ordered by hash.
@@ -89,9 +89,9 @@ class Rarity:
 
 
 class Lines:
-    """The lines of a batch with at least LEAST_WORDS different words, each as its words in order of rarity."""
+    """The lines of a batch with at least ``least`` different words, each as its words in order of rarity."""
 
-    def __init__(self, texts: pa.Array, rarity: Rarity):
+    def __init__(self, texts: pa.Array, rarity: Rarity, least: int = LEAST_WORDS):
         w = Words(texts)
         breaks = np.flatnonzero(w.data == 10)
         whole = np.searchsorted(breaks, w.begin)
@@ -116,7 +116,7 @@ class Lines:
         size = np.bincount(line, minlength=len(starts))
         first = np.concatenate(([0], np.cumsum(size)))
         sums = np.add.reduceat(np.append(mix(self.token), np.uint64(0)), first[:-1]) if len(size) else np.zeros(0, np.uint64)
-        keep = np.flatnonzero(size >= LEAST_WORDS)
+        keep = np.flatnonzero(size >= least)
         self.size, self.first = size[keep], first[:-1][keep]
         self.cls = mix(sums[keep] + size[keep].astype(np.uint64)).view(np.int64)
         self.doc, self.number = w.doc[starts][keep], number[starts][keep]
@@ -144,10 +144,10 @@ def _places(kind: int, cls, ids, rows, numbers) -> bytes:
     return out.tobytes()
 
 
-def _index(docs: DataFrame, rarity: Rarity, bins: int) -> DataFrame:
+def _index(docs: DataFrame, rarity: Rarity, bins: int, least: int) -> DataFrame:
     def entries(batches):
         for batch in rebatched(batches, limit=PACK_BYTES):
-            lines = Lines(batch.column(1), rarity)
+            lines = Lines(batch.column(1), rarity, least)
             if not len(lines.cls):
                 continue
             ids, rows = np.asarray(batch.column(0))[lines.doc], np.asarray(batch.column(2))[lines.doc]
@@ -157,6 +157,9 @@ def _index(docs: DataFrame, rarity: Rarity, bins: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([spread] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bin", "data"])
             _, one = np.unique(lines.cls[first], return_index=True)
             one = first[one]
+            one = one[100 * lines.size[one] >= PERCENT * (lines.size[one] + 1)]  # smaller sets are similar to equal ones only, which are their class
+            if not len(one):
+                continue
             length = prefix_length(lines.size[one], PERCENT)
             owner = np.repeat(one, length)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
@@ -186,7 +189,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
     return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(met, FOUND)
 
 
-def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filter: np.ndarray) -> DataFrame:
+def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filter: np.ndarray, least: int) -> DataFrame:
     """``cls``, ``tokens`` of the lines that met others, from the texts that hold their earliest places."""
 
     def sets(batches):
@@ -194,7 +197,7 @@ def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filt
             batch = batch.filter(pa.array(passes(rows_filter, np.asarray(batch.column(2)))))
             if not batch.num_rows:
                 continue
-            lines = Lines(batch.column(1), rarity)
+            lines = Lines(batch.column(1), rarity, least)
             rows = np.asarray(batch.column(2))[lines.doc]
             one = np.arange(len(lines.cls))
             one = one[passes(cls_filter, lines.cls[one] ^ rows[one])]
@@ -279,22 +282,22 @@ def _resolve(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(resolve, "cls long")
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
+def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``id``, ``row``, ``lines`` (numbers from 0) of all lines that match an earlier one.
 
     ``docs`` holds ``id`` (from ``ordered_id``), ``text`` and ``row`` (from ``text_key``).
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rarity = Rarity(common_words(docs))
-    found = stored(_meet(_index(docs, rarity, max(1, size // BIN_BYTES))), "lines")
-    members = found.where(F.col("kind") == MEMBER).select("run", "cls").distinct()
+    found = stored(_meet(_index(docs, rarity, max(1, size // BIN_BYTES), least_words)), "lines")
+    members = found.where((F.col("kind") == MEMBER) & (F.col("run") != F.col("cls"))).select("run", "cls").distinct()
     places = found.where(F.col("kind") == CLASS).select("cls", "id", "row", "line")
     earliest = places.groupBy("cls").agg(F.min(F.struct("id", "line", "row")).alias("at")).select("cls", "at.id", "at.line", "at.row")
     earliest = stored(earliest, "places")
     met = members.select("cls").union(members.select("run")).distinct()
     wanted = stored(earliest.join(met, "cls"), "wanted")
     both = wanted.select(F.col("cls").bitwiseXOR(F.col("row")).alias("both"))
-    sets = stored(_words_of(docs, rarity, key_filter(wanted, "row"), key_filter(both, "both")), "sets")
+    sets = stored(_words_of(docs, rarity, key_filter(wanted, "row"), key_filter(both, "both"), least_words), "sets")
     blocks = components(members.select(F.col("run").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("run"))
     groups = dealt(blocks, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
     matched = stored(_resolve(grouped(groups, "run")).distinct(), "matched")
@@ -304,31 +307,32 @@ def later_lines(docs: DataFrame) -> DataFrame:
     return later.union(repeats).groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
 
 
-def with_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def with_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with ``_lines``: numbers of the lines that go, null where all stay.
 
     Only texts that may have such lines are shuffled to meet their numbers.
     """
     keyed = docs.withColumn("_id", ordered_id(F.col(id_column))).withColumn("_row", text_key(F.col(text_column)))
     rows = keyed.select(F.col("_id").alias("id"), F.col(text_column).alias("text"), F.col("_row").alias("row"))
-    gone = stored(later_lines(rows).select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.col("lines").alias("_lines")), "gone")
+    gone = stored(later_lines(rows, least_words).select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.col("lines").alias("_lines")), "gone")
     bits = key_filter(gone, "_r")
     clean = filtered(keyed, "_row", bits, keep=False).withColumn("_lines", F.lit(None).cast("array<int>"))
     some = filtered(keyed, "_row", bits).join(gone, (F.col("_id") == F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
     return clean.unionByName(some.drop("_i", "_r")).drop("_id", "_row")
 
 
-def without_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chars_column: str = "n_chars") -> DataFrame:
+def without_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chars_column: str = "n_chars", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents without the lines that are similar to an earlier line, all columns and rows kept.
 
     A line is a set of words (runs without white space); two lines are similar if the
     Jaccard similarity of their sets is 0.75 or more. Earlier is a smaller id, or an earlier
     line of the same id; all lines of the input count, those that go as well. Lines at one
     place of one id (repeated rows) are equally early, null ids come last. Lines of fewer
-    than five different words stay. Null and empty texts stay as they are; a text whose lines
+    than ``least_words`` different words stay; with 1 only lines without words do, as in
+    the query and the pipeline. Null and empty texts stay as they are; a text whose lines
     all go becomes empty. Where there is a column of lengths it is set to the new length.
     """
-    marked = with_later_lines(docs, id_column, text_column)
+    marked = with_later_lines(docs, id_column, text_column, least_words)
     cut = F.array_join(_kept_lines(F.col(text_column), F.col("_lines")), "\n")
     text = F.when(F.col("_lines").isNull(), F.col(text_column)).otherwise(cut)
     out = marked.withColumn(text_column, text)
@@ -339,12 +343,15 @@ def without_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def _kept_lines(text, numbers):
-    return F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains(numbers, k))
+    parts = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), numbers)
+    both = F.array(F.struct(parts.alias("parts"), kept.alias("kept")))  # bound once, so that a line is not searched in a list
+    return F.transform(both, lambda b: F.transform(b["kept"], lambda k: F.get(b["parts"], k)))[0]
 
 
-def line_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Per row: id, ``n_lines``, ``n_removed`` and the hash of the text that is left (null text: as empty)."""
-    marked = with_later_lines(docs.select(id_column, text_column), id_column, text_column)
+    marked = with_later_lines(docs.select(id_column, text_column), id_column, text_column, least_words)
     removed = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     text = F.coalesce(F.col(text_column), F.lit(""))
     left = F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(_kept_lines(text, F.col("_lines")), "\n"))

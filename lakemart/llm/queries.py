@@ -59,7 +59,7 @@ def repeats(spark, folder):
 def line_matches(spark, folder):
     from lakemart.llm.lines import line_report
 
-    return line_report(table(spark, folder, "documents"))
+    return line_report(table(spark, folder, "documents"), least_words=1)
 
 
 def archives(spark, folder):

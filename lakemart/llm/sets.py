@@ -10,12 +10,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import group_edges, mix, spread
+from lakemart.llm.common import give_back, group_edges, mix, spread
 
 #: An entry of the prefix index: a token (what its bin leaves of it) and a set that holds it in its prefix.
 ENTRY = np.dtype([("cls", "<i8"), ("token", "<u4"), ("size", "<u4"), ("place", "<u2")])
 #: The same with a bitmap of the rarer half of the set's tokens, for sets of up to some hundred tokens.
 MAP_BITS = 256
+#: Sets of up to so many tokens are mapped whole: half of them would say next to nothing.
+WHOLE_MAPPED = 8
 MAPPED = np.dtype([*ENTRY.descr, ("map", "<u8", (MAP_BITS // 64,))])
 #: Sets of one token that are held against each other by bitmap at once; larger runs are cut and compared later.
 MOST_PAIRED = 20_000
@@ -71,8 +73,8 @@ def unbundled(data: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def mapped_length(size):
-    """How many first tokens of a set its small bitmap holds."""
-    return (size + 1) // 2
+    """How many first tokens of a set its small bitmap holds: all of a small set, else the rarer half."""
+    return np.where(size <= WHOLE_MAPPED, size, (size + 1) // 2)
 
 
 def mapped_overlap(a, b, need):
@@ -131,6 +133,7 @@ def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) ->
             held.append(unbundled(data, kind))
             size += len(data)
     yield from close(whole)
+    give_back()
 
 
 def _token_names(number: int, tokens: np.ndarray) -> np.ndarray:
