@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemart.llm.common import importable
+from lakemart.llm.rules import report_sql
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,12 @@ def personal_data(spark, folder):
     return personal_data_report(table(spark, folder, "documents"))
 
 
+def quality_rules(spark, folder):
+    from lakemart.llm.rules import rule_report
+
+    return rule_report(table(spark, folder, "documents")).drop("failed_rules")
+
+
 QUERIES = {
     "op1_pigeonhole_edits": LlmQuery(decontamination),
     "op2_signature_trees": LlmQuery(near_copies),
@@ -93,4 +100,5 @@ QUERIES = {
     "op8_line_join": LlmQuery(line_matches),
     "op9_token_lengths": LlmQuery(token_lengths),
     "op10_personal_data": LlmQuery(personal_data),
+    "op12_adaptive_rules": LlmQuery(quality_rules, report_sql()),
 }
