@@ -89,6 +89,12 @@ def quality_rules(spark, folder):
     return rule_report(table(spark, folder, "documents")).drop("failed_rules")
 
 
+def whitened(spark, folder):
+    from lakemart.llm.whitening import whitened_vectors
+
+    return whitened_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_pigeonhole_edits": LlmQuery(decontamination),
     "op2_signature_trees": LlmQuery(near_copies),
@@ -101,4 +107,5 @@ QUERIES = {
     "op9_token_lengths": LlmQuery(token_lengths),
     "op10_personal_data": LlmQuery(personal_data),
     "op12_adaptive_rules": LlmQuery(quality_rules, report_sql()),
+    "op13_exact_whitening": LlmQuery(whitened),
 }
