@@ -83,6 +83,15 @@ def personal_data(spark, folder):
     return personal_data_report(table(spark, folder, "documents"))
 
 
+def alignment(spark, folder):
+    import public_tokenizers
+
+    from lakemart.llm.alignment import token_alignment
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment(table(spark, folder, "documents"), *paths)
+
+
 def quality_rules(spark, folder):
     from lakemart.llm.rules import rule_report
 
@@ -106,6 +115,7 @@ QUERIES = {
     "op8_line_join": LlmQuery(line_matches),
     "op9_token_lengths": LlmQuery(token_lengths),
     "op10_personal_data": LlmQuery(personal_data),
+    "op11_shared_cuts": LlmQuery(alignment),
     "op12_adaptive_rules": LlmQuery(quality_rules, report_sql()),
     "op13_exact_whitening": LlmQuery(whitened),
 }
