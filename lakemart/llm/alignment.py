@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from lakemart.llm.common import rebatched, stored
 #: Bytes of text encoded and aligned at a time, and the length of a part from which texts are split.
 BLOCK_BYTES = 1 << 20
 LONG_TEXT = 1 << 15
+#: Signs of words whose ids a task remembers.
+KNOWN_SIGNS = 4 << 20
 #: Most pairs of ids that are sent to all tasks with their counts (17 bytes each).
 FREQUENT_PAIRS = 1 << 18
 
@@ -41,6 +46,14 @@ def byte_level_values() -> dict[str, int]:
     return {chr(c): b for c, b in [*((b, b) for b in visible), *((256 + k, b) for k, b in enumerate(hidden))]}
 
 
+#: Spaces between two signs that are no blanks: neither side joins anything over one.
+SAFE_SPACE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+
+
+AFTER_SPACE, BEFORE_SPACE = re.compile(r" [\s▁]"), re.compile(r"[^\S ] |▁ ")
+TOGETHER = 64  # words that are encoded as one text
+
+
 class Vocabulary:
     """Encodes texts to ids; ``bytes[id]`` is what a token stands for."""
 
@@ -71,8 +84,61 @@ class Vocabulary:
         self.size = len(self.bytes)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def decoded(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, how many each has, and which words' ids don't spell a space and the word."""
+        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        flat = np.array(list(chain.from_iterable(self.encode(texts))), np.int64)
+        if b"".join(map(self.bytes.__getitem__, flat.tolist())) == f" {' '.join(words)}".encode():
+            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            stops = np.searchsorted(np.cumsum(self.lengths[flat]), ends) + 1
+            return flat, np.diff(stops, prepend=0), np.zeros(len(words), bool)
+        ids = self.encode(words)
+        spelled = [b"".join(map(self.bytes.__getitem__, i)) for i in ids]
+        wrong = np.array([s != f" {w}".encode() for s, w in zip(spelled, words)])
+        return np.array(list(chain.from_iterable(ids)), np.int64), np.array(list(map(len, ids)), np.int64), wrong
+
+
+class Encoded:
+    """Ids by both vocabularies of the words that were met, each encoded once."""
+
+    def __init__(self, sides: tuple[Vocabulary, Vocabulary]):
+        self.sides = sides
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.signs = 0
+        none = np.zeros(0, np.int64)
+        self.flat, self.first, self.size = [none, none], [none, none], [none, none]
+        self.wrong = np.zeros(0, bool)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if self.signs > KNOWN_SIGNS:
+            self.clear()
+        new = list(set(words).difference(self.number))
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.signs += sum(map(len, new))
+            broken = np.zeros(len(new), bool)
+            for k, side in enumerate(self.sides):
+                flat, size, wrong = side.encoded(new)
+                self.first[k] = np.concatenate([self.first[k], len(self.flat[k]) + np.cumsum(size) - size])
+                self.size[k] = np.concatenate([self.size[k], size])
+                self.flat[k] = np.concatenate([self.flat[k], flat])
+                broken |= wrong
+            self.wrong = np.concatenate([self.wrong, broken])
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def ids(self, side: int, numbers: np.ndarray) -> np.ndarray:
+        first, size = self.first[side][numbers], self.size[side][numbers]
+        return self.flat[side][np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between safe spaces."""
+    if AFTER_SPACE.search(text) or BEFORE_SPACE.search(text) or text[:1] == " " or text[-1:] == " ":
+        return SAFE_SPACE.split(text)
+    return text.split(" ")
 
 
 def parts_of(text: str, longest: int = LONG_TEXT) -> Iterator[str]:
@@ -184,24 +250,27 @@ class Aligned:
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = Vocabulary(path_a), Vocabulary(path_b)
+        self.words = Encoded((self.a, self.b))
         self.spelled = [f"{i}{mark}" for mark in ",|;" for i in range(max(self.a.size, self.b.size))]
 
     def block(self, owners: list[int], parts: list[str], known: dict[int, Aligned]) -> None:
         """Aligns parts of texts and adds what is found to their texts' entries."""
-        ids_a, ids_b, kept = [], [], []
-        for owner, part, a, b in zip(owners, parts, self.a.encode(parts), self.b.encode(parts)):
-            whole = f" {part}".encode()
-            if self.a.decoded(a) != whole or self.b.decoded(b) != whole:
-                known[owner].broken = True
-            elif not known[owner].broken:
-                ids_a.append(np.array(a, np.int64))
-                ids_b.append(np.array(b, np.int64))
-                kept.append(owner)
+        split = [words_of(part) for part in parts]
+        numbers = self.words.numbers(list(chain.from_iterable(split)))
+        part_of = np.repeat(np.arange(len(parts)), list(map(len, split)))
+        wrong = np.bincount(part_of, weights=self.words.wrong[numbers], minlength=len(parts)) > 0
+        for k in np.flatnonzero(wrong):
+            known[owners[k]].broken = True
+        kept = [k for k, owner in enumerate(owners) if not known[owner].broken]
         if not kept:
             return
+        whole = np.isin(part_of, kept)
+        numbers, part_of = numbers[whole], part_of[whole]
+        kept = [owners[k] for k in kept]
+        a, b = self.words.ids(0, numbers), self.words.ids(1, numbers)
+        edges = np.append(np.flatnonzero(np.diff(part_of)), len(part_of) - 1)  # the last word of each part
+        last_a, last_b = (np.cumsum(size[numbers])[edges] for size in self.words.size)
         owner = np.array(kept)
-        last_a, last_b = np.cumsum([len(x) for x in ids_a]), np.cumsum([len(x) for x in ids_b])
-        a, b = np.concatenate(ids_a), np.concatenate(ids_b)
         ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
         first_a = np.concatenate([[0], last_a[:-1]])
         inside_a, inside_b = shared_cuts(ends_a, ends_b, first_a, last_a)
@@ -275,6 +344,12 @@ class Aligner:
         return [known[i] for i in range(len(texts))]
 
 
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One for all tasks of a worker."""
+    return Aligner(path_a, path_b)
+
+
 def _lists(values: list[list[np.ndarray]], kind: pa.DataType) -> pa.Array:
     flat = [v[0] for v in values if v]
     ends = np.cumsum([0, *(len(v[0]) if v else 0 for v in values)]).astype(np.int32)
@@ -295,9 +370,9 @@ def aligned_texts(
     kind = rows.schema["id"].dataType.simpleString()
 
     def aligned(batches):
-        aligner = Aligner(path_a, path_b)
+        both = aligner(path_a, path_b)
         for batch in rebatched(batches):
-            found = aligner.aligned(batch.column(1).to_pylist())
+            found = both.aligned(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(2),

@@ -96,7 +96,7 @@ def run(spark, texts, **settings):
 
 @pytest.mark.parametrize("most", [0, 500, al.FREQUENT_PAIRS])
 def test_against_brute_force(spark, documents, libraries, most):
-    texts = ODD + [d[1] for d in documents[:60]] + [documents[0][1]] * 3
+    texts = ODD + [d[1] for d in documents[:25]] + [documents[0][1]] * 3
     assert run(spark, texts, most_frequent=most) == brute_force(texts, libraries)
 
 
@@ -108,11 +108,11 @@ def test_random_texts(spark, libraries):
 
 
 def test_long_texts_are_split_without_a_trace(spark, libraries, documents, monkeypatch):
-    whole = "\n ".join(d[1] for d in documents[:40] if d[1])
+    whole = "\n ".join(d[1] for d in documents[:25] if d[1])
     texts = [whole, "no_space" * 6000, "tab\t " * 9000 + "end of it"]
     assert run(spark, texts) == brute_force(texts, libraries)
     model_a, model_b = libraries
-    for size in (1, 7, 50, 1000):
+    for size in (1, 50, 1000):
         parts = list(al.parts_of(whole, size))
         assert " ".join(parts) == whole and len(parts) > 5
         assert [i for p in parts for i in model_a.encode(" " + p, add_special_tokens=False).ids] == model_a.encode(" " + whole, add_special_tokens=False).ids
@@ -122,7 +122,7 @@ def test_long_texts_are_split_without_a_trace(spark, libraries, documents, monke
 def test_texts_over_several_blocks(libraries, documents, monkeypatch):
     monkeypatch.setattr(al, "BLOCK_BYTES", 200)
     monkeypatch.setattr(al, "LONG_TEXT", 50)
-    texts = [d[1] for d in documents[:20]]
+    texts = [d[1] for d in documents[:8]]
     aligner = al.Aligner(A, B)
     monkeypatch.setattr(al.parts_of, "__defaults__", (50,))
     got = aligner.aligned(texts)
@@ -160,8 +160,10 @@ def test_long_interval_without_cuts_takes_few_steps(monkeypatch):
 
 def test_broken_and_empty(spark, monkeypatch):
     aligner = al.Aligner(A, B)
-    monkeypatch.setattr(aligner.b, "encode", lambda texts: [[5] for _ in texts])
-    assert [(e.n_a, e.digest, e.pairs) for e in aligner.aligned(["hello there", ""])] == [(0, None, [])] * 2
+    encode = aligner.b.encode
+    monkeypatch.setattr(aligner.b, "encode", lambda texts: encode([t.replace("there", "theme") for t in texts]))
+    given = ["hello there", "", "over there is more", "hello"]
+    assert [(e.n_a, e.digest is None, len(e.pairs)) for e in aligner.aligned(given)] == [(0, True, 0)] * 3 + [(1, False, 1)]
     df = spark.createDataFrame([], "doc_id long, text string")
     assert al.token_alignment(importable(spark) and df, A, B).count() == 0
     assert al.token_alignment(spark.createDataFrame([(1, None)], "doc_id long, text string"), A, B).collect() == [(1, 0, 0, 0, 0, 0, 0, "")]
