@@ -10,17 +10,17 @@ from lakemart.operators.dedupe import latest_per_key
 
 
 def unique_batch(batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The batch itself; the job fails when a key comes twice.
+    """One row per key; the job fails when two different rows share one, equal rows count once.
 
-    Grouping on the key is checked and done in one shuffle. A repeated key is
-    reduced inside each task, so it cannot pile up.
+    The smallest and the largest row of a key must be the same. Both are found in one
+    shuffle, after rows are reduced inside each task, so repeated keys cannot pile up.
     """
     others = [c for c in batch.columns if c not in keys]
-    grouped = batch.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*others) if others else F.lit(0)).alias("_row")
-    )
+    row = F.struct(*others) if others else F.lit(0)
+    grouped = batch.groupBy(*keys).agg(F.min(row).alias("_row"), F.max(row).alias("_top"))
     clash = F.concat(F.lit("more than one batch row for key "), F.to_json(F.struct(*keys)))
-    once = grouped.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(clash).cast("boolean")))
+    alike = F.col("_row").eqNullSafe(F.col("_top"))
+    once = grouped.where(F.when(alike, True).otherwise(F.raise_error(clash).cast("boolean")))
     return once.select(*[F.col(f"_row.`{c}`") if c in others else F.col(c) for c in batch.columns])
 
 
@@ -139,7 +139,7 @@ def merge_latest(
 
 def merge_distinct(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Merge the distinct source rows; two different rows of one key fail the job."""
-    batch = unique_batch(source.distinct(), keys)
+    batch = unique_batch(source, keys)
     return merge_state(target, batch, keys, batch_keys=source.select(*keys).distinct())
 
 

@@ -1,36 +1,27 @@
-"""Neighbours, running totals and positions inside a key, safe for hot keys.
-
-A window over a key puts all its rows into one task. Where a key is hot, its
-rows are first cut into time ranges ("slices") of bounded size. Windows run per
-(key, slice), and what one slice must know of its neighbours (its last row, its
-first row, its total) is one small row per slice, joined back.
-
-Finding hot keys takes one pass over the key columns with a frequent-items
-sketch. The sketch only steers the cutting; results are exact whatever it says.
-
-Bounds: a key is hot when it holds more than about 1/1000 of all rows (and more
-than ``hot_rows``). The sketch names at most 1000 keys, and as its counts exceed
-the true ones by less than 1/1000 of the rows each, fewer than 3000 slices arise.
-These lists pass through the driver and are broadcast.
+"""Neighbours, running totals, positions and counts inside a key, whatever the size of the key.
+
+A window over a key puts all its rows into one task. Here rows are first cut into slices
+of about equal size along (key, time, ties), as a range partitioning does, so a slice
+holds many small keys, or a part of a large one, or of its rows of one time. Windows run
+per (slice, key) after one shuffle by slice. Only the two keys at a slice's edges go on
+in another slice. Their rows are summed up per slice, before any shuffle; the summaries
+are scanned along the slices, and each slice gets what lies before or behind it.
+
+The plan is the same for all sizes and keys. Slices are as many as the session's shuffle
+partitions; cuts and summaries are a row or two per slice. Cuts come from a sample of
+the ordering columns, which steers the sizes of slices only: results are exact.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakemart.functions.compare import all_same, same_beside_key, side_pairs
-
-HOT_ROWS = 5_000_000
-HOT_SHARE = 1000
-SKETCH_ITEMS = 4096
-SKETCH_GROUPS = 64
-
-GROUP, SLICE = "_group", "_slice"
+SLICE, PLACED = "_slice", "_placed"
+SAMPLED = 32  # rows a slice
 
 
 @dataclass(frozen=True)
@@ -41,68 +32,127 @@ class OrderedRows:
     keys: tuple[str, ...]
     time: str
     ties: tuple[str, ...] = ()
-    sliced: bool = False
+    #: the same rows before they are shuffled, while none has gone; summaries are taken from here
+    flat: DataFrame | None = None
 
     def with_df(self, df: DataFrame) -> OrderedRows:
-        return OrderedRows(df, self.keys, self.time, self.ties, self.sliced)
+        return OrderedRows(df, self.keys, self.time, self.ties)
+
+    def with_column(self, df: DataFrame) -> OrderedRows:
+        """The same rows with more columns."""
+        return OrderedRows(df, self.keys, self.time, self.ties, self.flat)
 
     def where(self, condition: Column) -> OrderedRows:
         return self.with_df(self.df.where(condition))
 
+    def part(self):
+        return Window.partitionBy(SLICE, *self.keys)
+
     def window(self):
-        parts = [GROUP, SLICE, *self.keys] if self.sliced else list(self.keys)
         order = [F.col(self.time).asc_nulls_last(), *[F.col(t).asc_nulls_first() for t in self.ties]]
-        return Window.partitionBy(*parts).orderBy(*order)
+        return self.part().orderBy(*order)
 
     def result(self) -> DataFrame:
-        return self.df.drop(GROUP, SLICE)
+        return self.df.drop(SLICE, PLACED)
+
+
+def _plain(df: DataFrame, name: str) -> Column:
+    """A value of the same order that JSON holds unchanged."""
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), column)
+    return column
+
 
+def _place(df: DataFrame, keys: tuple[str, ...], time: Column, rest: list[Column]) -> Column:
+    """Orders rows as the windows do: by key, then time with NULLs last, then the rest."""
+    key = F.struct(*[_plain(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
+    moment = F.struct(key.alias("key"), time.isNull().alias("none"), time.alias("at"))
+    return F.struct(moment.alias("moment"), *[c.alias(f"r{i}") for i, c in enumerate(rest)])
 
-def hot_groups(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) -> tuple[dict[int, int], int]:
-    """Key hash -> number of slices, for hot keys only, and the slice size in rows.
 
-    Each task reduces its rows to one sketch of bounded size. The sketches are
-    merged in groups first, so no single task takes in one from every task.
+def _cuts(probe: DataFrame, place: Column, slices: int) -> Column:
+    """The places at which a slice begins, in order, as a constant array.
+
+    Beside each place: the first cut at the same place, at the same key and at the same
+    key and time. A place that holds many rows is cut several times.
     """
-    some = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    merged = (
-        df.select(F.xxhash64(*keys).alias(GROUP), some.alias("_part"))
-        .groupBy("_part")
-        .agg(
-            F.expr(f"approx_top_k_accumulate({GROUP}, {SKETCH_ITEMS})").alias("_sketch"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-    )
-    found = (
-        merged.groupBy(F.lit(0).alias("_all"))
-        .agg(
-            F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {SKETCH_ITEMS}), {HOT_SHARE})").alias("top"),
-            F.sum("_n").alias("n"),
+    rows = probe.select(place.alias("place"))
+    n = rows.count()
+    share = min(1.0, SAMPLED * slices / max(n, 1))
+    taken = rows.where(F.rand(7) < share).agg(F.sort_array(F.collect_list("place")).alias("all"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.floor(i * F.size("all") / slices).cast("int"))
+    some = taken.where(F.size("all") > 0).select(F.posexplode(F.transform(at, lambda i: F.get("all", i))).alias("i", "place"))
+    along = Window.partitionBy(F.lit(0)).orderBy("i")  # a row per slice
+
+    def first(value: Column) -> Column:
+        begins = F.when(F.col("i") == 0, True).otherwise(~value.eqNullSafe(F.lag(value).over(along)))
+        return F.max(F.when(begins, F.col("i"))).over(along)
+
+    same = {"place": F.col("place"), "key": F.col("place.moment.key"), "moment": F.col("place.moment")}
+    found = some.select("i", "place", *[first(value).alias(f"first_{name}") for name, value in same.items()])
+    listed = found.agg(F.sort_array(F.collect_list(F.struct(*found.columns))).alias("cuts"))
+    text = listed.select(F.to_json("cuts")).first()[0]
+    return F.from_json(F.lit(text), listed.schema["cuts"].dataType)
+
+
+def _placed(cuts: Column, place: Column, number: Column, slices: int) -> Column:
+    """``slice`` of a row; ``run``: the cut key it belongs to, by number of its first cut, where its slice's edge cuts
+    its key; ``before`` and ``behind``: likewise where an edge cuts even its time."""
+    steps = F.lit([1 << k for k in range(slices.bit_length() - 1, -1, -1)])
+
+    def found(c: Column, p: Column) -> Column:
+        upto = F.aggregate(  # binary search: cuts at or before the place
+            steps, F.lit(0), lambda at, step: F.when(F.get(c, at + step - 1)["place"] <= p, at + step).otherwise(at)
         )
-        .first()
-    )
-    if found is None:  # no rows
-        return {}, hot_rows
-    size = max(hot_rows, ceil(found["n"] / HOT_SHARE))
-    return {t["item"]: ceil(t["count"] / size) for t in found["top"] if t["count"] > size}, size
 
+        def among(hi: Column) -> Column:
+            last = F.get(c, hi - 1)
+            many = last["place"].eqNullSafe(p) & (last["first_place"] < hi - 1)
+            # rows of one place with several cuts are dealt over the slices between these
+            return F.when(many, last["first_place"] + F.pmod(number, hi - last["first_place"] + 1).cast("int")).otherwise(hi)
 
-def with_group_size(df: DataFrame, keys: str | list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the number of rows of the row's key; NULL keys form one group.
+        def edges(at: Column) -> Column:
+            low, high = F.get(c, at - 1), F.get(c, at)
 
-    Other keys are counted by a window, in one shuffle. Rows of hot keys are not
-    shuffled at all: their counts, one row per hot key, are broadcast.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    size = F.count(F.lit(1))
-    hot, _ = hot_groups(df, tuple(keys), hot_rows)
-    if not hot:
-        return df.withColumn(name, size.over(Window.partitionBy(*keys)))
-    is_hot = F.xxhash64(*keys).isin(list(hot))
-    busy = df.where(is_hot)
-    counts = busy.groupBy(*keys).agg(size.alias(name))
-    counted = busy.alias("r").join(F.broadcast(counts).alias("c"), all_same(side_pairs(keys, "r", "c"))).select("r.*", f"c.`{name}`")
-    return df.where(~is_hot).withColumn(name, size.over(Window.partitionBy(*keys))).unionByName(counted)
+            def cut(edge: Column, part: str, inside: Column) -> Column:
+                mine = edge["place"]["moment"]["key"] if part == "key" else edge["place"]["moment"]
+                return F.when(mine.eqNullSafe(inside) & edge.isNotNull(), edge[f"first_{part}"])
+
+            key, moment = p["moment"]["key"], p["moment"]
+            return F.struct(
+                at.alias("slice"),
+                F.coalesce(cut(low, "key", key), cut(high, "key", key)).alias("run"),
+                cut(low, "moment", moment).alias("before"),
+                cut(high, "moment", moment).alias("behind"),
+            )
+
+        return _let(_let(upto, among), edges)
+
+    return _let(cuts, lambda c: _let(place, lambda p: found(c, p)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _slices_of(df: DataFrame, slices: int | None) -> int:
+    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cut(df: DataFrame, place: Column, probe: DataFrame | None, probe_place: Column, slices: int | None) -> DataFrame:
+    """Adds slice and edges to the rows; ``_dealt`` then shuffles them by slice."""
+    slices = max(2, _slices_of(df, slices))
+    cuts = _cuts(df if probe is None else probe, probe_place, slices)
+    placed = df.withColumn(PLACED, _placed(cuts, place, F.monotonically_increasing_id(), slices))
+    return placed.withColumn(SLICE, F.col(f"{PLACED}.slice"))
+
+
+def _dealt(cut: DataFrame, slices: int | None) -> DataFrame:
+    return cut.repartitionById(max(2, _slices_of(cut, slices)), F.col(SLICE))
 
 
 def ordered_rows(
@@ -110,127 +160,96 @@ def ordered_rows(
     keys: str | list[str],
     time: str,
     ties: tuple[str, ...] = (),
-    hot_rows: int = HOT_ROWS,
+    slices: int | None = None,
     probe: DataFrame | None = None,
 ) -> OrderedRows:
-    """The frame ready for the windows below, hot keys cut into slices.
+    """The frame ready for the windows below, cut into slices.
 
-    Hot keys are looked for in ``probe``, a cheaper frame with the keys and the
-    time, where one is given.
+    The sample is taken from ``probe``, a cheaper frame with keys, time and ties, where one is given.
     """
+    keys, ties = (keys,) if isinstance(keys, str) else tuple(keys), tuple(ties)
+    places = [_place(f, keys, _plain(f, time), [_plain(f, t) for t in ties]) for f in (df, df if probe is None else probe)]
+    cut = _cut(df, places[0], probe, places[1], slices)
+    return OrderedRows(_dealt(cut, slices), keys, time, ties, cut)
+
+
+def with_group_size(df: DataFrame, keys: str | list[str], name: str, slices: int | None = None) -> DataFrame:
+    """Add the number of rows of the row's key; NULL keys form one group."""
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
-    rows = OrderedRows(df, keys, time, tuple(ties))
-    probe = df if probe is None else probe
-    slices, _ = hot_groups(probe, keys, hot_rows)
-    if not slices:
-        return rows
-    cuts = _cut_points(probe, rows, slices)
-    cut = (
-        df.withColumn(GROUP, F.xxhash64(*keys))
-        .join(F.broadcast(cuts), GROUP, "left")
-        .withColumn(
-            SLICE,
-            F.when(F.col("_cuts").isNull(), 0)
-            .when(F.col(time).isNull(), F.size("_cuts") + 1)
-            .otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(time))) + 1),
-        )
-        .drop("_cuts")
-    )
-    # one shuffle by (group, slice) serves every window and join below
-    return OrderedRows(cut.repartition(GROUP, SLICE), keys, time, tuple(ties), True)
-
-
-def _cut_points(df: DataFrame, rows: OrderedRows, slices: dict[int, int]) -> DataFrame:
-    """For each hot group the times at which a new slice starts."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(list(slices.items()), f"{GROUP} long, _n int")
-    grid = [i / HOT_SHARE for i in range(1, HOT_SHARE)]
-    found = (
-        df.select(F.xxhash64(*rows.keys).alias(GROUP), F.col(rows.time).alias("_time"))
-        .join(F.broadcast(wanted), GROUP)
-        .groupBy(GROUP)
-        .agg(F.percentile_approx("_time", grid, 10000).alias("_grid"), F.max("_n").alias("_n"))
-        .select(
-            GROUP,
-            F.array_sort(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.col("_n") - 1, F.lit(1))),
-                        lambda i: F.element_at("_grid", F.greatest(F.lit(1), (i * HOT_SHARE / F.col("_n")).cast("int"))),
-                    )
-                )
-            ).alias("_cuts"),
-        )
-        .where(F.col("_cuts").isNotNull())
-    )
-    schema = T.StructType([T.StructField(GROUP, T.LongType()), found.schema["_cuts"]])
-    return spark.createDataFrame(found.collect(), schema)
+    place = _place(df, keys, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), [])
+    cut = _cut(df, place, None, place, slices)
+    inside = _dealt(cut, slices).withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys)))
+    edges = cut.where(F.col(f"{PLACED}.run").isNotNull()).groupBy(F.col(f"{PLACED}.run").alias("_run")).agg(F.count(F.lit(1)).alias("_carry"))
+    joined = inside.join(F.broadcast(edges), F.col(f"{PLACED}.run") == F.col("_run"), "left")
+    return joined.withColumn(name, F.coalesce("_carry", name)).drop("_carry", "_run", SLICE, PLACED)
+
 
+def _carried(rows: OrderedRows, summary: Column, carry, part: str = "run") -> DataFrame:
+    """Summarise each slice's rows of an edge key and hand the result on along the slices of that key.
 
-def _slice_summary(rows: OrderedRows, summary: Column, carry) -> DataFrame:
-    """Summarise each slice of the hot groups and hand the result on along the slices."""
-    along = Window.partitionBy(GROUP, *rows.keys).orderBy(SLICE)
+    ``_run``, ``_at``, ``_carry``: at most two rows per slice, whatever the rows. The
+    summary is over the columns that the rows were cut with.
+    """
+    df = rows.df if rows.flat is None else rows.flat
+    run = F.col(f"{PLACED}.{part}")
+    along = Window.partitionBy("_run").orderBy("_at")
     return (
-        rows.df.where(F.col(SLICE) > 0)
-        .groupBy(GROUP, SLICE, *rows.keys)
+        df.where(run.isNotNull())
+        .groupBy(run.alias("_run"), F.col(SLICE).alias("_at"))
         .agg(summary.alias("_summary"))
-        .select(GROUP, SLICE, *rows.keys, carry("_summary", along).alias("_carry"))
+        .select("_run", "_at", carry(F.col("_summary"), along).alias("_carry"))
     )
 
 
-def _join_carry(rows: OrderedRows, df: DataFrame, carry: DataFrame) -> DataFrame:
-    same = (F.col(f"r.{GROUP}") == F.col(f"c.{GROUP}")) & (F.col(f"r.{SLICE}") == F.col(f"c.{SLICE}"))
-    same = same & same_beside_key(side_pairs(list(rows.keys), "r", "c"))
-    return df.alias("r").join(carry.alias("c"), same, "left").select("r.*", "c._carry")
+def _join_carry(rows: OrderedRows, df: DataFrame, carried: DataFrame) -> DataFrame:
+    same = (F.col(f"{PLACED}.run") == F.col("_run")) & (F.col(SLICE) == F.col("_at"))
+    return df.join(F.broadcast(carried), same, "left").drop("_run", "_at")
 
 
-def _place(rows: OrderedRows) -> Column:
-    """Sorts as the window does: NULL times last, ties ascending."""
+def _order(rows: OrderedRows) -> Column:
     return F.struct(F.col(rows.time).isNull(), F.col(rows.time), *[F.col(t) for t in rows.ties])
 
 
 def with_previous(rows: OrderedRows, columns: list[str], name: str = "_prev") -> OrderedRows:
     """Add a struct of the previous row's columns; NULL on the first row of a key."""
     packed = F.struct(*[F.col(c) for c in columns])
-    df = rows.df.withColumn(name, F.lag(packed).over(rows.window()))
-    if rows.sliced:
-        last = _slice_summary(rows, F.max_by(packed, _place(rows)), lambda s, w: F.lag(s).over(w))
-        df = _join_carry(rows, df, last).withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
-    return rows.with_df(df)
+    last = _carried(rows, F.max_by(packed, _order(rows)), lambda s, w: F.lag(s).over(w))
+    df = _join_carry(rows, rows.df.withColumn(name, F.lag(packed).over(rows.window())), last)
+    return rows.with_column(df.withColumn(name, F.coalesce(name, "_carry")).drop("_carry"))
 
 
 def with_next(rows: OrderedRows, name: str = "_next") -> OrderedRows:
     """Add the next row's time; NULL on the last row of a key."""
+    first = _carried(rows, F.min_by(F.struct(rows.time), _order(rows)), lambda s, w: F.lead(s[rows.time]).over(w))
     df = rows.df.withColumn(name, F.lead(rows.time).over(rows.window()))
-    if rows.sliced:
-        first = _slice_summary(
-            rows, F.min_by(F.struct(rows.time), _place(rows)), lambda s, w: F.lead(F.col(s)[rows.time]).over(w)
-        )
-        at_end = F.lead(F.lit(1)).over(rows.window()).isNull()
-        df = _join_carry(rows, df.withColumn("_end", at_end), first)
-        df = df.withColumn(name, F.when(F.col("_end"), F.col("_carry")).otherwise(F.col(name))).drop("_carry", "_end")
-    return rows.with_df(df)
+    df = _join_carry(rows, df.withColumn("_end", F.lead(F.lit(1)).over(rows.window()).isNull()), first)
+    return rows.with_column(df.withColumn(name, F.when(F.col("_end"), F.col("_carry")).otherwise(F.col(name))).drop("_carry", "_end"))
+
+
+def _with_sum_before(rows: OrderedRows, df: DataFrame, amount: Column, name: str) -> DataFrame:
+    earlier = _carried(rows, amount, lambda s, w: F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return _join_carry(rows, df, earlier).withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
 
 
 def with_running_total(rows: OrderedRows, amount: Column, name: str) -> OrderedRows:
     """Running sum up to the row, rows with an equal time sharing one value."""
-    window = Window.partitionBy(*([GROUP, SLICE, *rows.keys] if rows.sliced else rows.keys)).orderBy(
-        F.col(rows.time).asc_nulls_last()
+    window = rows.part().orderBy(F.col(rows.time).asc_nulls_last())
+    df = _with_sum_before(rows, rows.df.withColumn(name, F.sum(amount).over(window)), F.sum(amount), name)
+    # rows of the same time in later slices belong to the sum as well
+    heads = _carried(rows, F.sum(amount), lambda s, w: s, "before")
+    ends = rows.df if rows.flat is None else rows.flat
+    behind = ends.where(f"{PLACED}.behind IS NOT NULL").select(F.col(f"{PLACED}.behind").alias("_time"), F.col(SLICE).alias("_from")).distinct()
+    later = (
+        behind.join(F.broadcast(heads), (F.col("_time") == F.col("_run")) & (F.col("_at") > F.col("_from")))
+        .groupBy("_time", "_from")
+        .agg(F.sum("_carry").alias("_later"))
     )
-    return _accumulate(rows, F.sum(amount).over(window), F.sum(amount), name)
+    same = (F.col(f"{PLACED}.behind") == F.col("_time")) & (F.col(SLICE) == F.col("_from"))
+    df = df.join(F.broadcast(later), same, "left").withColumn(name, F.col(name) + F.coalesce("_later", F.lit(0)))
+    return rows.with_column(df.drop("_later", "_time", "_from"))
 
 
 def with_position(rows: OrderedRows, name: str) -> OrderedRows:
     """Position of the row in its key, from 1."""
-    return _accumulate(rows, F.row_number().over(rows.window()).cast("long"), F.count(F.lit(1)), name)
-
-
-def _accumulate(rows: OrderedRows, inside: Column, total: Column, name: str) -> OrderedRows:
-    df = rows.df.withColumn(name, inside)
-    if rows.sliced:
-        before = _slice_summary(
-            rows, total, lambda s, w: F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        df = _join_carry(rows, df, before)
-        df = df.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
-    return rows.with_df(df)
+    inside = rows.df.withColumn(name, F.row_number().over(rows.window()).cast("long"))
+    return rows.with_column(_with_sum_before(rows, inside, F.count(F.lit(1)), name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions.clean import blank_if_null, zero_if_null
 from lakemart.functions.text import clip, escape_html, run_of, two_decimals
-from lakemart.operators.ordered import HOT_ROWS, ordered_rows, with_position
+from lakemart.operators.ordered import ordered_rows, with_position
 from lakemart.operators.runlog import run_summary
 
 # What stands in for a missing field.
@@ -101,13 +101,12 @@ def _rows_of_runs(log: DataFrame) -> DataFrame:
     return log.withColumn("run_id", run_of("job_id")).where("run_id IS NOT NULL")
 
 
-def _nodes(log: DataFrame, listed: DataFrame, hot_rows: int) -> DataFrame:
+def _nodes(log: DataFrame, listed: DataFrame, slices: int | None) -> DataFrame:
     """``listed`` (run_id, job_id, start_time, skipped, text, others) as lines after the ``skipped`` heading lines.
 
-    Nodes stand in order of start, then job; runs with very many rows are looked
-    for in the log itself.
+    Nodes stand in order of start, then job; the log itself is sampled for the cuts.
     """
-    rows = ordered_rows(listed, "run_id", "start_time", ("job_id",), hot_rows, probe=log.select("run_id", "start_time"))
+    rows = ordered_rows(listed, "run_id", "start_time", ("job_id",), slices, probe=log.select("run_id", "start_time", "job_id"))
     numbered = with_position(rows, "_position").result()
     return numbered.withColumn("line", F.col("_position") - 1 + F.col("skipped")).drop(
         "_position", "job_id", "start_time", "skipped"
@@ -118,27 +117,27 @@ def _listed(rows: DataFrame, skipped: Column, text: Column, *others: Column) ->
     return rows.select("run_id", "job_id", "start_time", skipped.alias("skipped"), text.alias("text"), *others)
 
 
-def success_report(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def success_report(log: DataFrame, slices: int | None = None) -> DataFrame:
     """run_id, line, text: one line per node. A run without rows has no report."""
     rows = _rows_of_runs(log)
-    nodes = _nodes(rows, _listed(rows, F.lit(len(_success_heading())), _success_entry()), hot_rows)
+    nodes = _nodes(rows, _listed(rows, F.lit(len(_success_heading())), _success_entry()), slices)
     frame = run_summary(log).select("run_id", F.inline(_success_frame()))
     return frame.unionByName(nodes)
 
 
-def failure_report(log: DataFrame, message_length: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def failure_report(log: DataFrame, message_length: int | None = None, slices: int | None = None) -> DataFrame:
     """run_id, line, text: one line per failed node. No failure, no report.
 
     Messages are whole unless a ``message_length`` is given; it counts the
     characters after escaping.
     """
     rows = _rows_of_runs(log).where("status = 'FAILED'")
-    nodes = _nodes(rows, _listed(rows, F.lit(len(_failure_heading())), _failure_entry(message_length)), hot_rows)
+    nodes = _nodes(rows, _listed(rows, F.lit(len(_failure_heading())), _failure_entry(message_length)), slices)
     frame = run_summary(log).where("failed > 0").select("run_id", F.inline(_failure_frame()))
     return frame.unionByName(nodes)
 
 
-def run_report(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def run_report(log: DataFrame, slices: int | None = None) -> DataFrame:
     """One report per run: the failure report where a node failed, else the success report.
 
     run_id, line, text and the kind of ``report``.
@@ -150,6 +149,6 @@ def run_report(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     shown = rows.join(runs.select("run_id", "failed"), "run_id").where((F.col("failed") == 0) | (F.col("status") == "FAILED"))
     skipped = F.when(bad, len(_failure_heading())).otherwise(len(_success_heading()))
     entry = F.when(bad, _failure_entry()).otherwise(_success_entry())
-    nodes = _nodes(rows, _listed(shown, skipped, entry, kind), hot_rows)
+    nodes = _nodes(rows, _listed(shown, skipped, entry, kind), slices)
     frame = runs.select("run_id", kind, F.inline(F.when(bad, _failure_frame()).otherwise(_success_frame())))
     return frame.unionByName(nodes)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lakemart.functions.compare import all_same, any_changed, same_beside_key, side_pairs
 from lakemart.operators.dedupe import latest_per_key
 from lakemart.operators.ordered import (
-    HOT_ROWS,
     OrderedRows,
     ordered_rows,
     with_next,
@@ -222,13 +221,13 @@ def _changes(
     others: list[str],
     ties: tuple[str, ...],
     keep_first: bool,
-    hot_rows: int,
+    slices: int | None,
 ) -> OrderedRows:
     """Rows in which at least one tracked column differs from the row before."""
     if not tracked:
         raise ValueError("tracked must name at least one column")
     columns = list(dict.fromkeys([key, *tracked, *others, updated, *ties]))
-    rows = with_previous(ordered_rows(source.select(*columns), key, updated, ties, hot_rows), tracked)
+    rows = with_previous(ordered_rows(source.select(*columns), key, updated, ties, slices), tracked)
     changed = any_changed([(F.col(c), F.col(f"_prev.`{c}`")) for c in tracked])
     if keep_first:
         changed = changed | F.col("_prev").isNull()
@@ -245,7 +244,7 @@ def scd2_rebuild(
     end: str = OPEN_END,
     ties: tuple[str, ...] = (),
     keep_first: bool = False,
-    hot_rows: int = HOT_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """All versions from a change log: keep the changes and chain them.
 
@@ -254,7 +253,7 @@ def scd2_rebuild(
     counts as no change unless ``keep_first``.
     """
     kept = [c for c in [created] if c]
-    changes = _changes(source, key, updated, tracked, kept, ties, keep_first, hot_rows)
+    changes = _changes(source, key, updated, tracked, kept, ties, keep_first, slices)
     chained = with_next(changes, "_next").result()
     kind = source.schema[updated].dataType
     return chained.select(
@@ -275,9 +274,9 @@ def change_streak(
     tracked: list[str],
     ties: tuple[str, ...] = (),
     keep_first: bool = False,
-    hot_rows: int = HOT_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """The running number of changes of a key, at each change."""
-    changes = _changes(source, key, updated, tracked, [], ties, keep_first, hot_rows)
+    changes = _changes(source, key, updated, tracked, [], ties, keep_first, slices)
     counted = with_running_total(changes, F.lit(1), "streak").result()
     return counted.select(key, updated, *tracked, F.col("streak").cast("long").alias("streak"))

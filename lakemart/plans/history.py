@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakemart.operators.dedupe import latest_per_key
+from lakemart.operators.ordered import ordered_rows, with_next, with_position, with_previous, with_running_total
 from lakemart.operators.scd2 import change_streak, scd2_close, scd2_incremental, scd2_rebuild, scd2_seed
 from lakemart.operators.snapshot import snapshot_check
 from lakemart.plans.inputs import (
@@ -23,6 +25,19 @@ HISTORY = {"key": "user_id", "updated": "ts", "tracked": ["kind"], "ties": ("eve
 KEPT = ("event_id", "value")
 
 
+def sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as the rows of one key: the row before, the time after, the sum so far and the place."""
+    events = read_parquet(spark, folder, "events").select(
+        F.lit(1).alias("stream"), "event_id", "ts", "event_type", F.col("value").cast("decimal(18,4)").alias("amount")
+    )
+    rows = with_next(with_previous(ordered_rows(events, "stream", "ts", ("event_id",)), ["event_type"]))
+    rows = with_position(with_running_total(rows, F.col("amount"), "so_far"), "place")
+    return rows.result().select(
+        "event_id", F.col("_prev.event_type").alias("type_before"), F.col("_next").alias("ts_after"),
+        F.col("so_far").cast("decimal(28,4)").alias("so_far"), "place",
+    )
+
+
 def _seed(log: DataFrame) -> DataFrame:
     return scd2_seed(before(log, "ts", FIRST_CUT), passthrough=KEPT, **HISTORY)
 
@@ -89,19 +104,25 @@ closed AS (
 
 
 def _changes_sql(tracked: list[str], keep_first: bool = False) -> str:
-    lags = ", ".join(f"lag({c}) OVER w AS prev_{c}" for c in tracked)
-    differs = " OR ".join(f"{c} IS DISTINCT FROM prev_{c}" for c in tracked)
-    first = " OR n = 1" if keep_first else ""
+    """Rows whose content is not that of the row numbered one less."""
+    now, then = (f"row({', '.join(f'{side}.{c}' for c in tracked)})" for side in ("e", "p"))
+    first = " OR e.n = 1" if keep_first else ""
     return f"""{CHANGE_LOG_SQL},
-stepped AS (SELECT *, {lags}, row_number() OVER w AS n FROM e
-            WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-changes AS (SELECT * FROM stepped WHERE {differs}{first})"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+changes AS (SELECT e.* FROM numbered e LEFT JOIN numbered p ON p.user_id IS NOT DISTINCT FROM e.user_id AND p.n = e.n - 1
+            WHERE {now} IS DISTINCT FROM {then}{first})"""
 
 
 _CHAINED = """coalesce(lead(ts) OVER w, TIMESTAMP '9999-12-31') AS end_dt, lead(ts) OVER w IS NULL AS is_active
 FROM changes WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
 
 QUERIES = {
+    "event_sequence": Query(
+        sequence,
+        """SELECT event_id, lag(event_type) OVER w AS type_before, lead(ts) OVER w AS ts_after,
+  CAST(sum(CAST(value AS DECIMAL(18,4))) OVER (ORDER BY ts) AS DECIMAL(28,4)) AS so_far, row_number() OVER w AS place
+FROM events WINDOW w AS (ORDER BY ts, event_id)""",
+    ),
     "scd2_seed": Query(
         seed,
         f"""WITH {CHANGE_LOG_SQL} SELECT user_id, kind, event_id, value, {_OPEN} FROM e

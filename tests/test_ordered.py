@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemart.operators.ordered import (
-    hot_groups,
     ordered_rows,
     with_group_size,
     with_next,
@@ -49,48 +48,87 @@ def brute_force(data):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 150, 25])
-def test_against_brute_force(skewed, hot_rows):
-    data, df = skewed
-    rows = ordered_rows(df, ["k", "j"], "u", ("i",), hot_rows)
-    assert rows.sliced == (hot_rows < 1000)
+def found(rows):
     rows = with_position(with_running_total(with_next(with_previous(rows, ["v"])), F.col("v"), "total"), "n")
-    got = {r["i"]: (r["_prev"]["v"] if r["_prev"] else None, r["_next"], r["total"], r["n"]) for r in rows.result().collect()}
-    assert got == brute_force(data)
+    return {r["i"]: (r["_prev"]["v"] if r["_prev"] else None, r["_next"], r["total"], r["n"]) for r in rows.result().collect()}
+
+
+@pytest.mark.parametrize("slices", [None, 1, 7, 64])
+def test_against_brute_force(skewed, slices):
+    data, df = skewed
+    rows = ordered_rows(df, ["k", "j"], "u", ("i",), slices)
+    assert found(rows) == brute_force(data)
+    assert rows.result().columns == df.columns
 
 
 def test_slices_by_date(skewed):
     data, df = skewed
     by_date = [(*r[:2], r[2].date() if r[2] else None, *r[3:]) for r in data]
-    rows = ordered_rows(df.withColumn("u", F.to_date("u")), ["k", "j"], "u", ("i",), 60)
-    assert rows.sliced
-    got = with_position(with_next(with_previous(rows, ["v"])), "n").result().collect()
+    rows = ordered_rows(df.withColumn("u", F.to_date("u")), ["k", "j"], "u", ("i",), 30)
+    got = found(rows)
     expected = brute_force([(*r[:2], dt.datetime.combine(r[2], dt.time()) if r[2] else None, *r[3:]) for r in by_date])
-    for r in got:
-        previous, following, _, n = expected[r["i"]]
-        assert (r["_prev"]["v"] if r["_prev"] else None, r["n"]) == (previous, n)
-        assert r["_next"] == (following.date() if following else None)
-
-
-def test_no_slice_holds_a_hot_key(skewed):
+    for i, (previous, following, total, n) in got.items():
+        assert (previous, total, n) == (expected[i][0], *expected[i][2:])
+        assert following == (expected[i][1].date() if expected[i][1] else None)
+
+
+@pytest.mark.parametrize("kind", ["one key", "one key and time", "one key, no time"])
+def test_one_key_is_dealt_evenly(spark, kind):
+    """Also rows of one key with equal or NULL times, and even rows that are all alike but for the tie-breaker."""
+    moment = {"one key": "timestamp_seconds(id)", "one key and time": "timestamp'2024-01-01'", "one key, no time": "CAST(NULL AS timestamp)"}[kind]
+    df = spark.range(4000).selectExpr("1L AS k", "'x' AS j", f"CAST({moment} AS timestamp_ntz) AS u", "id AS i", "id % 7 AS v")
+    rows = ordered_rows(df, ["k", "j"], "u", ("i",), 20)
+    sizes = [r["count"] for r in rows.df.groupBy("_slice").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3 * 200
+    data = [tuple(r) for r in df.collect()]
+    mine = sorted(data, key=lambda r: (r[2] or dt.datetime.min, r[3]))
+    total = sum(r[4] for r in mine)
+    got = found(rows)
+    for n, r in enumerate(mine):
+        previous, following, running, position = got[r[3]]
+        assert position == n + 1 and previous == (mine[n - 1][4] if n else None)
+        assert following == (mine[n + 1][2] if n + 1 < len(mine) else None)
+        assert running == (sum(x[4] for x in mine[: n + 1]) if kind == "one key" else total)
+
+
+def test_rows_that_are_all_alike(spark):
+    df = spark.range(3000).selectExpr("1L AS k", "'x' AS j", "timestamp_ntz'2024-01-01' AS u", "5L AS i", "1L AS v")
+    rows = ordered_rows(df, ["k", "j"], "u", ("i",), 16)
+    assert rows.df.groupBy("_slice").count().agg(F.max("count")).first()[0] < 3 * 3000 / 16
+    out = with_position(with_running_total(with_previous(rows, ["v"]), F.col("v"), "total"), "n").result().collect()
+    assert sorted(r["n"] for r in out) == list(range(1, 3001))
+    assert {r["total"] for r in out} == {3000} and sum(r["_prev"] is None for r in out) == 1
+
+
+def test_empty_and_tiny(spark):
+    for n in (0, 1, 2):
+        df = spark.range(n).selectExpr("id AS k", "'x' AS j", "CAST(NULL AS timestamp_ntz) AS u", "id AS i", "1L AS v")
+        assert len(found(ordered_rows(df, ["k", "j"], "u", ("i",)))) == n
+        assert with_group_size(df, "k", "n").count() == n
+
+
+def test_rows_are_shuffled_once(skewed):
+    """By slice; the windows find the rows in place, and what slices hand on is summed up before it is shuffled."""
     _, df = skewed
-    sizes = ordered_rows(df, ["k", "j"], "u", ("i",), 25).df.groupBy("_group", "_slice").count()
-    # equal and NULL times stay together, so a slice may exceed the aim a little
-    assert sizes.agg(F.max("count")).first()[0] < 60
+    rows = with_next(with_previous(ordered_rows(df, ["k", "j"], "u", ("i",), 8), ["v"]))
+    plan = rows.result()._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Window") >= 2 and plan.count("shufflepartitionidpassthrough") == 1
+    assert "partial_max_by" in plan and "partial_min_by" in plan
+    assert "hashpartitioning(k" not in plan and "rangepartitioning" not in plan
 
 
-def test_hot_groups_are_few(skewed):
-    data, df = skewed
-    groups, size = hot_groups(df, ("k", "j"), 150)
-    assert size == 150 and sorted(groups.values()) == [2, 2]
-    assert hot_groups(df, ("k", "j"), 1000) == ({}, 1000)
-    assert hot_groups(df.limit(0), ("k", "j"))[0] == {}
+def test_zoned_times(spark):
+    df = spark.range(500).selectExpr("id % 3 AS k", "'x' AS j", "timestamp_seconds(1711846800 + id * 30) AS u", "id AS i", "id AS v")
+    out = with_previous(ordered_rows(df, ["k", "j"], "u", ("i",), 12), ["v"]).result()
+    assert out.where("k = 1 AND v > 3 AND _prev.v != v - 3").count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 150])
-def test_group_size(skewed, hot_rows):
+@pytest.mark.parametrize("slices", [None, 2, 40])
+def test_group_size(skewed, slices):
     data, df = skewed
     sizes = Counter((r[0], r[1]) for r in data)
-    got = with_group_size(df, ["k", "j"], "n", hot_rows).collect()
+    got = with_group_size(df, ["k", "j"], "n", slices).collect()
     assert len(got) == len(data)
     assert all(r["n"] == sizes[(r["k"], r["j"])] for r in got)
+    again = with_group_size(df.select("k", "j").union(df.select("k", "j")), ["k", "j"], "n", slices).collect()
+    assert all(r["n"] == 2 * sizes[(r["k"], r["j"])] for r in again)

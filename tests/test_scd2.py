@@ -211,10 +211,10 @@ def test_rebuild_with_and_without_hot_keys(frame, rows, log):
     log = [(k, v, dt.datetime(2024, 1, u), i) for i, (k, v, u) in enumerate(log)]
     df = frame(log, SCHEMA)
     columns = ("k", "v", "start_dt", "end_dt", "is_active")
-    for hot_rows in (5_000_000, 4):
-        got = rows(scd2_rebuild(df, ties=("p",), hot_rows=hot_rows, **PLAN), *columns)
+    for slices in (None, 40):
+        got = rows(scd2_rebuild(df, ties=("p",), slices=slices, **PLAN), *columns)
         assert got == expected_rebuild(log)
-    got = rows(scd2_rebuild(df, ties=("p",), keep_first=True, hot_rows=4, **PLAN), *columns)
+    got = rows(scd2_rebuild(df, ties=("p",), keep_first=True, slices=40, **PLAN), *columns)
     assert got == expected_rebuild(log, keep_first=True)
 
 
