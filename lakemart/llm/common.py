@@ -49,6 +49,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame lacks, like those given."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_key(text: Column) -> Column:
     """Tells texts of one id apart where ids repeat; null and empty texts differ."""
     return F.xxhash64(text, F.length(text))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakemart.llm.common import Words, combine, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.common import Words, combine, free_names, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.sets import (
     BIN_BYTES,
@@ -397,10 +397,13 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     judged = judged.where(goes).select("doc_id", "row", F.lit(True).alias("goes"))
     twice = found.groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row", F.lit(False).alias("goes"))
     named = judged.union(twice).groupBy("doc_id", "row").agg(F.max("goes").alias("_goes"))
-    named = stored(named.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_goes"), "judged")
-    bits = key_filter(named, "_row")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    some = filtered(keyed, "_key", bits).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
-    some = some.where(~F.coalesce("_goes", F.lit(False))).withColumn("_first", first).where("_first = 1")
-    return filtered(keyed, "_key", bits, keep=False).select(docs.columns).unionByName(some.select(docs.columns))
+    own_id, own_row, key, goes, first, order = free_names(docs, "_id", "_row", "_key", "_goes", "_first", "_order")
+    named = stored(named.select(F.col("doc_id").alias(own_id), F.col("row").alias(own_row), F.col("_goes").alias(goes)), "judged")
+    bits = key_filter(named, own_row)
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    some = filtered(keyed, key, bits).join(named, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_row)), "left")
+    # maps have no order: rows are put in order by what they hold as JSON
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    some = some.where(~F.coalesce(F.col(goes), F.lit(False))).withColumn(order, F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit(""))
+    some = some.withColumn(first, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(order))).where(F.col(first) == 1)
+    return filtered(keyed, key, bits, keep=False).select(docs.columns).unionByName(some.select(docs.columns))

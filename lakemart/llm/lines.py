@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import Words, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.common import Words, free_names, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
@@ -307,18 +307,23 @@ def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return later.union(repeats).groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
 
 
-def with_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents with ``_lines``: numbers of the lines that go, null where all stay.
+def with_later_lines(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS, lines_column: str = "_lines"
+) -> DataFrame:
+    """The documents with ``lines_column``: numbers of the lines that go, null where all stay.
 
     Only texts that may have such lines are shuffled to meet their numbers.
     """
-    keyed = docs.withColumn("_id", ordered_id(F.col(id_column))).withColumn("_row", text_key(F.col(text_column)))
-    rows = keyed.select(F.col("_id").alias("id"), F.col(text_column).alias("text"), F.col("_row").alias("row"))
-    gone = stored(later_lines(rows, least_words).select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.col("lines").alias("_lines")), "gone")
-    bits = key_filter(gone, "_r")
-    clean = filtered(keyed, "_row", bits, keep=False).withColumn("_lines", F.lit(None).cast("array<int>"))
-    some = filtered(keyed, "_row", bits).join(gone, (F.col("_id") == F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
-    return clean.unionByName(some.drop("_i", "_r")).drop("_id", "_row")
+    own_id, own_row, other_id, other_row = free_names(docs.withColumn(lines_column, F.lit(0)), "_id", "_row", "_i", "_r")
+    keyed = docs.withColumn(own_id, ordered_id(F.col(id_column))).withColumn(own_row, text_key(F.col(text_column)))
+    rows = keyed.select(F.col(own_id).alias("id"), F.col(text_column).alias("text"), F.col(own_row).alias("row"))
+    gone = later_lines(rows, least_words).select(F.col("id").alias(other_id), F.col("row").alias(other_row), F.col("lines").alias(lines_column))
+    gone = stored(gone, "gone")
+    bits = key_filter(gone, other_row)
+    clean = filtered(keyed, own_row, bits, keep=False).withColumn(lines_column, F.lit(None).cast("array<int>"))
+    same = (F.col(own_id) == F.col(other_id)) & (F.col(own_row) == F.col(other_row))
+    some = filtered(keyed, own_row, bits).join(gone, same, "left")
+    return clean.unionByName(some.drop(other_id, other_row)).drop(own_id, own_row)
 
 
 def without_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chars_column: str = "n_chars", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -332,12 +337,13 @@ def without_later_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     the query and the pipeline. Null and empty texts stay as they are; a text whose lines
     all go becomes empty. Where there is a column of lengths it is set to the new length.
     """
-    marked = with_later_lines(docs, id_column, text_column, least_words)
-    cut = F.array_join(_kept_lines(F.col(text_column), F.col("_lines")), "\n")
-    text = F.when(F.col("_lines").isNull(), F.col(text_column)).otherwise(cut)
+    (lines,) = free_names(docs, "_lines")
+    marked = with_later_lines(docs, id_column, text_column, least_words, lines)
+    cut = F.array_join(_kept_lines(F.col(text_column), F.col(lines)), "\n")
+    text = F.when(F.col(lines).isNull(), F.col(text_column)).otherwise(cut)
     out = marked.withColumn(text_column, text)
     if chars_column in docs.columns:
-        length = F.when(F.col("_lines").isNull(), F.col(chars_column)).otherwise(F.length(text_column))
+        length = F.when(F.col(lines).isNull(), F.col(chars_column)).otherwise(F.length(text_column))
         out = out.withColumn(chars_column, length.cast(dict(docs.dtypes)[chars_column]))
     return out.select(docs.columns)
 

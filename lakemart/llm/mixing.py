@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakemart.llm.common import Words, rebatched, stored, text_key
+from lakemart.llm.common import Words, free_names, rebatched, stored, text_key
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -152,6 +152,21 @@ def mix(
     agree; equal rows are interchangeable. Null sources are a source of their own, listed
     last; rows of size 0 take no words; an empty table gives no rows.
     """
+    found = _mixed(docs, weights, most, seed, id_column, text_column, source_column, chunk_rows, fan_in)
+    return found.drop("source")
+
+
+def _mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    most: int = MOST_COPIES,
+    seed: int = 11,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    chunk_rows: int = CHUNK_ROWS,
+    fan_in: int = FAN_IN,
+) -> DataFrame:
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.col(source_column).alias("source"), text_key(F.col(text_column)).alias("row")
     )
@@ -177,7 +192,7 @@ def mix(
         result = result.union(more)
     out = result.join(s, F.col("source").eqNullSafe(F.col("name")))
     return out.select(
-        F.col("id").alias(id_column), "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("id").alias(id_column), "row", "size", "source_size", "target", "copies", "source", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
@@ -189,9 +204,18 @@ def _levels(rows: int, chunk_rows: int, fan_in: int) -> int:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns and ``copies``; those it leaves out are gone."""
-    key = lambda: text_key(F.col("text"))
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "copies")
-    taken = taken.groupBy("_id", "_row").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (key() == F.col("_row"))).drop("_id", "_row")
+    """The documents that the mix takes, with all their columns and ``copies``; those it leaves out are gone.
 
+    Rows are told apart by id, text and source; of rows equal in these, as many are left
+    with as many copies as the mix gives them. A column ``copies`` of the documents is
+    replaced. Null ids, texts and sources as in ``mix``; an empty table gives no rows.
+    """
+    docs = docs.drop("copies")
+    own_id, own_row, own_source, key, number, place = free_names(docs.withColumn("copies", F.lit(0)), "_id", "_row", "_source", "_key", "_number", "_place")
+    found = _mixed(docs, **options).select(F.col("doc_id").alias(own_id), F.col("row").alias(own_row), F.col("source").alias(own_source), "copies")
+    found = found.withColumn(number, F.row_number().over(Window.partitionBy(own_id, own_row, own_source).orderBy(F.desc("copies"))))
+    found = found.where("copies > 0")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    keyed = keyed.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", key, "source").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_row)) & F.col("source").eqNullSafe(F.col(own_source))
+    return keyed.join(found, same & (F.col(place) == F.col(number))).select(*docs.columns, "copies")
