@@ -57,7 +57,8 @@ def common_words(docs: DataFrame) -> np.ndarray:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+            often = counts > 1  # a word met once among so many is none of the most common; any order of words is exact
+            return pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(counts[often])], ["word", "n"])
 
         for batch in rebatched(batches, limit=PACK_BYTES):
             new, n = np.unique(Words(batch.column(1)).hash, return_counts=True)
