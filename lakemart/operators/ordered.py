@@ -15,6 +15,8 @@ the ordering columns, which steers the sizes of slices only: results are exact.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,7 +133,7 @@ def _placed(cuts: Column, place: Column, number: Column, slices: int) -> Column:
 
         return _let(_let(upto, among), edges)
 
-    return _let(cuts, lambda c: _let(place, lambda p: found(c, p)))
+    return _let(place, lambda p: found(cuts, p))  # the cuts are a constant: bound to a variable they cost more
 
 
 def _let(value: Column, body) -> Column:
@@ -173,15 +175,16 @@ def ordered_rows(
     return OrderedRows(_dealt(cut, slices), keys, time, ties, cut)
 
 
-def with_group_size(df: DataFrame, keys: str | list[str], name: str, slices: int | None = None) -> DataFrame:
-    """Add the number of rows of the row's key; NULL keys form one group."""
+def with_group_size(df: DataFrame, keys: str | list[str], name: str) -> DataFrame:
+    """Add the number of rows of the row's key; NULL keys form one group.
+
+    Counts are partial in each task, so a hot key costs no more than any other there; in
+    the join, adaptive execution splits the rows of a hot key over tasks.
+    """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
-    place = _place(df, keys, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), [])
-    cut = _cut(df, place, None, place, slices)
-    inside = _dealt(cut, slices).withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys)))
-    edges = cut.where(F.col(f"{PLACED}.run").isNotNull()).groupBy(F.col(f"{PLACED}.run").alias("_run")).agg(F.count(F.lit(1)).alias("_carry"))
-    joined = inside.join(F.broadcast(edges), F.col(f"{PLACED}.run") == F.col("_run"), "left")
-    return joined.withColumn(name, F.coalesce("_carry", name)).drop("_carry", "_run", SLICE, PLACED)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).alias("c")
+    same = reduce(and_, [F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in keys])
+    return df.alias("r").join(counts, same).select("r.*", f"c.`{name}`")
 
 
 def _carried(rows: OrderedRows, summary: Column, carry, part: str = "run") -> DataFrame:

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from lakemart.operators.ordered import with_group_size
 
 
-def duplicate_keys(
-    df: DataFrame, keys: list[str], place: Column, place_name: str = "place", slices: int | None = None
-) -> DataFrame:
+def duplicate_keys(df: DataFrame, keys: list[str], place: Column, place_name: str = "place") -> DataFrame:
     """Every place of every key that occurs more than once: keys, times seen, place.
 
     One row per place instead of one list per key, so a key may repeat without limit.
     """
     listed = df.select(*keys, place.alias(place_name))
-    return with_group_size(listed, keys, "n", slices).where("n > 1").select(*keys, "n", place_name)
+    return with_group_size(listed, keys, "n").where("n > 1").select(*keys, "n", place_name)
 
 
 def pattern_violations(df: DataFrame, column: str, pattern: str) -> DataFrame:

@@ -174,7 +174,7 @@ def refresh_stream(spark: SparkSession, folder: str) -> DataFrame:
     events.repartition(3).write.parquet(landing)
     table = f"{new_database(spark, 'consumption')}.latest_event"
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    query = refresh(stream, table, keep_newest(["user_id"], "ts", ("event_id",)), work_folder(spark, "progress"))
+    query = refresh(stream, table, keep_newest(["user_id"], "ts", ("event_id",)), work_folder(spark, "progress"), buckets=8)
     query.awaitTermination()
     return spark.table(table)
 
