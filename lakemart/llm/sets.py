@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.llm.common import give_back, group_edges, mix, spread
@@ -254,16 +255,17 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[word] >> (keys % 64).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def may_hold(key: Column, bits: np.ndarray) -> Column:
-    """``passes`` as an expression, so that rows with whole texts are tested where they are scanned."""
-    place = F.pmod(F.shiftright(key, 3), F.lit(8 * FILTER_WORDS)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits.tobytes())), place + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, F.pmod(key, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+def filtered(df: DataFrame, column: str, bits: np.ndarray, keep: bool = True) -> DataFrame:
+    """The rows whose key may be in the filter, or (``keep`` false) those whose key is not.
+
+    Only keys go through Python; texts and other columns stay where they are.
+    """
+    held = df.sparkSession.sparkContext.broadcast(bits)
 
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(held.value, keys.to_numpy()) == keep)
 
-def filtered(df: DataFrame, column: str, bits: np.ndarray, keep: bool = True) -> DataFrame:
-    """The rows whose key may be in the filter, or (``keep`` false) those whose key is not."""
-    return df.where(may_hold(F.col(column), bits) == F.lit(keep))
+    return df.where(F.pandas_udf(test, "boolean")(F.col(column)))
 
 
 def dealt(groups: DataFrame, key: str, member: str, most: int) -> DataFrame:
