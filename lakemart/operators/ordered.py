@@ -100,45 +100,34 @@ def _cuts(probe: DataFrame, place: Column, slices: int) -> Column:
     return F.from_json(F.lit(text), listed.schema["cuts"].dataType)
 
 
-def _placed(cuts: Column, place: Column, number: Column, slices: int) -> Column:
-    """``slice`` of a row; ``run``: the cut key it belongs to, by number of its first cut, where its slice's edge cuts
-    its key; ``before`` and ``behind``: likewise where an edge cuts even its time."""
-    steps = F.lit([1 << k for k in range(slices.bit_length() - 1, -1, -1)])
+def _placed(df: DataFrame, cuts: Column, place: Column, slices: int) -> DataFrame:
+    """Adds a struct. ``slice`` of the row; ``run``: the cut key it belongs to, by number of its first cut, where its
+    slice's edge cuts its key; ``before`` and ``behind``: likewise where an edge cuts even its time.
 
-    def found(c: Column, p: Column) -> Column:
-        upto = F.aggregate(  # binary search: cuts at or before the place
-            steps, F.lit(0), lambda at, step: F.when(F.get(c, at + step - 1)["place"] <= p, at + step).otherwise(at)
-        )
-
-        def among(hi: Column) -> Column:
-            last = F.get(c, hi - 1)
-            many = last["place"].eqNullSafe(p) & (last["first_place"] < hi - 1)
-            # rows of one place with several cuts are dealt over the slices between these
-            return F.when(many, last["first_place"] + F.pmod(number, hi - last["first_place"] + 1).cast("int")).otherwise(hi)
-
-        def edges(at: Column) -> Column:
-            low, high = F.get(c, at - 1), F.get(c, at)
-
-            def cut(edge: Column, part: str, inside: Column) -> Column:
-                mine = edge["place"]["moment"]["key"] if part == "key" else edge["place"]["moment"]
-                return F.when(mine.eqNullSafe(inside) & edge.isNotNull(), edge[f"first_{part}"])
-
-            key, moment = p["moment"]["key"], p["moment"]
-            return F.struct(
-                at.alias("slice"),
-                F.coalesce(cut(low, "key", key), cut(high, "key", key)).alias("run"),
-                cut(low, "moment", moment).alias("before"),
-                cut(high, "moment", moment).alias("behind"),
-            )
-
-        return _let(_let(upto, among), edges)
-
-    return _let(place, lambda p: found(cuts, p))  # the cuts are a constant: bound to a variable they cost more
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    Each step of the binary search is a projection, so that all of it is compiled; a higher-order function is not.
+    """
+    p, at = F.col("_place"), F.col("_upto")
+    found = df.withColumns({"_place": place, "_upto": F.lit(0)})
+    for k in range(slices.bit_length() - 1, -1, -1):  # cuts at or before the place
+        step = F.lit(1 << k)
+        found = found.withColumn("_upto", F.when(F.get(cuts, at + step - 1)["place"] <= p, at + step).otherwise(at))
+    last, number = F.get(cuts, at - 1), F.monotonically_increasing_id()
+    many = last["place"].eqNullSafe(p) & (last["first_place"] < at - 1)
+    # rows of one place with several cuts are dealt over the slices between these
+    dealt = last["first_place"] + F.pmod(number, at - last["first_place"] + 1).cast("int")
+    found = found.withColumn(SLICE, F.when(many, dealt).otherwise(at))
+    low, high = F.get(cuts, F.col(SLICE) - 1), F.get(cuts, F.col(SLICE))
+
+    def cut(edge: Column, part: str) -> Column:
+        mine, inside = (v["moment"]["key"] if part == "key" else v["moment"] for v in (edge["place"], p))
+        return F.when(mine.eqNullSafe(inside) & edge.isNotNull(), edge[f"first_{part}"])
+
+    edges = F.struct(
+        F.coalesce(cut(low, "key"), cut(high, "key")).alias("run"),
+        cut(low, "moment").alias("before"),
+        cut(high, "moment").alias("behind"),
+    )
+    return found.withColumn(PLACED, edges).drop("_place", "_upto")
 
 
 def _slices_of(df: DataFrame, slices: int | None) -> int:
@@ -149,8 +138,7 @@ def _cut(df: DataFrame, place: Column, probe: DataFrame | None, probe_place: Col
     """Adds slice and edges to the rows; ``_dealt`` then shuffles them by slice."""
     slices = max(2, _slices_of(df, slices))
     cuts = _cuts(df if probe is None else probe, probe_place, slices)
-    placed = df.withColumn(PLACED, _placed(cuts, place, F.monotonically_increasing_id(), slices))
-    return placed.withColumn(SLICE, F.col(f"{PLACED}.slice"))
+    return _placed(df, cuts, place, slices)
 
 
 def _dealt(cut: DataFrame, slices: int | None) -> DataFrame:
