@@ -34,7 +34,7 @@ from lakemart.llm.sets import (
 
 SHINGLE = 5
 PERCENT = 75
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 #: Shingles that occur in this share of a batch's documents are listed; the most frequent ones come last in the order.
 COMMON_SHARE = 1 / 256
 COMMON_SHINGLES = 1 << 16
@@ -60,15 +60,17 @@ class Shingles:
             token, doc = np.concatenate((token, whole)), np.concatenate((doc, short))
             order = np.argsort(doc, kind="stable")
             token, doc = token[order], doc[order]
-        edges = np.searchsorted(doc, np.arange(w.n + 1))
+        n = w.n
+        del w, values, inside  # a batch's words take more memory than its shingles
+        edges = np.searchsorted(doc, np.arange(n + 1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             token[a:b].sort()
         once = np.ones(len(token), bool)
         once[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
         self.token, self.doc = token[once], doc[once]
-        self.first = np.searchsorted(self.doc, np.arange(w.n + 1))
+        self.first = np.searchsorted(self.doc, np.arange(n + 1))
         self.size = np.diff(self.first)
-        sums = np.add.reduceat(np.append(mix(self.token), np.uint64(0)), self.first[:-1]) if w.n else np.zeros(0, np.uint64)
+        sums = np.add.reduceat(np.append(mix(self.token), np.uint64(0)), self.first[:-1]) if n else np.zeros(0, np.uint64)
         self.cls = np.where(self.size > 0, mix(sums + self.size.astype(np.uint64)).view(np.int64), 0)
 
     def tokens(self, d: int) -> np.ndarray:
