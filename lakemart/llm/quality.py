@@ -17,6 +17,8 @@ NAMES = (
 D = len(NAMES)
 SEPARATORS = b"|"
 ODD = b"#$%&*@^~<>{}[]=_\\"
+#: Text whose statistics are taken at a time; running sums over its bytes take many times that.
+PACK_BYTES = 1 << 20
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``id`` and ``x`` (the statistics, an array of doubles) of every row; a null text counts as empty."""
 
     def rows(batches):
-        for batch in rebatched(batches):
+        for batch in rebatched(batches, limit=PACK_BYTES):
             x = statistics(batch.column(1)) if batch.num_rows else np.zeros((0, D))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, D, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "x"])
