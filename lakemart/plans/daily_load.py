@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakemart.operators.incremental import EMPTY_TARGET_MARK, high_water, newer_than
 from lakemart.operators.report import run_report
 from lakemart.operators.runlog import log_rows, rows_of_run
+from lakemart.plans.jobs import read_log
 from lakemart.plans.models import CONSUMPTION, TRANSFORMS, Snapshot, Transform, Versioned
 from lakemart.sources.layers import database
 from lakemart.sources.storage import (
@@ -88,8 +89,8 @@ class DailyLoad:
         return {row[2]: row[5] for row in results}
 
     def report(self) -> DataFrame:
-        """The report of this run, read from the log."""
-        return run_report(rows_of_run(read_current(self.spark, self.log_table), self.run_id))
+        """The report of this run, read from the log, a row per job."""
+        return run_report(rows_of_run(read_log(self.spark, self.log_table), self.run_id))
 
     def load(self, name: str) -> int:
         """Bring one transform table up to date; rows written."""

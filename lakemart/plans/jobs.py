@@ -84,21 +84,21 @@ class JobLog:
         self.step(step, message, "ERROR")
 
     def end(self, status: str, rows: int = 0, message: str | None = None) -> dict:
+        """Log the end; what the log row now says of it."""
         if self._started is None:
             raise RuntimeError("the job has not been started")
         seconds = round(time.monotonic() - self._begun, 3)
-        ended = {
-            "end_time": F.lit(str(self.clock())),
-            "duration_seconds": F.lit(seconds),
-            "status": F.lit(status),
-            "rows_processed": F.lit(rows),
-            "message": F.lit(message),
+        written = {
+            "end_time": str(self.clock()),
+            "duration_seconds": seconds,
+            "status": status,
+            "rows_processed": rows,
+            "message": message,
         }
-        self._write(
-            self._started.select(*[ended.get(c, F.col(c)).cast(kind).alias(c) for c, kind in LOG_COLUMNS.items()])
-        )
+        filled = [F.lit(written[c]) if c in written else F.col(c) for c in LOG_COLUMNS]
+        self._write(self._started.select(*[v.cast(kind).alias(c) for v, (c, kind) in zip(filled, LOG_COLUMNS.items())]))
         self.step("end", f"{status}, {seconds}s, {rows} rows", "ERROR" if status == "FAILED" else "INFO")
-        return {"job_id": self.job_id, "status": status, "duration": seconds, "rows": rows}
+        return written
 
     def _write(self, rows: DataFrame) -> None:
         try:
@@ -108,8 +108,11 @@ class JobLog:
 
 
 def settled(log: DataFrame) -> DataFrame:
-    """One row per job: its end where it has ended, else its start."""
-    return latest_per_key(log, "job_id", "end_time")
+    """One row per job: its end where it has ended, else its start.
+
+    Of ends at the same time the one with the longer duration counts, then status and rows decide.
+    """
+    return latest_per_key(log, "job_id", "end_time", ("duration_seconds", "status", "rows_processed"))
 
 
 def read_log(spark: SparkSession, table: str) -> DataFrame:

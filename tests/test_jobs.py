@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakemart.operators.report import run_report
 from lakemart.operators.runlog import rows_of_run
-from lakemart.plans.jobs import JobLog, read_log, rebuild_history
+from lakemart.plans.jobs import JobLog, read_log, rebuild_history, settled
 from lakemart.sources.storage import publish
 from lakemart.sources.tables import store_view
 
@@ -37,7 +37,7 @@ def test_job_log(spark, db, rows):
     running = read_log(spark, table).first()
     assert (running["status"], running["sp_schema"], running["end_time"]) == ("RUNNING", "UTILS", None)
     job.step("one", "half way")
-    assert job.end("SUCCESS", 7, "done")["rows"] == 7
+    assert job.end("SUCCESS", 7, "done")["rows_processed"] == 7
     other = JobLog(spark, table, "DEV_RAW.UTILS.OTHER", run_id="r1")
     other.start()
     other.error("went wrong")
@@ -45,6 +45,8 @@ def test_job_log(spark, db, rows):
     log = read_log(spark, table)
     got = log.select("sp_name", "status", "rows_processed", F.to_json("input_params"))
     assert rows(got) == [("OTHER", "FAILED", 0, "{}"), ("SP", "SUCCESS", 7, '{"a":1}')]
+    again = read_log(spark, table).unionByName(spark.table(table))  # ends of one time, one of them twice
+    assert rows(settled(again).select("sp_name", "status", "rows_processed")) == [("OTHER", "FAILED", 0), ("SP", "SUCCESS", 7)]
     report = run_report(rows_of_run(log, "r1")).collect()
     assert [r["text"] for r in report if r["line"] == 0] == ["Run failed (1 of 2 models)"]
     assert any("x &lt; y" in r["text"] for r in report)
