@@ -21,7 +21,7 @@ from lakemart.llm.common import SIGNS, Words, combine, group_edges, rebatched, s
 ERROR_SHARE = 0.2
 LEAST_WORDS = 5
 BLOCK_BYTES = 8 << 20
-PACK_BYTES = 8 << 20
+PACK_BYTES = 2 << 20
 
 
 def word_hashes(texts: pa.Array) -> Words:

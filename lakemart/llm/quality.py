@@ -200,7 +200,7 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
     names = docs.columns
 
     def kept(batches):
-        for batch in rebatched(batches, names.index("text")):
+        for batch in rebatched(batches, names.index("text"), PACK_BYTES):
             texts = batch.column(names.index("text"))
             keep = model.score(statistics(texts.fill_null(""))) >= least
             yield batch.filter(pa.array(keep))
