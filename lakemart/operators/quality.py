@@ -29,6 +29,22 @@ def forbidden_tokens(df: DataFrame, column: str, words: list[str]) -> DataFrame:
     return df.where(F.col(column).rlike(word_pattern(words)))
 
 
+def forbidden_words(df: DataFrame, keys: list[str], column: str, words: DataFrame, word: str) -> DataFrame:
+    """``keys`` and ``word`` of every word of a table that a text holds, in any letter case, however long the table.
+
+    The words of the texts are looked up in the table, so a text is scanned once and not once
+    per word. Texts stay where they are: keys and different words are joined, by broadcast
+    where Spark measures the table to be small. A word consists of letters, digits and
+    underscores; entries with other characters are found by ``forbidden_tokens`` only. Words
+    come in lower case. Rows with equal keys count as one, NULL keys too; NULL or empty texts
+    hold no word.
+    """
+    table = words.select(F.lower(word).alias("word")).where(F.col("word").isNotNull()).distinct()
+    parts = F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    held = df.select(*keys, F.explode(parts).alias("word"))
+    return held.join(table, "word", "left_semi").select(*keys, "word").distinct()
+
+
 def word_pattern(words: list[str]) -> str:
     """Any of the words between characters of no word, in every script."""
     edge = r"[^\p{L}\p{N}_]"

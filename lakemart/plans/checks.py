@@ -11,12 +11,13 @@ from lakemart.operators.quality import (
     code_or_fallback,
     duplicate_keys,
     forbidden_tokens,
+    forbidden_words,
     missing_values,
     outside_allowed,
     pattern_violations,
     unmapped_codes,
 )
-from lakemart.operators.star import star_rollup
+from lakemart.operators.star import eager_rollup
 from lakemart.plans.inputs import Query
 from lakemart.sources.tables import read_parquet
 
@@ -42,6 +43,13 @@ def forbidden(spark: SparkSession, folder: str) -> DataFrame:
     return forbidden_tokens(documents, "text", FORBIDDEN).select("doc_id", "source")
 
 
+def forbidden_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """How many different words of test items each document holds; the table of words grows with the items."""
+    items = read_parquet(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("word"))
+    found = forbidden_words(read_parquet(spark, folder, "documents"), ["doc_id", "source"], "text", items, "word")
+    return found.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("words"))
+
+
 def required(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_parquet(spark, folder, "orders").select(
         "o_orderkey",
@@ -104,24 +112,18 @@ def star(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
     )
-    supplier = read_parquet(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    nation = read_parquet(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    supplier = read_parquet(spark, folder, "supplier").select("s_suppkey", "s_nationkey").join(nation, "s_nationkey").drop("s_nationkey")
     calendar = date_dimension(days_between(items, "l_shipdate")).select("date", "year", "quarter")
-    return star_rollup(
+    rolled = eager_rollup(
         fact,
-        [
-            # at most 3.7 million days exist, so the calendar may be broadcast whatever the fact's size
-            (F.broadcast(calendar), "date"),
-            (supplier, "s_suppkey"),
-            (read_parquet(spark, folder, "nation").select("n_nationkey", "n_name"), "n_nationkey"),
-            (read_parquet(spark, folder, "part").select("p_partkey", "p_brand"), "p_partkey"),
-        ],
+        # at most 3.7 million days exist, so the calendar may be broadcast whatever the fact's size
+        [(F.broadcast(calendar), "date"), (supplier, "s_suppkey")],
+        [(read_parquet(spark, folder, "part").select("p_partkey", "p_brand"), "p_partkey")],
         ["l_returnflag", "p_brand", "n_name", "year", "quarter"],
-        [
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("quantity").cast("decimal(28,2)").alias("quantity"),
-            F.sum("amount").cast("decimal(28,2)").alias("amount"),
-        ],
+        ["quantity", "amount"],
     )
+    return rolled.withColumns({c: F.col(c).cast("decimal(28,2)") for c in ("quantity", "amount")})
 
 
 _WORDS = r"(^|[^\p{L}\p{N}_])(" + "|".join(FORBIDDEN) + r")($|[^\p{L}\p{N}_])"
@@ -148,6 +150,12 @@ FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM
     "dq_forbidden": Query(
         forbidden, f"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '{_WORDS}', 'i')"
     ),
+    "dq_forbidden_words": Query(
+        forbidden_by_table,
+        r"""WITH held AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents),
+listed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark)
+SELECT doc_id, source, count(*) AS words FROM held JOIN listed USING (word) GROUP BY doc_id, source""",
+    ),
     "dq_required": Query(
         required,
         """SELECT 'o_orderkey' AS column_name, count(*) FILTER (WHERE o_orderkey IS NULL) AS missing FROM orders
