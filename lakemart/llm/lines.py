@@ -37,6 +37,8 @@ PERCENT = 75
 LEAST_WORDS = 5
 #: Words whose counts are sent to tasks; all others are rarer and ordered by hash.
 COMMON_WORDS = 1 << 16
+#: First bits of a hash by which common words are looked up.
+SLOT_BITS = 20
 #: Lines of a block that are compared in one task.
 GROUP_LINES = 8_000
 #: Groups in which every two lines are compared as they are.
@@ -79,14 +81,26 @@ class Rarity:
 
     def __init__(self, common: np.ndarray):
         self.sorted = np.sort(common)
-        self.rank = len(common) - 1 - np.argsort(common)
+        self.rank = np.uint64(1 << 63) + ((len(common) - 1 - np.argsort(common)).astype(np.uint64) << np.uint64(24))  # above the bits that a line sorts by
+        edges = np.searchsorted(self.sorted, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+        self.first = edges.astype(np.int32)  # of the common words with the same first bits
+        self.count = np.diff(np.append(edges, len(common))).astype(np.int32)
+
+        self.common = common
+
+    def __reduce__(self):
+        return Rarity, (self.common,)  # tasks get the words and build the tables themselves
 
     def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return words >> np.uint64(1)
-        place = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        known = self.sorted[place] == words
-        return np.where(known, np.uint64(1 << 63) + self.rank[place].astype(np.uint64), words >> np.uint64(1))
+        out = words >> np.uint64(1)
+        slot = (words >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        count = self.count[slot]
+        for k in range(int(self.count.max())):
+            at = np.flatnonzero(count > k)
+            place = self.first[slot[at]] + k
+            same = self.sorted[place] == words[at]
+            out[at[same]] = self.rank[place[same]]
+        return out
 
 
 class Lines:
@@ -103,14 +117,12 @@ class Lines:
         starts = np.flatnonzero(new)
         order_of = rarity.of(w.hash)
         name = (line.astype(np.uint64) << np.uint64(40)) | (order_of >> np.uint64(24))
-        order = np.argsort(name, kind="stable")
-        common = order_of[order] >= np.uint64(1 << 63)
-        tie = (name[order][1:] == name[order][:-1]) & (w.hash[order][1:] != w.hash[order][:-1])
-        if (tie & ~common[1:]).any():
+        order = np.argsort(name)
+        sorted_name, token = name[order], w.hash[order]
+        if ((sorted_name[1:] == sorted_name[:-1]) & (token[1:] != token[:-1])).any():  # words that differ in their last bits only
             order = np.lexsort((order_of, line))
-        elif common.any():  # common words differ in their last bits only
-            order[common] = order[common][np.lexsort((order_of[order][common], line[order][common]))]
-        token, line = w.hash[order], line[order]
+            token = w.hash[order]
+        line = line[order]
         once = np.ones(len(token), bool)
         once[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         self.token, line = token[once], line[once]
@@ -162,10 +174,10 @@ def _index(docs: DataFrame, rarity: Rarity, bins: int, least: int) -> DataFrame:
             if not len(one):
                 continue
             length = prefix_length(lines.size[one], PERCENT)
-            owner = np.repeat(one, length)
+            owner = np.repeat(np.arange(len(one)), length)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-            maps = small_maps(lines.token, lines.first, lines.size)
-            yield bundled(*prefix_entries(lines.token[lines.first[owner] + place], owner, place, lines.cls, lines.size, maps), bins)
+            cls, begin, size = lines.cls[one], lines.first[one], lines.size[one]
+            yield bundled(*prefix_entries(lines.token[begin[owner] + place], owner, place, cls, size, small_maps(lines.token, begin, size)), bins)
 
     return docs.mapInArrow(entries, BUNDLE)
 
