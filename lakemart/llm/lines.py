@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import Words, free_names, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.common import Words, free_names, group_edges, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
@@ -46,30 +46,45 @@ SMALL_GROUP = 32
 #: Leaders that a line is held against before all earlier lines are looked up.
 MOST_LEADERS = 64
 PACK_BYTES = 4 << 20
+#: Words with counts that a task holds before it sums them up.
+MOST_COUNTED = 2 << 20
 
 FOUND = "kind int, run long, cls long, id long, row long, line int"
 _NAMES = [part.split()[0] for part in FOUND.split(", ")]
 MEMBER, CLASS, REPEAT = 0, 1, 2
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different words and their counts, from parts that each hold a word once."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words, counts = np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(words)
+    words, edges = words[order], group_edges(words[order])
+    return words[edges[:-1]], np.add.reduceat(counts[order], edges[:-1]) if len(words) else counts
+
+
 def common_words(docs: DataFrame) -> np.ndarray:
     """Hashes of the most common words of all texts, by falling count."""
 
     def counted(batches):
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, held = [], 0
 
         def rows():
+            words, counts = _summed(parts)
             often = counts > 1  # a word met once among so many is none of the most common; any order of words is exact
             return pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(counts[often])], ["word", "n"])
 
         for batch in rebatched(batches, limit=PACK_BYTES):
-            new, n = np.unique(Words(batch.column(1)).hash, return_counts=True)
-            both = np.concatenate((words, new))
-            words, place = np.unique(both, return_inverse=True)
-            counts = np.bincount(place, weights=np.concatenate((counts, n)), minlength=len(words)).astype(np.int64)
-            if len(words) > 1 << 20:
-                yield rows()
-                words, counts = words[:0], counts[:0]
+            parts.append(np.unique(Words(batch.column(1)).hash, return_counts=True))
+            held += len(parts[-1][0])
+            if held > MOST_COUNTED:  # words that the batches share become one; if most differ, they go
+                parts[:] = [_summed(parts)]
+                held = len(parts[0][0])
+                if held > MOST_COUNTED // 2:
+                    yield rows()
+                    parts.clear()
+                    held = 0
         yield rows()
 
     sums = docs.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
