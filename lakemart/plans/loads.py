@@ -27,7 +27,7 @@ from lakemart.plans.inputs import (
 from lakemart.session import work_folder
 from lakemart.sources.csvfiles import read_csv, write_csv
 from lakemart.sources.storage import append, publish, read_current
-from lakemart.sources.tables import create_view, preview, read_parquet, row_counts
+from lakemart.sources.tables import create_view, preview, read_footers, read_parquet, row_counts
 from lakemart.streaming.refresh import keep_newest, refresh
 
 TABLES = (
@@ -159,7 +159,7 @@ def merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_row_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return row_counts({name: read_parquet(spark, folder, name) for name in TABLES})
+    return row_counts({name: read_footers(spark, f"{folder}/{name}.parquet") for name in TABLES})
 
 
 def preview_limit(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lakemart.sources.tables import read_footers
+
 _VERSION = re.compile(r"__v(\d+)_[0-9a-f]{8}$")
 
 
@@ -60,6 +62,12 @@ def read_open(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(current_version(spark, table)).where("_open").drop("_open")
 
 
+def read_current_footers(spark: SparkSession, table: str) -> DataFrame:
+    """The published state for counts (see ``read_footers``)."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {current_version(spark, table)}")
+    return read_footers(spark, described.where("col_name = 'Location'").first()["data_type"])
+
+
 def newest_partition(spark: SparkSession, table: str, column: str) -> dt.date | None:
     """The newest date of a table partitioned by it, from the catalog alone."""
     listed = spark.sql(f"SHOW PARTITIONS {current_version(spark, table)}")

@@ -13,9 +13,11 @@ from lakemart.sources.storage import (
     publish,
     publish_history,
     read_current,
+    read_current_footers,
     read_open,
     versions,
 )
+from lakemart.sources.tables import row_counts
 
 LANDED = "id long, load_time timestamp_ntz"
 
@@ -142,3 +144,21 @@ def test_newest_partition(spark, db, frame, day):
     assert newest_partition(spark, table, "load_dt") is None
     append(frame([(1, day(3).date()), (2, day(10).date()), (3, day(9).date())], schema), table, ("load_dt",))
     assert newest_partition(spark, table, "load_dt") == day(10).date()
+
+
+def test_counts_come_from_footers(spark, db, frame, rows, day):
+    loaded = clean(frame([(1, day(2)), (2, day(4)), (3, None)], LANDED))
+    publish(loaded.repartition(3, "id"), f"{db}.dated")
+    publish(loaded.limit(0), f"{db}.nothing")
+    publish(loaded.where("load_ts IS NULL"), f"{db}.undated")
+    publish(loaded, f"{db}.by_day", ("load_dt",))
+    names = ("dated", "nothing", "undated", "by_day")
+    counted = row_counts({name: read_current_footers(spark, f"{db}.{name}") for name in names})
+    assert physical_plan(counted).count("PushedAggregation: [COUNT(*)]") == len(names)
+    assert rows(counted) == [("by_day", 3), ("dated", 3), ("nothing", 0), ("undated", 1)]
+    append(clean(frame([(4, day(9))], LANDED)), f"{db}.dated")
+    footers = read_current_footers(spark, f"{db}.dated")
+    assert rows(row_counts({"dated": footers})) == [("dated", 4)]
+    assert rows(footers.where("id > 2"), "id") == [(3,), (4,)]
+    # other scans are as before
+    assert "BatchScan" not in physical_plan(spark.table(f"{db}.dated").agg(F.count(F.lit(1))))
