@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from plans_util import optimized_sizes
 from pyspark.sql import functions as F
 
 from lakemart.operators.ordered import (
@@ -15,6 +16,7 @@ from lakemart.operators.ordered import (
     with_previous,
     with_running_total,
 )
+from lakemart.plans.history import sequence
 
 SCHEMA = "k long, j string, u timestamp_ntz, i long, v long"
 
@@ -131,3 +133,26 @@ def test_group_size(skewed):
     assert all(r["n"] == sizes[(r["k"], r["j"])] for r in got)
     again = with_group_size(df.select("k", "j").union(df.select("k", "j")), ["k", "j"], "n").collect()
     assert all(r["n"] == 2 * sizes[(r["k"], r["j"])] for r in again)
+
+
+def test_a_sequence_takes_no_larger_plan_for_more_slices(spark, tmp_path):
+    """Cuts are a row, not constants in every step; Spark follows a join's key back to the slices, not through all steps."""
+    spark.range(300).selectExpr(
+        "id AS event_id", "CAST(timestamp_seconds(id DIV 2) AS timestamp_ntz) AS ts", "id % 5 AS user_id",
+        "CAST(id % 3 AS string) AS event_type", "CAST(id AS double) AS value", "'{}' AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def build(slices):
+        spark.conf.set("spark.sql.shuffle.partitions", str(slices))
+        return sequence(spark, str(tmp_path))
+
+    try:
+        few, many = optimized_sizes(build)
+        assert many < 2 * few
+        rows = build(200).orderBy("place").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r["event_id"], r["place"]) for r in rows] == [(i, i + 1) for i in range(300)]
+    assert [int(r["so_far"]) for r in rows] == [sum(range(2 * (i // 2) + 2)) for i in range(300)]
+    assert [r["type_before"] for r in rows] == [None, *[str(i % 3) for i in range(299)]]
