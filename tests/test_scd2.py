@@ -7,7 +7,7 @@ from itertools import pairwise
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from plans_util import count_node, physical_plan
+from plans_util import count_node, optimized_sizes, physical_plan
 from pyspark.sql import functions as F
 
 from lakemart.operators.scd2 import (
@@ -267,3 +267,9 @@ def test_snapshot(frame, rows, day):
     ]
     ids = [r["version_id"] for r in back.collect()]
     assert len(set(ids)) == len(ids)
+
+
+def test_streak_takes_no_larger_plan_for_more_slices(spark):
+    df = spark.range(300).selectExpr("id % 3 AS k", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS u", "id DIV 9 AS v", "id AS p")
+    few, many = optimized_sizes(lambda slices: change_streak(df, "k", "u", ["v"], ("p",), slices=slices))
+    assert many < 2 * few
