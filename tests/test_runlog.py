@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from plans_util import optimized_sizes
 from pyspark.sql import functions as F
 
 from lakemart.operators.report import failure_report, run_report, success_report
@@ -144,3 +145,15 @@ def test_start_and_end(frame, rows):
         ("r::b", "SP", "", "SP", "RUNNING", None, None),
         ("r::c", "A", "B", "B", "RUNNING", None, "{}"),
     ]
+
+
+@pytest.mark.parametrize("report", [failure_report, run_report, success_report])
+def test_a_report_takes_no_larger_plan_for_more_slices(log, report):
+    few, many = optimized_sizes(lambda slices: report(log, slices=slices))
+    assert many < 2 * few
+
+
+def test_the_report_of_a_single_run_takes_no_larger_plan_for_more_slices(log):
+    one = log.withColumn("job_id", F.concat(F.lit("all::"), "job_id"))
+    few, many = optimized_sizes(lambda slices: run_report(one, slices=slices))
+    assert many < 2 * few
