@@ -119,6 +119,14 @@ def test_rows_are_shuffled_once(skewed):
     assert "hashpartitioning(k" not in plan and "rangepartitioning" not in plan
 
 
+def test_a_running_total_sums_the_rows_up_once(skewed):
+    """Filtered rows are shuffled again for the sums of other slices: once, whatever is taken from these sums."""
+    _, df = skewed
+    rows = with_previous(ordered_rows(df, ["k", "j"], "u", ("i",), 8), ["v"]).where(F.col("_prev.v") != F.col("v"))
+    plan = with_running_total(rows, F.lit(1), "n").result()._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("shufflepartitionidpassthrough") <= 2
+
+
 def test_zoned_times(spark):
     df = spark.range(500).selectExpr("id % 3 AS k", "'x' AS j", "timestamp_seconds(1711846800 + id * 30) AS u", "id AS i", "id AS v")
     out = with_previous(ordered_rows(df, ["k", "j"], "u", ("i",), 12), ["v"]).result()
