@@ -41,9 +41,11 @@ def _success_entry() -> Column:
 
 
 def _failure_entry(message_length: int | None = None) -> Column:
-    message = escape_html(F.coalesce("message", F.lit(NO_MESSAGE)))
-    if message_length is not None:
-        message = clip(message, message_length)
+    message = F.coalesce("message", F.lit(NO_MESSAGE))
+    if message_length is None:
+        message = escape_html(message)
+    else:  # escaping shortens nothing, so what is behind that length need not be escaped
+        message = clip(escape_html(clip(message, message_length)), message_length)
     return F.concat(
         F.lit("<div><b>"), F.coalesce("sp_name", F.lit(NO_NAME)), F.lit("</b> "), _target(), F.lit(" "),
         _seconds("duration_seconds"), F.lit("s<pre>"), message, F.lit("</pre></div>"),

@@ -6,7 +6,7 @@ import pytest
 from plans_util import optimized_sizes
 from pyspark.sql import functions as F
 
-from lakemart.operators.report import failure_report, run_report, success_report
+from lakemart.operators.report import _failure_entry, failure_report, run_report, success_report
 from lakemart.operators.runlog import (
     LOG_COLUMNS,
     log_end,
@@ -116,6 +116,13 @@ def test_missing_message(log):
     assert "No error message recorded." in texts(failure_report(broken).collect(), "bad")[-1]
 
 
+@pytest.mark.parametrize("length", [1, 4, 5, 8, 9])
+def test_a_cut_message_is_escaped_as_far_as_it_is_kept(log, length):
+    kept = "&lt;&amp;&gt;"[:length]
+    assert f"<pre>{kept}</pre>" in texts(failure_report(log, message_length=length).collect(), "bad")[-1]
+    assert "left(coalesce(message" in str(_failure_entry(length))
+
+
 @pytest.mark.parametrize("slices", [None, 100])
 def test_a_large_run_is_one_report(frame, slices):
     results = [("r", f"n{i:04d}", f"n{i:04d}", "db", "s", "error", float(i % 20), 0, "x") for i in range(2500)]
