@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions.clean import blank_if_null, zero_if_null
 from lakemart.functions.text import clip, escape_html, run_of, two_decimals
-from lakemart.operators.ordered import ordered_rows, with_position
+from lakemart.operators.ordered import OrderedRows, ordered_rows, with_counts, with_position
 from lakemart.operators.runlog import run_summary
 
 # What stands in for a missing field.
@@ -103,16 +103,19 @@ def _rows_of_runs(log: DataFrame) -> DataFrame:
     return log.withColumn("run_id", run_of("job_id")).where("run_id IS NOT NULL")
 
 
-def _nodes(log: DataFrame, listed: DataFrame, slices: int | None) -> DataFrame:
-    """``listed`` (run_id, job_id, start_time, skipped, text, others) as lines after the ``skipped`` heading lines.
+def _ordered(log: DataFrame, listed: DataFrame, slices: int | None) -> OrderedRows:
+    """``listed`` (run_id, job_id, start_time, skipped, text, others) in order of start, then job; the log itself is sampled for the cuts."""
+    return ordered_rows(listed, "run_id", "start_time", ("job_id",), slices, probe=log.select("run_id", "start_time", "job_id"))
 
-    Nodes stand in order of start, then job; the log itself is sampled for the cuts.
-    """
-    rows = ordered_rows(listed, "run_id", "start_time", ("job_id",), slices, probe=log.select("run_id", "start_time", "job_id"))
-    numbered = with_position(rows, "_position").result()
-    return numbered.withColumn("line", F.col("_position") - 1 + F.col("skipped")).drop(
-        "_position", "job_id", "start_time", "skipped"
-    )
+
+def _as_lines(nodes: DataFrame, position: Column) -> DataFrame:
+    """The nodes as lines after the ``skipped`` heading lines."""
+    return nodes.withColumn("line", position - 1 + F.col("skipped")).drop("job_id", "start_time", "skipped")
+
+
+def _nodes(log: DataFrame, listed: DataFrame, slices: int | None) -> DataFrame:
+    numbered = with_position(_ordered(log, listed, slices), "_position").result()
+    return _as_lines(numbered, F.col("_position")).drop("_position")
 
 
 def _listed(rows: DataFrame, skipped: Column, text: Column, *others: Column) -> DataFrame:
@@ -148,9 +151,13 @@ def run_report(log: DataFrame, slices: int | None = None) -> DataFrame:
     kind = F.when(bad, "FAILURE").otherwise("SUCCESS").alias("report")
     runs = run_summary(log)
     rows = _rows_of_runs(log)
-    shown = rows.join(runs.select("run_id", "failed"), "run_id").where((F.col("failed") == 0) | (F.col("status") == "FAILED"))
-    skipped = F.when(bad, len(_failure_heading())).otherwise(len(_success_heading()))
-    entry = F.when(bad, _failure_entry()).otherwise(_success_entry())
-    nodes = _nodes(rows, _listed(shown, skipped, entry, kind), slices)
+    # a failed node stands in its run's failure report, any other in a success report or in none
+    failed = F.col("status").eqNullSafe("FAILED")
+    skipped = F.when(failed, len(_failure_heading())).otherwise(len(_success_heading()))
+    entry = F.when(failed, _failure_entry()).otherwise(_success_entry())
+    listed = _listed(rows, skipped, entry, F.when(failed, "FAILURE").otherwise("SUCCESS").alias("report"), failed.alias("bad"))
+    counted = with_counts(_ordered(rows, listed, slices), failed=F.col("bad"), other=~F.col("bad")).result()
+    shown = counted.where(F.col("bad") | (F.col("failed.total") == 0))
+    nodes = _as_lines(shown, F.when(F.col("bad"), F.col("failed.upto")).otherwise(F.col("other.upto"))).drop("bad", "failed", "other")
     frame = runs.select("run_id", kind, F.inline(F.when(bad, _failure_frame()).otherwise(_success_frame())))
     return frame.unionByName(nodes)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakemart.operators.ordered import (
     ordered_rows,
+    with_counts,
     with_group_size,
     with_next,
     with_position,
@@ -63,6 +64,18 @@ def test_against_brute_force(skewed, slices):
     assert rows.result().columns == df.columns
 
 
+@pytest.mark.parametrize("slices", [1, 7, 64])
+def test_counts_against_brute_force(skewed, slices):
+    data, df = skewed
+    expected = {}
+    for key in {(r[0], r[1]) for r in data}:
+        mine = sorted((r for r in data if (r[0], r[1]) == key), key=lambda r: (r[2] is None, r[2] or dt.datetime.min, r[3]))
+        for n, r in enumerate(mine):
+            expected[r[3]] = (sum(x[4] > 6 for x in mine[: n + 1]), sum(x[4] > 6 for x in mine), n + 1, len(mine))
+    rows = with_counts(ordered_rows(df, ["k", "j"], "u", ("i",), slices), high=F.col("v") > 6, all=F.lit(True)).result()
+    assert {r["i"]: (*r["high"], *r["all"]) for r in rows.collect()} == expected
+
+
 def test_slices_by_date(skewed):
     data, df = skewed
     by_date = [(*r[:2], r[2].date() if r[2] else None, *r[3:]) for r in data]

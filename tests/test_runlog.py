@@ -123,6 +123,19 @@ def test_a_cut_message_is_escaped_as_far_as_it_is_kept(log, length):
     assert "left(coalesce(message" in str(_failure_entry(length))
 
 
+def test_a_report_joins_no_runs(log):
+    """All rows of a large run would be in one task of that join."""
+    plan = run_report(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Join Cross" in plan
+
+
+def test_nodes_without_status_count_as_not_failed(log):
+    odd = log.withColumn("status", F.when(~F.col("job_id").isin("good::b", "bad::b"), F.col("status")))
+    reports = run_report(odd).collect()
+    assert "<tr><td>?</td><td>db.</td><td></td><td>0</td><td>0.00</td></tr>" in texts(reports, "good")
+    assert len(texts(reports, "bad")) == 7
+
+
 @pytest.mark.parametrize("slices", [None, 100])
 def test_a_large_run_is_one_report(frame, slices):
     results = [("r", f"n{i:04d}", f"n{i:04d}", "db", "s", "error", float(i % 20), 0, "x") for i in range(2500)]
