@@ -19,6 +19,8 @@ from lakemart.operators.runlog import run_summary
 NO_NAME = "?"
 NO_MESSAGE = "No error message recorded."
 NO_VALUE = "n/a"
+#: What entries show of a node besides its message.
+CELLS = ["sp_name", "sp_database", "sp_schema", "status", "rows_processed", "duration_seconds"]
 
 
 def _target() -> Column:
@@ -104,28 +106,21 @@ def _rows_of_runs(log: DataFrame) -> DataFrame:
 
 
 def _ordered(log: DataFrame, listed: DataFrame, slices: int | None) -> OrderedRows:
-    """``listed`` (run_id, job_id, start_time, skipped, text, others) in order of start, then job; the log itself is sampled for the cuts."""
+    """Nodes (run_id, job_id, start_time, others) in order of start, then job; the log itself is sampled for the cuts."""
     return ordered_rows(listed, "run_id", "start_time", ("job_id",), slices, probe=log.select("run_id", "start_time", "job_id"))
 
 
-def _as_lines(nodes: DataFrame, position: Column) -> DataFrame:
-    """The nodes as lines after the ``skipped`` heading lines."""
-    return nodes.withColumn("line", position - 1 + F.col("skipped")).drop("job_id", "start_time", "skipped")
-
-
-def _nodes(log: DataFrame, listed: DataFrame, slices: int | None) -> DataFrame:
+def _nodes(log: DataFrame, skipped: int, text: Column, slices: int | None) -> DataFrame:
+    """The log's rows as lines after the ``skipped`` heading lines."""
+    listed = log.select("run_id", "job_id", "start_time", text.alias("text"))
     numbered = with_position(_ordered(log, listed, slices), "_position").result()
-    return _as_lines(numbered, F.col("_position")).drop("_position")
-
-
-def _listed(rows: DataFrame, skipped: Column, text: Column, *others: Column) -> DataFrame:
-    return rows.select("run_id", "job_id", "start_time", skipped.alias("skipped"), text.alias("text"), *others)
+    return numbered.select("run_id", (F.col("_position") - 1 + skipped).alias("line"), "text")
 
 
 def success_report(log: DataFrame, slices: int | None = None) -> DataFrame:
     """run_id, line, text: one line per node. A run without rows has no report."""
     rows = _rows_of_runs(log)
-    nodes = _nodes(rows, _listed(rows, F.lit(len(_success_heading())), _success_entry()), slices)
+    nodes = _nodes(rows, len(_success_heading()), _success_entry(), slices)
     frame = run_summary(log).select("run_id", F.inline(_success_frame()))
     return frame.unionByName(nodes)
 
@@ -137,7 +132,7 @@ def failure_report(log: DataFrame, message_length: int | None = None, slices: in
     characters after escaping.
     """
     rows = _rows_of_runs(log).where("status = 'FAILED'")
-    nodes = _nodes(rows, _listed(rows, F.lit(len(_failure_heading())), _failure_entry(message_length)), slices)
+    nodes = _nodes(rows, len(_failure_heading()), _failure_entry(message_length), slices)
     frame = run_summary(log).where("failed > 0").select("run_id", F.inline(_failure_frame()))
     return frame.unionByName(nodes)
 
@@ -153,11 +148,13 @@ def run_report(log: DataFrame, slices: int | None = None) -> DataFrame:
     rows = _rows_of_runs(log)
     # a failed node stands in its run's failure report, any other in a success report or in none
     failed = F.col("status").eqNullSafe("FAILED")
-    skipped = F.when(failed, len(_failure_heading())).otherwise(len(_success_heading()))
-    entry = F.when(failed, _failure_entry()).otherwise(_success_entry())
-    listed = _listed(rows, skipped, entry, F.when(failed, "FAILURE").otherwise("SUCCESS").alias("report"), failed.alias("bad"))
+    message = F.when(failed, F.col("message")).alias("message")  # of others none is shown
+    listed = rows.select("run_id", "job_id", "start_time", *CELLS, message, failed.alias("bad"))
     counted = with_counts(_ordered(rows, listed, slices), failed=F.col("bad"), other=~F.col("bad")).result()
+    node_kind = F.when(F.col("bad"), "FAILURE").otherwise("SUCCESS").alias("report")
+    above = F.when(F.col("bad"), F.col("failed.upto") + len(_failure_heading())).otherwise(F.col("other.upto") + len(_success_heading()))
+    entry = F.when(F.col("bad"), _failure_entry()).otherwise(_success_entry())
     shown = counted.where(F.col("bad") | (F.col("failed.total") == 0))
-    nodes = _as_lines(shown, F.when(F.col("bad"), F.col("failed.upto")).otherwise(F.col("other.upto"))).drop("bad", "failed", "other")
+    nodes = shown.select("run_id", (above - 1).alias("line"), entry.alias("text"), node_kind)
     frame = runs.select("run_id", kind, F.inline(F.when(bad, _failure_frame()).otherwise(_success_frame())))
     return frame.unionByName(nodes)
