@@ -9,6 +9,8 @@ from plans_util import optimized_sizes
 from pyspark.sql import functions as F
 
 from lakemart.operators.ordered import (
+    PLACED,
+    SLICE,
     ordered_rows,
     with_counts,
     with_group_size,
@@ -177,3 +179,18 @@ def test_a_sequence_takes_no_larger_plan_for_more_slices(spark, tmp_path):
     assert [(r["event_id"], r["place"]) for r in rows] == [(i, i + 1) for i in range(300)]
     assert [int(r["so_far"]) for r in rows] == [sum(range(2 * (i // 2) + 2)) for i in range(300)]
     assert [r["type_before"] for r in rows] == [None, *[str(i % 3) for i in range(299)]]
+
+
+@pytest.mark.parametrize("n_keys", [1, 300])
+def test_summaries_place_rows_of_cut_keys_only(spark, n_keys):
+    """Before, every row was placed a second time for the summaries."""
+    df = spark.range(3000, numPartitions=3).select((F.col("id") % n_keys).alias("k"), F.lit(1).alias("t"), "id")
+    rows = ordered_rows(df, "k", "t", slices=4)
+    flat = {r.id: (r[SLICE], r[PLACED]) for r in rows.flat.collect()}
+    dealt = {r.id: (r[SLICE], r[PLACED], r.k) for r in rows.df.collect()}
+    edges = {i for i, (_, placed, _) in dealt.items() if placed.run is not None}
+    assert edges <= set(flat)
+    assert len({dealt[i][2] for i in flat}) <= 3
+    assert all(flat[i] == dealt[i][:2] for i in flat)  # rows of one place are dealt alike in both
+    positions = with_position(rows, "p").result().collect()
+    assert sorted((r.k, r.p) for r in positions) == [(k, p) for k in range(n_keys) for p in range(1, 3000 // n_keys + 1)]
