@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import Words, free_names, group_edges, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.common import Words, chunk_hashes, free_names, group_edges, mix, rebatched, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
@@ -48,6 +49,8 @@ MOST_LEADERS = 64
 PACK_BYTES = 4 << 20
 #: Words with counts that a task holds before it sums them up.
 MOST_COUNTED = 2 << 20
+#: Spreads line numbers over the low bits of a place's key; the product of a line number with it stays below 2**63.
+PLACE_FACTOR = 2_654_435_761
 
 FOUND = "kind int, run long, cls long, id long, row long, line int"
 _NAMES = [part.split()[0] for part in FOUND.split(", ")]
@@ -64,19 +67,22 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return words[edges[:-1]], np.add.reduceat(counts[order], edges[:-1]) if len(words) else counts
 
 
-def common_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most common words of all texts, by falling count."""
+def common_words(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the most common words of all texts, by falling count, and the bytes of all texts."""
 
     def counted(batches):
-        parts, held = [], 0
+        parts, held, size = [], 0, 0
 
         def rows():
             words, counts = _summed(parts)
-            often = counts > 1  # a word met once among so many is none of the most common; any order of words is exact
+            # what is none of the most common here, or met once among so many, hardly is one of all; any order of words is exact
+            often = np.argpartition(counts, -COMMON_WORDS)[-COMMON_WORDS:] if len(words) > COMMON_WORDS else np.arange(len(words))
+            often = often[counts[often] > 1]
             return pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(counts[often])], ["word", "n"])
 
-        for batch in rebatched(batches, limit=PACK_BYTES):
-            parts.append(np.unique(Words(batch.column(1)).hash, return_counts=True))
+        for batch in rebatched(batches, 0, PACK_BYTES):
+            size += pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
+            parts.append(np.unique(chunk_hashes(Words(batch.column(0))), return_counts=True))
             held += len(parts[-1][0])
             if held > MOST_COUNTED:  # words that the batches share become one; if most differ, they go
                 parts[:] = [_summed(parts)]
@@ -86,9 +92,14 @@ def common_words(docs: DataFrame) -> np.ndarray:
                     parts.clear()
                     held = 0
         yield rows()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([size], pa.int64())], ["word", "n"])
 
-    sums = docs.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return np.asarray(sums.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").toArrow()["word"]).view(np.uint64)
+    sums = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    # the bytes stand where a word would, and first: no word is met more often than there are bytes
+    top = sums.orderBy(F.desc("n"), F.asc_nulls_first("word")).limit(COMMON_WORDS + 1).toArrow()
+    word = top["word"].combine_chunks()
+    size = pc.sum(top["n"].filter(word.is_null())).as_py() or 0
+    return np.asarray(word.drop_null()).view(np.uint64), size
 
 
 class Rarity:
@@ -130,13 +141,14 @@ class Lines:
         new[1:] = (w.doc[1:] != w.doc[:-1]) | (number[1:] != number[:-1])
         line = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        order_of = rarity.of(w.hash)
+        hashes = chunk_hashes(w)
+        order_of = rarity.of(hashes)
         name = (line.astype(np.uint64) << np.uint64(40)) | (order_of >> np.uint64(24))
         order = np.argsort(name)
-        sorted_name, token = name[order], w.hash[order]
+        sorted_name, token = name[order], hashes[order]
         if ((sorted_name[1:] == sorted_name[:-1]) & (token[1:] != token[:-1])).any():  # words that differ in their last bits only
             order = np.lexsort((order_of, line))
-            token = w.hash[order]
+            token = hashes[order]
         line = line[order]
         once = np.ones(len(token), bool)
         once[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -217,19 +229,44 @@ def _meet(bundles: DataFrame) -> DataFrame:
     return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(met, FOUND)
 
 
-def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, cls_filter: np.ndarray, least: int) -> DataFrame:
-    """``cls``, ``tokens`` of the lines that met others, from the texts that hold their earliest places."""
+def _place_key(row, line):
+    """Of columns or of arrays, as 64-bit values."""
+    spread_line = line * PLACE_FACTOR
+    return row.bitwiseXOR(spread_line) if isinstance(row, Column) else row ^ spread_line
+
+
+def _lines_at(batch: pa.RecordBatch, bits: np.ndarray) -> pa.Array:
+    """The lines whose place may be in the filter, each as a text."""
+    texts = batch.column(1).fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    breaks = np.flatnonzero(data == 10)
+    upto = np.searchsorted(breaks, offsets)
+    doc = np.repeat(np.arange(len(texts)), np.diff(upto) + 1)  # a line more than breaks
+    first = upto[:-1] + np.arange(len(texts))
+    number = np.arange(len(doc)) - first[doc]
+    begin, end = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    begin[first], end[first + np.diff(upto)] = offsets[:-1], offsets[1:]
+    after = np.ones(len(doc), bool)
+    after[first] = False
+    begin[after] = breaks + 1
+    end[np.roll(after, -1)] = breaks
+    some = np.flatnonzero(passes(bits, _place_key(np.asarray(batch.column(2))[doc], number)))
+    held = data.tobytes()
+    return pa.array([held[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist())], pa.large_binary())
+
+
+def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, place_filter: np.ndarray, least: int) -> DataFrame:
+    """``cls``, ``tokens`` of the lines that met others, from their earliest places; only these lines are cut into words."""
 
     def sets(batches):
         for batch in rebatched(batches, limit=PACK_BYTES):
             batch = batch.filter(pa.array(passes(rows_filter, np.asarray(batch.column(2)))))
             if not batch.num_rows:
                 continue
-            lines = Lines(batch.column(1), rarity, least)
-            rows = np.asarray(batch.column(2))[lines.doc]
-            one = np.arange(len(lines.cls))
-            one = one[passes(cls_filter, lines.cls[one] ^ rows[one])]
-            one = one[np.unique(lines.cls[one], return_index=True)[1]]
+            lines = Lines(_lines_at(batch, place_filter), rarity, least)
+            one = np.unique(lines.cls, return_index=True)[1]
             tokens = [lines.tokens(k) for k in one]
             yield pa.RecordBatch.from_arrays([pa.array(lines.cls[one]), pa.array([t.tobytes() for t in tokens], pa.binary())], ["cls", "tokens"])
 
@@ -315,8 +352,8 @@ def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     ``docs`` holds ``id`` (from ``ordered_id``), ``text`` and ``row`` (from ``text_key``).
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rarity = Rarity(common_words(docs))
+    common, size = common_words(docs)
+    rarity = Rarity(common)
     found = stored(_meet(_index(docs, rarity, max(1, size // BIN_BYTES), least_words)), "lines")
     members = found.where((F.col("kind") == MEMBER) & (F.col("run") != F.col("cls"))).select("run", "cls").distinct()
     places = found.where(F.col("kind") == CLASS).select("cls", "id", "row", "line")
@@ -324,8 +361,8 @@ def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     earliest = stored(earliest, "places")
     met = members.select("cls").union(members.select("run")).distinct()
     wanted = stored(earliest.join(met, "cls"), "wanted")
-    both = wanted.select(F.col("cls").bitwiseXOR(F.col("row")).alias("both"))
-    sets = stored(_words_of(docs, rarity, key_filter(wanted, "row"), key_filter(both, "both"), least_words), "sets")
+    at = wanted.select(_place_key(F.col("row"), F.col("line").cast("long")).alias("at"))
+    sets = stored(_words_of(docs, rarity, key_filter(wanted, "row"), key_filter(at, "at"), least_words), "sets")
     blocks = components(members.select(F.col("run").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("run"))
     groups = dealt(blocks, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
     matched = stored(_resolve(grouped(groups, "run")).distinct(), "matched")
@@ -389,5 +426,6 @@ def line_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     removed = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     text = F.coalesce(F.col(text_column), F.lit(""))
     left = F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(_kept_lines(text, F.col("_lines")), "\n"))
-    lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    lines = F.when(F.col(text_column).isNull(), 0).otherwise(breaks + 1)
     return marked.select(id_column, lines.cast("long").alias("n_lines"), removed.alias("n_removed"), F.sha2(left, 256).alias("kept_sha256"))

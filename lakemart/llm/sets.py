@@ -62,10 +62,10 @@ def bundled(entries: np.ndarray, tokens: np.ndarray, bins: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
 
 
-def unbundled(data: bytes, kind: np.dtype) -> np.ndarray:
-    """The entries of a bundle, which holds them column by column."""
+def unbundled(data: bytes, kind: np.dtype) -> dict[str, np.ndarray]:
+    """The columns of a bundle's entries."""
     n = len(data) // kind.itemsize
-    out, at = np.empty(n, kind), 0
+    out, at = {}, 0
     for name in kind.names:
         field = kind[name]
         out[name] = np.frombuffer(data, field.base, n * int(np.prod(field.shape)), at).reshape(n, *field.shape)
@@ -112,7 +112,7 @@ def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) ->
     def close(whole: bool):
         nonlocal held, size
         if held:
-            entries = np.concatenate(held)
+            entries = {name: np.concatenate([e[name] for e in held]) for name in kind.names}
             found = _shared(entries, percent) if whole else (_token_names(current, entries["token"]), entries["cls"])
             if len(found[0]):
                 yield found
@@ -141,32 +141,36 @@ def _token_names(number: int, tokens: np.ndarray) -> np.ndarray:
     return mix(tokens.astype(np.uint64) + (np.uint64(number) << np.uint64(32))).view(np.int64)
 
 
-def _shared(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((entries["size"], entries["token"]))
-    e = entries[order]
-    token, size = e["token"], e["size"].astype(np.int64)
+def _shared(entries: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Narrow columns decide which entries stay; only of these the others are taken."""
+    name = entries["token"].astype(np.uint64) << np.uint64(32) | entries["size"]
+    order = np.argsort(name)
+    name = name[order]
+    size = (name & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    token = name >> np.uint64(32)
     same = token[1:] == token[:-1]
     # sizes are sorted within a token: a set without a neighbour of fitting size has no partner there
     fits = same & (100 * size[:-1] >= percent * size[1:])
-    near = np.zeros(len(e), bool)
+    near = np.zeros(len(order), bool)
     near[1:] |= fits
     near[:-1] |= fits
-    e, size = e[near], size[near]
-    if not len(e):
+    order, token, size = order[near], token[near], size[near]
+    if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # runs of one token and neighbouring sizes
-    new = np.ones(len(e), bool)
-    new[1:] = (e["token"][1:] != e["token"][:-1]) | (100 * size[:-1] < percent * size[1:])
+    new = np.ones(len(order), bool)
+    new[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
     run = np.cumsum(new) - 1
-    fit = _positional(run, size, size - e["place"], percent)
-    e, run, size = e[fit], run[fit], size[fit]
-    if not len(e):
+    rest = size - entries["place"][order]
+    fit = _positional(run, size, rest, percent)
+    order, run, size, rest = order[fit], run[fit], size[fit], rest[fit]
+    if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if "map" in e.dtype.names:
-        x, y = _mapped(run, size, size - e["place"], np.ascontiguousarray(e["map"]), percent)
-        pairs = np.unique(np.stack([e["cls"][x], e["cls"][y]]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+    cls = entries["cls"][order]
+    if "map" in entries:
+        x, y = _mapped(run, size, rest, entries["map"][order], percent)
+        pairs = np.unique(np.stack([cls[x], cls[y]]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
         return pairs[0], pairs[1]
-    cls = e["cls"]
     order = np.lexsort((cls, run))
     run, cls = run[order], cls[order]
     once = np.ones(len(run), bool)

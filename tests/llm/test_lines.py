@@ -5,10 +5,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakemart.llm import lines, sets
-from lakemart.llm.lines import line_report, without_later_lines
+from lakemart.llm.common import Words, chunk_hashes, mix
+from lakemart.llm.lines import _lines_at, _place_key, common_words, line_report, without_later_lines
+from lakemart.llm.sets import FILTER_WORDS
 
 
 def expected(rows):
@@ -100,3 +104,41 @@ def test_common_words_only_and_empty_table(docs):
     check(docs, [(i, " ".join(["a", "b", "c", "d", "e", "f", "g", "h"][: 5 + i % 4])) for i in range(40)])
     assert without_later_lines(docs([])).count() == 0
     assert line_report(docs([])).count() == 0
+
+
+def test_chunk_hashes_tell_words_apart():
+    words = ["a" * n for n in range(1, 140)] + [f"{'x' * n}{c}" for n in (0, 7, 8, 15, 16, 63, 64, 65, 200) for c in "\0bcé"]
+    once, twice = chunk_hashes(Words(pa.array([" ".join(words)]))), chunk_hashes(Words(pa.array(["é " + "\n".join(words), "", None, "a"])))
+    assert len(set(once.tolist())) == len(set(words))
+    assert twice[1:-1].tolist() == once.tolist() and twice[-1] == once[0]
+    assert len(chunk_hashes(Words(pa.array([None, "", " \n"])))) == 0
+
+
+def test_lines_of_wanted_places():
+    texts = [None, "", "one", "a\nb b\n\n", "\n", "é\nü x", "last"]
+    rows = mix(np.arange(7, dtype=np.uint64) + np.uint64(1)).view(np.int64)
+    places = [(r, k, line) for t, r in zip(texts, rows) for k, line in enumerate((t or "").split("\n"))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts), pa.array(rows)], ["id", "text", "row"])
+    for taken in (batch, pa.Table.from_batches([batch.slice(0, 2), batch.slice(2)]).combine_chunks().to_batches()[0]):
+        for some in (places, places[::2], places[1::3], []):
+            bits = np.zeros(FILTER_WORDS, np.uint64)
+            for row, k, _ in some:
+                key = int(_place_key(np.int64(row), np.int64(k)))
+                bits[(key >> 6) % FILTER_WORDS] |= np.uint64(1 << (key % 64))
+            assert [x.decode() for x in _lines_at(taken, bits).to_pylist()] == [line for _, _, line in some]
+    sliced = batch.slice(3, 3)
+    assert [x.decode() for x in _lines_at(sliced, np.full(FILTER_WORDS, (1 << 64) - 1, np.uint64)).to_pylist()] == ["a", "b b", "", "", "", "", "é", "ü x"]
+
+
+def test_place_keys_agree(spark):
+    rows = [(-(1 << 63), 0), (5, 1), ((1 << 63) - 1, (1 << 31) - 1)]
+    made = spark.createDataFrame(rows, "row long, line int").select(_place_key(F.col("row"), F.col("line").cast("long")).alias("key"))
+    assert [r.key for r in made.collect()] == _place_key(np.array([r for r, _ in rows]), np.array([k for _, k in rows])).tolist()
+
+
+def test_common_words_come_with_the_bytes_of_all_texts(docs):
+    rows = [(1, "é a a b"), (2, None), (3, ""), (4, "a b\nc")]
+    words, size = common_words(docs(rows))
+    assert size == len("é a a b".encode()) + 5
+    assert words.tolist() == chunk_hashes(Words(pa.array(["a b"]))).tolist()
+    assert common_words(docs([]))[1] == 0
