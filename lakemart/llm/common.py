@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -216,8 +216,8 @@ class Words:
             edge[full] = inside[full]
         self.begin = np.flatnonzero(begins)
         self.end = np.flatnonzero(last) + 1
-        self.doc = np.searchsorted(offsets, self.begin, side="right") - 1
         self.first = np.searchsorted(self.begin, offsets)
+        self.doc = np.repeat(np.arange(n), np.diff(self.first))
 
     @property
     def count(self) -> np.ndarray:
@@ -283,6 +283,16 @@ def give_back() -> None:
         trim(0)
 
 
+def released(task: Callable) -> Callable:
+    """A task's function for ``mapInArrow``; memory goes back once all that the task held is freed, its variables as well."""
+
+    def whole(batches):
+        yield from task(batches)
+        give_back()
+
+    return whole
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that arrive sorted by ``key``.
 

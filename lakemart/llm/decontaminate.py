@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import SIGNS, Words, combine, group_edges, rebatched, slices
+from lakemart.llm.common import SIGNS, Words, combine, group_edges, rebatched, released, slices
 
 #: Errors allowed for each word of an item, words an item needs where callers name no bound, and bytes of items sent to tasks at a time.
 ERROR_SHARE = 0.2
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                     ["id", "item_id", "distance", "end_word", "item_words"],
                 )
 
-        return rows.mapInArrow(search, schema)
+        return rows.mapInArrow(released(search), schema)
 
     out = None
     for items in item_blocks(benchmark, least=least_words):
@@ -203,5 +203,5 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
         return keep
 
     for items in item_blocks(benchmark, least=least_words):
-        docs = docs.mapInArrow(without(items), docs.schema)
+        docs = docs.mapInArrow(released(without(items)), docs.schema)
     return docs

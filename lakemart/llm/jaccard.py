@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakemart.llm.common import Words, combine, free_names, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.common import Words, combine, free_names, mix, rebatched, released, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.sets import (
     BIN_BYTES,
@@ -92,7 +92,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             common = [pairs.tobytes()] + [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s.cls), pa.array(s.size.astype(np.int64)), pa.array(common, pa.binary())], ["id", "row", "cls", "size", "common"])
 
-    return docs.mapInArrow(classes, CLASSES)
+    return docs.mapInArrow(released(classes), CLASSES)
 
 
 def _common(classes: DataFrame) -> np.ndarray:
@@ -104,7 +104,7 @@ def _common(classes: DataFrame) -> np.ndarray:
                 token, count = np.frombuffer(data, np.int64).reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], ["token", "n"])
 
-    sums = classes.select("common").mapInArrow(listed, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = classes.select("common").mapInArrow(released(listed), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return np.sort(np.asarray(sums.orderBy(F.desc("n"), "token").limit(COMMON_SHINGLES).select("token").toArrow()["token"]).view(np.uint64))
 
 
@@ -127,7 +127,7 @@ def _index(docs: DataFrame, common: np.ndarray, bins: int) -> DataFrame:
             at = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
             yield bundled(*prefix_entries(token[s.first[owner] + at], owner, at, s.cls, s.size), bins)
 
-    return docs.mapInArrow(entries, BUNDLE)
+    return docs.mapInArrow(released(entries), BUNDLE)
 
 
 def _meet(bundles: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
         for run, cls in shared_entries(batches, lambda data: (), PERCENT):
             yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(cls)], ["run", "cls"])
 
-    return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(met, "run long, cls long")
+    return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(released(met), "run long, cls long")
 
 
 def bits_for(size: int) -> int:
@@ -158,7 +158,7 @@ def _maps(docs: DataFrame, rows_filter: np.ndarray, cls_filter: np.ndarray) -> D
             maps = [bitmap(s.tokens(d), bits_for(int(s.size[d]))).tobytes() for d in one]
             yield pa.RecordBatch.from_arrays([pa.array(s.cls[one]), pa.array(s.size[one].astype(np.int32)), pa.array(maps, pa.binary())], ["cls", "size", "bitmap"])
 
-    found = docs.mapInArrow(maps, "cls long, size int, bitmap binary")
+    found = docs.mapInArrow(released(maps), "cls long, size int, bitmap binary")
     return found.groupBy("cls").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
 
 
@@ -169,7 +169,7 @@ def _tokens(docs: DataFrame, rows_filter: np.ndarray, cls_filter: np.ndarray) ->
         for s, one in _picked(batches, rows_filter, cls_filter):
             yield pa.RecordBatch.from_arrays([pa.array(s.cls[one]), pa.array([s.tokens(d).tobytes() for d in one], pa.binary())], ["cls", "tokens"])
 
-    return docs.mapInArrow(sets, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return docs.mapInArrow(released(sets), "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 def _picked(batches, rows_filter: np.ndarray, cls_filter: np.ndarray):
@@ -320,7 +320,7 @@ def possible_edges(met: DataFrame, maps: DataFrame) -> DataFrame:
                 found.append((cls[a:b], union))
             yield _edges(found)
 
-    return grouped(dealt(met, "run", "cls", GROUP_ROWS).join(maps.select("cls", "size", "bitmap"), "cls"), "run").mapInArrow(walk, "a long, b long")
+    return grouped(dealt(met, "run", "cls", GROUP_ROWS).join(maps.select("cls", "size", "bitmap"), "cls"), "run").mapInArrow(released(walk), "a long, b long")
 
 
 def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append((cls[a:b], union))
             yield _edges(found)
 
-    return grouped(dealt(blocks, "block", "cls", BLOCK_ROWS).join(sets, "cls"), "block").mapInArrow(walk, "a long, b long")
+    return grouped(dealt(blocks, "block", "cls", BLOCK_ROWS).join(sets, "cls"), "block").mapInArrow(released(walk), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

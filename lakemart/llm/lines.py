@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import Words, chunk_hashes, free_names, group_edges, mix, rebatched, runs, spread, stored, text_key
+from lakemart.llm.common import Words, chunk_hashes, free_names, group_edges, mix, rebatched, released, runs, spread, stored, text_key
 from lakemart.llm.components import components
 from lakemart.llm.repeats import ordered_id
 from lakemart.llm.sets import (
@@ -94,7 +94,7 @@ def common_words(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield rows()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([size], pa.int64())], ["word", "n"])
 
-    sums = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    sums = docs.select("text").mapInArrow(released(counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     # the bytes stand where a word would, and first: no word is met more often than there are bytes
     top = sums.orderBy(F.desc("n"), F.asc_nulls_first("word")).limit(COMMON_WORDS + 1).toArrow()
     word = top["word"].combine_chunks()
@@ -206,7 +206,7 @@ def _index(docs: DataFrame, rarity: Rarity, bins: int, least: int) -> DataFrame:
             cls, begin, size = lines.cls[one], lines.first[one], lines.size[one]
             yield bundled(*prefix_entries(lines.token[begin[owner] + place], owner, place, cls, size, small_maps(lines.token, begin, size)), bins)
 
-    return docs.mapInArrow(entries, BUNDLE)
+    return docs.mapInArrow(released(entries), BUNDLE)
 
 
 def _meet(bundles: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _meet(bundles: DataFrame) -> DataFrame:
                     [pa.array(kind.astype(np.int32)), pa.nulls(len(cls), pa.int64()), pa.array(cls), pa.array(ids), pa.array(rows), pa.array(numbers.astype(np.int32))], _NAMES
                 )
 
-    return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(met, FOUND)
+    return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(released(met), FOUND)
 
 
 def _place_key(row, line):
@@ -270,7 +270,7 @@ def _words_of(docs: DataFrame, rarity: Rarity, rows_filter: np.ndarray, place_fi
             tokens = [lines.tokens(k) for k in one]
             yield pa.RecordBatch.from_arrays([pa.array(lines.cls[one]), pa.array([t.tobytes() for t in tokens], pa.binary())], ["cls", "tokens"])
 
-    return docs.mapInArrow(sets, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return docs.mapInArrow(released(sets), "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 def later_matches(sizes: np.ndarray, tokens: list[np.ndarray], places: list, percent: int = PERCENT) -> np.ndarray:
@@ -344,7 +344,7 @@ def _resolve(groups: DataFrame) -> DataFrame:
                 out.append(cls[order[gone]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["cls"])
 
-    return groups.mapInArrow(resolve, "cls long")
+    return groups.mapInArrow(released(resolve), "cls long")
 
 
 def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import Words, byte_set, rebatched, stored
+from lakemart.llm.common import Words, byte_set, rebatched, released, stored
 
 #: The statistics of a text, in the order of a row of ``statistics``.
 NAMES = (
@@ -131,7 +131,7 @@ def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "x"])
 
     source = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return source.mapInArrow(rows, f"id {dict(source.dtypes)['id']}, x array<double>")
+    return source.mapInArrow(released(rows), f"id {dict(source.dtypes)['id']}, x array<double>")
 
 
 def fit(statistics_of: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality") -> Discriminant:
@@ -162,7 +162,7 @@ def fit(statistics_of: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         for c, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), c, np.int32)), pa.array(place.astype(np.int32)), pa.array(s)], ["label", "place", "value"])
 
-    parts = rows.mapInArrow(moments, "label int, place int, value double")
+    parts = rows.mapInArrow(released(moments), "label int, place int, value double")
     found: dict[int, np.ndarray] = {}
     for r in parts.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():
         found.setdefault(r["label"], np.zeros(1 + D + D * D))[r["place"]] = r["value"]
@@ -194,9 +194,10 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
     """The documents that the classifier does not reject, all columns kept.
 
     The model is fitted on the statistics of all labelled rows, then every row is judged
-    where it stands, so texts are never shuffled.
+    where it stands, so texts are never shuffled. The statistics are stored in between: a task
+    that also sums up the moments of its rows would keep two Python workers.
     """
-    model = fit(text_statistics(docs, "doc_id", "text"), labels)
+    model = fit(stored(text_statistics(docs, "doc_id", "text"), "statistics"), labels)
     names = docs.columns
 
     def kept(batches):
@@ -205,4 +206,4 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
             keep = model.score(statistics(texts.fill_null(""))) >= least
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(released(kept), docs.schema)

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from lakemart.llm import quality
 from lakemart.llm.quality import Discriminant, accepted_rows, quality_scores, statistics
 
 FOLDER = "/root/testdata/sf0.1"
@@ -79,3 +80,15 @@ def test_accepted_rows_follow_the_scores(spark):
     kept = accepted_rows(docs, labels)
     assert kept.schema == docs.schema
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
+
+
+def test_a_task_of_the_fit_keeps_one_python_worker(spark, docs, monkeypatch):
+    met = []
+
+    def fit(statistics_of, labels):
+        met.append(statistics_of._jdf.queryExecution().executedPlan().toString())
+        return Discriminant({})
+
+    monkeypatch.setattr(quality, "fit", fit)
+    accepted_rows(docs([(1, "a b"), (2, None)]), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert len(met) == 1 and "MapInArrow" not in met[0]
