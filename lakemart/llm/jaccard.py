@@ -26,7 +26,6 @@ from lakemart.llm.sets import (
     grouped,
     key_filter,
     passes,
-    prefix_entries,
     prefix_length,
     shared_entries,
     threshold_overlap,
@@ -125,14 +124,14 @@ def _index(docs: DataFrame, common: np.ndarray, bins: int) -> DataFrame:
             length = prefix_length(s.size[one], PERCENT)
             owner = np.repeat(one, length)
             at = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-            yield bundled(*prefix_entries(token[s.first[owner] + at], owner, at, s.cls, s.size), bins)
+            yield bundled(token[s.first[owner] + at], owner, at, s.cls, s.size, bins)
 
     return docs.mapInArrow(released(entries), BUNDLE)
 
 
 def _meet(bundles: DataFrame) -> DataFrame:
     def met(batches):
-        for run, cls in shared_entries(batches, lambda data: (), PERCENT):
+        for run, cls in shared_entries(batches, lambda number, data: (), PERCENT):
             yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(cls)], ["run", "cls"])
 
     return spread(bundles, "bin").sortWithinPartitions("bin").mapInArrow(released(met), "run long, cls long")

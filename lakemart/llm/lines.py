@@ -7,6 +7,8 @@ and a line goes if an earlier one is similar.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +28,6 @@ from lakemart.llm.sets import (
     grouped,
     key_filter,
     passes,
-    prefix_entries,
     prefix_length,
     shared_entries,
     small_maps,
@@ -54,7 +55,12 @@ PLACE_FACTOR = 2_654_435_761
 
 FOUND = "kind int, run long, cls long, id long, row long, line int"
 _NAMES = [part.split()[0] for part in FOUND.split(", ")]
-MEMBER, CLASS, REPEAT = 0, 1, 2
+#: TIE: another row at the very place of the earliest line of a class.
+MEMBER, CLASS, REPEAT, TIE = 0, 1, 2, 3
+#: A bin of places takes the lines of so many bins of entries, which are about as many bytes.
+PLACE_BINS = 8
+#: Places of a bin that a task holds before only the earliest of each class stay.
+MOST_PLACES = 1 << 19
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +117,9 @@ class Rarity:
         edges = np.searchsorted(self.sorted, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
         self.first = edges.astype(np.int32)  # of the common words with the same first bits
         self.count = np.diff(np.append(edges, len(common))).astype(np.int32)
-
+        if len(common):  # most words are the first of their slot; without one it shows a word of another slot
+            edges = np.minimum(edges, len(common) - 1)
+            self.head, self.head_rank = self.sorted[edges], self.rank[edges]
         self.common = common
 
     def __reduce__(self):
@@ -119,9 +127,13 @@ class Rarity:
 
     def of(self, words: np.ndarray) -> np.ndarray:
         out = words >> np.uint64(1)
-        slot = (words >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        if not len(self.common):
+            return out
+        slot = (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = np.flatnonzero(self.head[slot] == words)
+        out[at] = self.head_rank[slot[at]]
         count = self.count[slot]
-        for k in range(int(self.count.max())):
+        for k in range(1, int(self.count.max())):
             at = np.flatnonzero(count > k)
             place = self.first[slot[at]] + k
             same = self.sorted[place] == words[at]
@@ -135,12 +147,12 @@ class Lines:
     def __init__(self, texts: pa.Array, rarity: Rarity, least: int = LEAST_WORDS):
         w = Words(texts)
         breaks = np.flatnonzero(w.data == 10)
-        whole = np.searchsorted(breaks, w.begin)
-        number = whole - np.searchsorted(breaks, w.offsets)[w.doc]
-        new = np.ones(len(w.begin), bool)
-        new[1:] = (w.doc[1:] != w.doc[:-1]) | (number[1:] != number[:-1])
-        line = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
+        after = np.searchsorted(w.begin, breaks)  # the first word after each break
+        starts = np.unique(np.concatenate((after, w.first)))
+        starts = starts[starts < len(w.begin)]
+        doc = np.searchsorted(w.first, starts, side="right") - 1
+        number = np.searchsorted(after, starts, side="right") - np.searchsorted(breaks, w.offsets)[doc]
+        line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w.begin))))
         hashes = chunk_hashes(w)
         order_of = rarity.of(hashes)
         name = (line.astype(np.uint64) << np.uint64(40)) | (order_of >> np.uint64(24))
@@ -159,23 +171,58 @@ class Lines:
         keep = np.flatnonzero(size >= least)
         self.size, self.first = size[keep], first[:-1][keep]
         self.cls = mix(sums[keep] + size[keep].astype(np.uint64)).view(np.int64)
-        self.doc, self.number = w.doc[starts][keep], number[starts][keep]
+        self.doc, self.number = doc[keep], number[keep]
 
     def tokens(self, k: int) -> np.ndarray:
         return self.token[self.first[k] : self.first[k] + self.size[k]]
 
 
-def _earliest(lines: Lines, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the lines of a class in a batch the earliest (and those at the very same place), and the later ones."""
-    order = np.lexsort((rows, lines.number, ids, lines.cls))
-    c, i, n, r = lines.cls[order], ids[order], lines.number[order], rows[order]
+def _earliest(cls: np.ndarray, ids: np.ndarray, rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places of each class the earliest, others at the very same place, and the later ones."""
+    order = np.lexsort((rows, numbers, ids, cls))
+    c, i, n, r = cls[order], ids[order], numbers[order], rows[order]
     new = np.ones(len(order), bool)
     new[1:] = c[1:] != c[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
     tie = (i == i[head]) & (n == n[head])
     twice = np.zeros(len(order), bool)
     twice[1:] = ~new[1:] & tie[1:] & (r[1:] == r[:-1])
-    return order[tie & ~twice], order[~tie]
+    return order[new], order[tie & ~new & ~twice], order[~tie]
+
+
+class _Places:
+    """Settles the places of classes, which arrive by bin, so that one of each class is the earliest of all texts."""
+
+    def __init__(self):
+        self.bin, self.held, self.size, self.most = None, [], 0, MOST_PLACES
+
+    def add(self, number: int, data: bytes):
+        kind, *columns = np.frombuffer(data, np.int64).reshape(5, -1)
+        if kind[0] == REPEAT:
+            yield kind, *columns
+            return
+        if number != self.bin:
+            yield from self.close()
+            self.bin = number
+        self.held.append(columns)
+        self.size += len(kind)
+        if self.size > self.most:
+            first, tie, later = self._settled()
+            yield np.full(len(later[0]), REPEAT), *later
+            self.held = [first, tie]
+            self.size = len(first[0]) + len(tie[0])
+            self.most = max(MOST_PLACES, 2 * self.size)
+
+    def _settled(self):
+        columns = [np.concatenate(parts) for parts in zip(*self.held)]
+        return [[c[k] for c in columns] for k in _earliest(*columns)]
+
+    def close(self):
+        if self.held:
+            for kind, columns in zip((CLASS, TIE, REPEAT), self._settled()):
+                if len(columns[0]):
+                    yield np.full(len(columns[0]), kind), *columns
+        self.held, self.size, self.most = [], 0, MOST_PLACES
 
 
 def _places(kind: int, cls, ids, rows, numbers) -> bytes:
@@ -191,12 +238,17 @@ def _index(docs: DataFrame, rarity: Rarity, bins: int, least: int) -> DataFrame:
             if not len(lines.cls):
                 continue
             ids, rows = np.asarray(batch.column(0))[lines.doc], np.asarray(batch.column(2))[lines.doc]
-            first, later = _earliest(lines, ids, rows)
-            spread = -1 - int(rows[0] % (1 << 20))
-            parts = [_places(kind, lines.cls[k], ids[k], rows[k], lines.number[k]) for kind, k in ((CLASS, first), (REPEAT, later)) if len(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([spread] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bin", "data"])
-            _, one = np.unique(lines.cls[first], return_index=True)
-            one = first[one]
+            first, tie, later = _earliest(lines.cls, ids, rows, lines.number)
+            # repeats only pass through, the other places of a class meet in its bin
+            parts = [(-1 - int(rows[0] % (1 << 20)), REPEAT, later)] if len(later) else []
+            earliest = np.concatenate((first, tie))
+            number = (lines.cls[earliest].view(np.uint64) % np.uint64(-(-bins // PLACE_BINS))).astype(np.int64)
+            order = np.argsort(number, kind="stable")
+            earliest, edges = earliest[order], group_edges(number[order])
+            parts += [(-1 - int(number[order[a]]), CLASS, earliest[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            data = [_places(kind, lines.cls[k], ids[k], rows[k], lines.number[k]) for _, kind, k in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
+            one = first
             one = one[100 * lines.size[one] >= PERCENT * (lines.size[one] + 1)]  # smaller sets are similar to equal ones only, which are their class
             if not len(one):
                 continue
@@ -204,18 +256,15 @@ def _index(docs: DataFrame, rarity: Rarity, bins: int, least: int) -> DataFrame:
             owner = np.repeat(np.arange(len(one)), length)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
             cls, begin, size = lines.cls[one], lines.first[one], lines.size[one]
-            yield bundled(*prefix_entries(lines.token[begin[owner] + place], owner, place, cls, size, small_maps(lines.token, begin, size)), bins)
+            yield bundled(lines.token[begin[owner] + place], owner, place, cls, size, bins, small_maps(lines.token, begin, size))
 
     return docs.mapInArrow(released(entries), BUNDLE)
 
 
 def _meet(bundles: DataFrame) -> DataFrame:
     def met(batches):
-        def other(data):
-            kind, cls, ids, rows, numbers = np.frombuffer(data, np.int64).reshape(5, -1)
-            yield kind, cls, ids, rows, numbers
-
-        for found in shared_entries(batches, other, PERCENT, MAPPED):
+        places = _Places()
+        for found in chain(shared_entries(batches, places.add, PERCENT, MAPPED), places.close()):
             if len(found) == 2:
                 run, cls = found
                 none = pa.nulls(len(run), pa.int64())
@@ -356,9 +405,7 @@ def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rarity = Rarity(common)
     found = stored(_meet(_index(docs, rarity, max(1, size // BIN_BYTES), least_words)), "lines")
     members = found.where((F.col("kind") == MEMBER) & (F.col("run") != F.col("cls"))).select("run", "cls").distinct()
-    places = found.where(F.col("kind") == CLASS).select("cls", "id", "row", "line")
-    earliest = places.groupBy("cls").agg(F.min(F.struct("id", "line", "row")).alias("at")).select("cls", "at.id", "at.line", "at.row")
-    earliest = stored(earliest, "places")
+    earliest = found.where(F.col("kind") == CLASS).select("cls", "id", "row", "line")  # one of each class
     met = members.select("cls").union(members.select("run")).distinct()
     wanted = stored(earliest.join(met, "cls"), "wanted")
     at = wanted.select(_place_key(F.col("row"), F.col("line").cast("long")).alias("at"))
@@ -366,8 +413,8 @@ def later_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     blocks = components(members.select(F.col("run").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("run"))
     groups = dealt(blocks, "run", "cls", GROUP_LINES).join(wanted.select("cls", "id", "line").join(sets, "cls"), "cls")
     matched = stored(_resolve(grouped(groups, "run")).distinct(), "matched")
-    judged = places.join(earliest.select("cls", F.struct("id", "line").alias("first")), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
-    later = judged.where(F.col("hit") | (F.struct("id", "line") > F.col("first"))).select("id", "row", "line")
+    ties = found.where(F.col("kind") == TIE).select("cls", "id", "row", "line")
+    later = wanted.select("cls", "id", "row", "line").union(ties).join(matched, "cls").select("id", "row", "line")
     repeats = found.where(F.col("kind") == REPEAT).select("id", "row", "line")
     return later.union(repeats).groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
 
@@ -387,7 +434,7 @@ def with_later_lines(
     bits = key_filter(gone, other_row)
     clean = filtered(keyed, own_row, bits, keep=False).withColumn(lines_column, F.lit(None).cast("array<int>"))
     same = (F.col(own_id) == F.col(other_id)) & (F.col(own_row) == F.col(other_row))
-    some = filtered(keyed, own_row, bits).join(gone, same, "left")
+    some = filtered(keyed, own_row, bits).join(gone.hint("shuffle_hash"), same, "left")  # texts are not sorted
     return clean.unionByName(some.drop(other_id, other_row)).drop(own_id, own_row)
 
 

@@ -41,25 +41,20 @@ def prefix_length(size, percent: int = 75):
     return size - -(-percent * size // 100) + 1
 
 
-def prefix_entries(tokens: np.ndarray, owner: np.ndarray, place: np.ndarray, cls: np.ndarray, size: np.ndarray, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Entries and the hashes of their tokens; ``owner`` says which set each token and place is of."""
-    out = np.empty(len(tokens), ENTRY if maps is None else MAPPED)
-    out["token"], out["cls"], out["size"] = tokens >> np.uint64(32), cls[owner], size[owner]
-    out["place"] = np.minimum(place, 65_535)
-    if maps is not None:
-        out["map"] = maps[owner]
-    return out, tokens
-
-
-def bundled(entries: np.ndarray, tokens: np.ndarray, bins: int) -> pa.RecordBatch:
-    """Entries by bin of their token, one row for each bin met."""
-    number = (tokens % np.uint64(bins)).astype(np.int32)
+def bundled(tokens: np.ndarray, owner: np.ndarray, place: np.ndarray, cls: np.ndarray, size: np.ndarray, bins: int, maps: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries by bin of their token, one row for each bin met; ``owner`` says which set each token and place is of."""
+    kind = ENTRY if maps is None else MAPPED
+    number = (tokens % np.uint64(bins)).astype(np.uint16 if bins <= 1 << 16 else np.int32)  # short numbers are sorted by radix
     order = np.argsort(number, kind="stable")
-    entries, number = entries[order], number[order]
-    edges = group_edges(number)
+    tokens, owner, number = tokens[order], owner[order], number[order]
+    columns = {"cls": cls[owner], "token": tokens >> np.uint64(32), "size": size[owner], "place": np.minimum(place[order], 65_535)}
+    if maps is not None:
+        columns["map"] = maps[owner]
+    data = [(memoryview(columns[name].astype(kind[name].base, copy=False).tobytes()), kind[name].itemsize) for name in kind.names]
+    edges = group_edges(number).tolist()
     packer = zstandard.ZstdCompressor(level=1)
-    data = [packer.compress(b"".join(np.ascontiguousarray(e[c]).tobytes() for c in e.dtype.names)) for e in (entries[a:b] for a, b in zip(edges[:-1], edges[1:]))]
-    return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
+    packed = [packer.compress(b"".join(held[a * width : b * width] for held, width in data)) for a, b in zip(edges[:-1], edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["bin", "data"])
 
 
 def unbundled(data: bytes, kind: np.dtype) -> dict[str, np.ndarray]:
@@ -104,7 +99,7 @@ def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) ->
     Tokens with the same sets give one run (named by a hash of the sets). Entries with
     bitmaps are held against each other at once and give edges of a forest, (other cls, cls),
     over the pairs that can be similar. A bin beyond what memory takes is passed on by token,
-    unfiltered. Rows of negative bins go to ``other``.
+    unfiltered. Rows of negative bins, which come first, go to ``other`` with their bin.
     """
     held, size, current = [], 0, None
     unpacker = zstandard.ZstdDecompressor()
@@ -122,7 +117,7 @@ def shared_entries(batches, other, percent: int = 75, kind: np.dtype = ENTRY) ->
     for batch in batches:
         for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if number < 0:
-                yield from other(data)
+                yield from other(number, data)
                 continue
             if number != current:
                 yield from close(whole)

@@ -142,3 +142,55 @@ def test_common_words_come_with_the_bytes_of_all_texts(docs):
     assert size == len("é a a b".encode()) + 5
     assert words.tolist() == chunk_hashes(Words(pa.array(["a b"]))).tolist()
     assert common_words(docs([]))[1] == 0
+
+
+def test_places_of_a_class_are_settled_before_they_are_stored(docs, monkeypatch):
+    stored, kinds = lines.stored, []
+
+    def seen(df, name):
+        out = stored(df, name)
+        if name == "lines":
+            kinds.extend((r["kind"], r["cls"], r["id"], r["line"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(lines, "stored", seen)
+    monkeypatch.setattr(lines, "PACK_BYTES", 40)  # a text or two in a batch
+    same = "a b c d e f"
+    check(docs, [(7, same), (5, same + "\nu v w x y"), (5, same + "\n1 2 3 4 5"), (9, same), (6, same), (8, same + " g")] + [(20 + i, same) for i in range(9)])
+    first = [k for k in kinds if k[0] == lines.CLASS]
+    assert len({k[1] for k in first}) == len(first) // 2 == 4  # check runs it twice
+    assert sum(k[0] == lines.TIE for k in kinds) == 2 and {k[2:] for k in kinds if k[0] == lines.TIE} == {(5, 0)}
+    assert sum(k[0] == lines.REPEAT for k in kinds) == 2 * 12
+
+
+def test_lines_and_their_words_by_hand():
+    texts = ["", "\n\na b a\n \nc", None, "\n", "b a", "\x0bd\r\nd e\n", "x" * 70]
+    found = lines.Lines(pa.array(texts), lines.Rarity(np.zeros(0, np.uint64)), 1)
+    assert list(zip(found.doc.tolist(), found.number.tolist(), found.size.tolist())) == [(1, 2, 2), (1, 4, 1), (4, 0, 2), (5, 0, 1), (5, 1, 2), (6, 0, 1)]
+    assert found.cls[0] == found.cls[2] and len(set(found.cls.tolist())) == 5
+    common = chunk_hashes(Words(pa.array(["a b c"])))
+    common = np.concatenate((common, common[:1] + np.uint64(1), common[:1] + np.uint64(2)))  # with the same first bits
+    order = lines.Rarity(common).of(np.concatenate((common, np.array([5, common[0] + np.uint64(3)], np.uint64))))
+    assert (np.argsort(order[:5])[::-1] == np.arange(5)).all() and order[5] == 2 and order[6] == (common[0] + np.uint64(3)) >> np.uint64(1)
+
+
+def test_places_are_folded_by_bin(monkeypatch):
+    monkeypatch.setattr(lines, "MOST_PLACES", 3)
+    places, found = lines._Places(), []
+    rng = np.random.default_rng(5)
+    cls, ids, rows, numbers = (rng.integers(0, n, 200) for n in (9, 4, 3, 3))
+    for number in (-3, -1):
+        for k in np.array_split(np.arange(200)[cls % 2 == number % 4 // 2], 40):
+            if len(k):
+                found.extend(places.add(number, lines._places(lines.CLASS, cls[k], ids[k], rows[k], numbers[k])))
+                assert places.size <= max(3, 2 * 15)
+    found.extend(places.close())
+    kind, *columns = np.concatenate([np.stack(f) for f in found], axis=1)
+    got = {k: sorted(zip(*(c[kind == k].tolist() for c in columns))) for k in (lines.CLASS, lines.TIE, lines.REPEAT)}
+    every = sorted(set(zip(cls.tolist(), ids.tolist(), rows.tolist(), numbers.tolist())))
+    first = {}
+    for c, i, r, n in every:
+        first[c] = min(first.get(c, (9, 9, 9)), (i, n, r))
+    assert got[lines.CLASS] == sorted((c, i, r, n) for c, (i, n, r) in first.items())
+    assert got[lines.TIE] == [x for x in every if (x[1], x[3]) == first[x[0]][:2] and x[2] != first[x[0]][2]]
+    assert sorted(set(got[lines.REPEAT])) == [x for x in every if (x[1], x[3]) > first[x[0]][:2]]
