@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakemart.llm import vectors
 from lakemart.llm.vectors import near_vectors
@@ -82,3 +83,53 @@ def test_null_ids_and_empty_table(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect()), key=str)
     assert got == sorted([(None, 1, 3, False), (3, 1, 3, True), (None, 0, None, True)], key=str)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cell,side,turned", [(4_000, 1 << 24, None), (20, 1 << 24, 6), (20, 1, None), (20, 1, 6), (500, 1, 20)])
+def test_long_vectors_equal_brute_force(spark, monkeypatch, cell, side, turned):
+    """Cells in one block, cells cut in blocks, and vectors that are compared on a few directions first."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", cell)
+    monkeypatch.setattr(vectors, "SIDE_BYTES", side)
+    if turned:
+        directions = np.linalg.qr(np.random.default_rng(9).normal(size=(40, 40)))[0][:, :turned].astype(np.float32)
+        monkeypatch.setattr(vectors, "choose_turn", lambda sample, threshold: directions)
+    compare(spark, clustered(500, 40, 3))
+
+
+def test_doubles_of_any_size_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    monkeypatch.setattr(vectors, "SIDE_BYTES", 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.array(v) * 10.0 ** rng.integers(-200, 200)).tolist()) for i, v in clustered(300, 24, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect())
+    unit = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    assert got == sorted(brute(unit))
+
+
+def test_links_at_the_threshold_are_told_in_double_precision(spark):
+    """Pairs nearer to the threshold than single precision can tell."""
+    rows = []
+    for k in range(40):
+        cosine = 0.95 + (k - 19.5) * 1e-9
+        a, b = np.zeros(80), np.zeros(80)
+        a[2 * k], b[2 * k], b[2 * k + 1] = 1, cosine, np.sqrt(1 - cosine**2)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, b.tolist())]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: int(i // 2 >= 20) for i in range(80)}
+
+
+def test_a_vector_goes_to_one_task_however_many_cells_are_near(spark, monkeypatch):
+    """Vectors without structure lie near most cells; copies for each took executors beyond their memory."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    moved, spread = [], vectors.spread
+
+    def watched(df, *keys):
+        sent = F.octet_length("data") if "data" in df.columns else 4 * F.size("v")
+        moved.append(df.agg(F.sum(sent)).first()[0])
+        return spread(df, *keys)
+
+    monkeypatch.setattr(vectors, "spread", watched)
+    rng = np.random.default_rng(6)
+    compare(spark, [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(600)])
+    assert sum(moved) <= 2 * 600 * 64 * 4
