@@ -33,8 +33,9 @@ PIVOT_BYTES = 8 << 20
 SIDE_BYTES = 1 << 24
 #: Vectors that are looked at where there are enough, besides twice as many as pivots.
 LEAST_SAMPLE = 512
-#: Vectors that a block holds at least where there are enough, and the most cells of a block.
+#: Vectors that a block holds at least where there are enough, blocks that these are cut in, and the most cells of a block.
 LEAST_SIDE = 512
+LEAST_BLOCKS = 36
 BLOCK_CELLS = 128
 #: Rows and columns of cosines taken at once, and numbers in other matrices of a task.
 TILE_ROWS, TILE_COLUMNS = 128, 4_096
@@ -133,13 +134,13 @@ def choose_turn(sample: np.ndarray, threshold: float) -> np.ndarray | None:
     some = sample[:512]
     cosine, turned = (some @ some.T)[np.triu_indices(len(some), 1)], some @ turn
     near = (cosine >= np.quantile(cosine, 0.9)) & (cosine < threshold)
-    # ns for a pair: a product of that many numbers, and a pair that is looked at as a whole
+    # ns for a pair: a product of that many numbers, and a pair that is looked at as a whole, mostly the only one at hand
     best, least = None, 0.8 * length / 22
     for m in sorted({m for k in range(3, 11) for m in (1 << k, 3 << k - 1) if m < length}):
         held = turned[:, :m]
         rest = np.sqrt(np.maximum(1 - np.square(held).sum(axis=1), 0))
         bound = (held @ held.T + np.outer(rest, rest))[np.triu_indices(len(some), 1)]
-        cost = (m + 1) / 22 + (bound[near] >= threshold).mean() * (1_000 + 2 * length) if near.any() else least
+        cost = (m + 1) / 22 + (bound[near] >= threshold).mean() * (10_000 + 2 * length) if near.any() else least
         if cost < least:
             best, least = m, cost
     return None if best is None else np.ascontiguousarray(turn[:, :best]).astype(np.float32)
@@ -576,7 +577,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
     classes = stored(classes.withColumn("length", F.size("v")), "classes")
     cells = _cells_for(classes, reach, threshold)
     spark, folder = vectors.sparkSession, work_folder(vectors.sparkSession, "cells")
-    blocks = _lay_out(classes, cells, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = _lay_out(classes, cells, max(LEAST_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     _store_blocks(classes, cells, folder)
     found = stored(_join_blocks(spark, cells, blocks, folder, _kind(classes), threshold), "links")
     sums = found.groupBy("cls").agg(F.sum("links").alias("links"))
